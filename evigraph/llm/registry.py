@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import exact_dedup, mixing
+from evigraph.llm import exact_dedup, mixing, quality, secrets, token_count, toxicity
 from evigraph.llm._common import WORD_PATTERN, materialize, table
+from evigraph.llm._labelled import id_remainder
 
 #: Weights of the sources, repeated in the order of their names; words wanted as a share of all; most repeats.
 MIX_WEIGHTS, MIX_SHARE, MIX_REPEATS = (5, 2, 1), 1.5, 2
@@ -69,6 +70,33 @@ FROM placed
 """
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", secrets.base_digest().alias("base_sha256"), "spans", "n_novel")
+
+
+#: Vocabulary whose pieces op6 counts; any sentencepiece model file will do.
+TOKENIZER_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER_PATH)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.fit_toxicity(docs, labels, id_remainder("doc_id", 3) != 1)
+    scored = toxicity.classify(docs, model)
+    return scored.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.fit_quality(docs, labels, id_remainder("doc_id", 4) != 2)
+    scored = quality.classify(docs, model)
+    return scored.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -84,6 +112,10 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op4_secrets": op4_secrets,
+        "op6_token_counts": op6_token_counts,
+        "op7_toxicity": op7_toxicity,
+        "op9_quality": op9_quality,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
