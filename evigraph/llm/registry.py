@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import exact_dedup, mixing, quality, secrets, token_count, toxicity
+from evigraph.llm import decontaminate, exact_dedup, mixing, quality, secrets, token_count, toxicity
 from evigraph.llm._common import WORD_PATTERN, materialize, table
 from evigraph.llm._labelled import id_remainder
 
@@ -90,6 +90,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = quality.fit_quality(docs, labels, id_remainder("doc_id", 4) != 2)
@@ -115,6 +119,7 @@ def queries() -> dict:
         "op4_secrets": op4_secrets,
         "op6_token_counts": op6_token_counts,
         "op7_toxicity": op7_toxicity,
+        "op8_decontaminate": op8_decontaminate,
         "op9_quality": op9_quality,
         "op10_exact_dedup": op10_exact_dedup,
     }
