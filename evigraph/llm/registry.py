@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import decontaminate, exact_dedup, html_extract, mixing, quality, secrets, token_count, toxicity
+from evigraph.llm import decontaminate, exact_dedup, html_extract, mixing, near_dedup, quality, secrets, token_count, toxicity
 from evigraph.llm._common import WORD_PATTERN, materialize, table
 from evigraph.llm._labelled import id_remainder
 
@@ -74,6 +74,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", secrets.base_digest().alias("base_sha256"), "spans", "n_novel")
@@ -121,6 +125,7 @@ def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_html_text": op2_html_text,
+        "op3_near_dedup": op3_near_dedup,
         "op4_secrets": op4_secrets,
         "op6_token_counts": op6_token_counts,
         "op7_toxicity": op7_toxicity,
