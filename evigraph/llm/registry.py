@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import decontaminate, exact_dedup, html_extract, mixing, near_dedup, quality, secrets, token_count, toxicity
+from evigraph.llm import decontaminate, exact_dedup, html_extract, katz, mixing, near_dedup, quality, secrets, token_count, toxicity
 from evigraph.llm._common import WORD_PATTERN, materialize, table
 from evigraph.llm._labelled import id_remainder
 
@@ -83,6 +83,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", secrets.base_digest().alias("base_sha256"), "spans", "n_novel")
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), id_remainder("doc_id", 10) == 0)
+
+
 #: Vocabulary whose pieces op6 counts; any sentencepiece model file will do.
 TOKENIZER_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -127,6 +131,7 @@ def queries() -> dict:
         "op2_html_text": op2_html_text,
         "op3_near_dedup": op3_near_dedup,
         "op4_secrets": op4_secrets,
+        "op5_katz": op5_katz,
         "op6_token_counts": op6_token_counts,
         "op7_toxicity": op7_toxicity,
         "op8_decontaminate": op8_decontaminate,
