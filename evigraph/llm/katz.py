@@ -94,14 +94,18 @@ class Unigrams:
         return np.where(count > 0, seen, self.unseen)
 
 
-def history_mass(parts: np.ndarray, count: np.ndarray, d: np.ndarray, off: float) -> np.ndarray:
-    """alpha of each history. parts: numbers of its bigrams of counts MIN_BIGRAM .. GT_MAX, number and sum of larger, sum of P(w)."""
+def history_mass(parts: np.ndarray, count: np.ndarray, d: np.ndarray, off: float) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha, denominator) of each history.
+
+    parts: numbers of its bigrams of counts MIN_BIGRAM .. GT_MAX, number and sum of larger, sum of P(w). The denominator is
+    the history's count, or one more where discounting leaves less than half a count to back off with.
+    """
     r = np.arange(MIN_BIGRAM, GT_MAX + 1)
     n = len(r)
     seen = parts[:, :n] @ (d[r] * r) + parts[:, n + 1] - off * parts[:, n]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        a = np.maximum(1 - seen / count, 0) / np.maximum(1 - parts[:, n + 2], 1e-12)
-    return np.where(count > 0, np.maximum(a, 1e-12), 1.0)
+    below = count + (count - seen < 0.5)
+    alpha = (1 - seen / np.maximum(below, 1)) / np.maximum(1 - parts[:, n + 2], 1e-12)
+    return np.where(count > 0, alpha, 1.0), below
 
 
 N_PARTS = GT_MAX - MIN_BIGRAM + 4
@@ -348,17 +352,17 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
                 block.learn_words(row["words"], buckets)
                 block.pair_up(buckets, total)
                 by_bucket = {r["bucket"]: r for r in row["pairs"]}
-                r_all, alpha_all = np.empty(len(block.h), np.int64), np.empty(len(block.h))
+                r_all, alpha_all, below_all = np.empty(len(block.h), np.int64), np.empty(len(block.h)), np.empty(len(block.h))
                 for b, part, heads, runs in block.sent():
                     r_all[part] = _unpack(by_bucket[b]["a"])
                     parts = _unpack(by_bucket[b]["b"], "<f8").reshape(-1, N_PARTS)
                     for i in np.flatnonzero(block.hot[heads]):
                         parts[i] = hot_parts[int(block.number[heads[i]])]
-                    alpha_all[part] = np.repeat(history_mass(parts, block.count[heads], d, off), runs)
+                    alpha, below = history_mass(parts, block.count[heads], d, off)
+                    alpha_all[part], below_all[part] = np.repeat(alpha, runs), np.repeat(below, runs)
                 p = unigrams.p(block.count)
                 small = np.minimum(r_all, GT_MAX)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    direct = np.where(r_all <= GT_MAX, d[small] * r_all, r_all - off) / block.count[block.h]
+                direct = np.where(r_all <= GT_MAX, d[small] * r_all, r_all - off) / np.maximum(below_all, 1)
                 pair = np.log10(np.where(r_all >= MIN_BIGRAM, direct, alpha_all * p[block.w]))
                 starts = np.append(0, np.cumsum(block.lengths)[:-1])
                 count = block.count[block.tokens]
