@@ -1,0 +1,52 @@
+"""Posterior support of claims from deduplicated evidence, under one prior or several, and review labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from evigraph.functions import bayes
+from evigraph.schema import PRIORS
+
+
+
+def stance_rank(column: Column) -> Column:
+    return F.when(column == "support", 0).when(column == "challenge", 1).otherwise(2)
+
+
+def evidence_totals(units: DataFrame, group: str = "ledger", weight: str = "bayes_weight") -> DataFrame:
+    """(group, success, failure, revision, support_edges, challenge_edges): weights after deduplication, edge counts before it."""
+    order = F.struct(stance_rank(F.col("stance")), F.col("pos"))
+    per_key = units.groupBy(group, "dedup").agg(
+        F.min_by(F.struct("stance", F.col(weight).alias("w")), order).alias("u"), F.count_if(F.col("stance") == "support").alias("s"), F.count_if(F.col("stance") == "challenge").alias("c")
+    )
+    total = lambda s: F.sum(F.when(F.col("u.stance") == s, F.col("u.w")).otherwise(0.0))
+    return per_key.groupBy(group).agg(
+        total("support").alias("success"), total("challenge").alias("failure"), total("revision").alias("revision"), F.sum("s").alias("support_edges"), F.sum("c").alias("challenge_edges")
+    )
+
+
+def with_posterior(totals: DataFrame, alpha: float = 1.0, beta: float = 1.0, credibility: float = 0.95) -> DataFrame:
+    """Adds mean, variance, lower, upper, width, effective_n and stability."""
+    p = bayes.posterior(F.col("success"), F.col("failure"), alpha, beta, credibility)
+    out = totals.withColumns({k: p[k] for k in ("mean", "variance", "lower", "upper", "effective_n")})
+    return out.withColumns({"width": F.col("upper") - F.col("lower"), "stability": bayes.stability(F.col("upper") - F.col("lower"), F.col("effective_n"))})
+
+
+def prior_means(totals: DataFrame, priors: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Adds mean_<prior> for every prior, and mean_range: largest less smallest. The evidence is aggregated once for all of them."""
+    priors = PRIORS if priors is None else priors
+    means = {f"mean_{name}": (F.col("success") + a) / (F.col("success") + F.col("failure") + a + b) for name, (a, b) in priors.items()}
+    out = totals.withColumns(means)
+    names = [F.col(m) for m in means]
+    spread = F.greatest(*names) - F.least(*names) if len(names) > 1 else F.lit(0.0)
+    return out.withColumn("mean_range", spread)
+
+
+def classified(totals: DataFrame, thresholds: dict | None = None) -> DataFrame:
+    """totals with posterior, prior range, bayesian_label and bayesian_flags."""
+    out = prior_means(with_posterior(totals))
+    has_support = (F.col("success") > 0) | (F.col("support_edges") > 0)
+    has_challenge = (F.col("failure") > 0) | (F.col("challenge_edges") > 0)
+    label, flags = bayes.classify(F.col("mean"), F.col("width"), F.col("effective_n"), F.col("mean_range"), has_support, has_challenge, thresholds)
+    return out.withColumns({"bayesian_label": label, "bayesian_flags": flags})
