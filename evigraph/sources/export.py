@@ -42,7 +42,7 @@ def _filled(df: DataFrame, fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*out))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _spread(objects: pd.Series, metadata: pd.Series) -> pd.Series:
     def merge(obj: str, meta: str | None) -> str:
         made = json.loads(obj)
