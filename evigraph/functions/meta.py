@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value evaluated, and planned, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 class Meta:
     """Columns over one metadata field, which may be nested (such as an element of provenance)."""
 
@@ -73,27 +78,62 @@ class Meta:
 
     def words(self, keys: Iterable[str]) -> Column:
         """All texts under keys, a string or a list each, lower case and trimmed, blanks left out; other types are ignored."""
-        found = []
-        for key in keys:
-            if self._open:
-                listed = F.when(F.startswith(self._shape(key), F.lit("ARRAY")), F.try_variant_get(self.column, f"$.{key}", "array<string>"))
-                found.append(F.coalesce(F.array(self.text(key)), F.array()) if listed is None else F.when(self.text(key).isNotNull(), F.array(self.text(key))).otherwise(F.coalesce(listed, F.array().cast("array<string>"))))
-            elif isinstance(kind := self._typed(key), T.StringType):
-                found.append(F.array(self.column[key]))
-            elif isinstance(kind, T.ArrayType):
-                found.append(F.coalesce(self.column[key].cast("array<string>"), F.array().cast("array<string>")))
+        none = F.array().cast("array<string>")
+
+        def listed(v: Column) -> Column:
+            kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+            return F.when(kind == "STRING", F.array(text)).when(F.startswith(kind, F.lit("ARRAY")), F.coalesce(F.try_variant_get(v, "$", "array<string>"), none)).otherwise(none)
+
+        if self._open:
+            found = [let(self.column, lambda m: F.concat(*[let(F.try_variant_get(m, f"$.{k}", "variant"), lambda v: F.coalesce(listed(v), none)) for k in keys]))]
+            found = [F.coalesce(found[0], none)]
+        else:
+            found = []
+            for key in keys:
+                if isinstance(kind := self._typed(key), T.StringType):
+                    found.append(F.array(self.column[key]))
+                elif isinstance(kind, T.ArrayType):
+                    found.append(F.coalesce(self.column[key].cast("array<string>"), none))
         if not found:
-            return F.array().cast("array<string>")
+            return none
         return F.filter(F.transform(F.concat(*found), lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & (x != ""))
 
+    def times(self, keys: Iterable[str]) -> Column:
+        """array<struct<event, t>> of the keys that hold a time, in their order; t is struct<kind, val, shown>."""
+        from evigraph.functions import timekey
+
+        keys = tuple(keys)
+        kind = f"array<struct<event:string,t:{timekey.TIME}>>"
+        if not self._open:
+            here = [F.struct(F.lit(k).alias("event"), self.time(k).cast(timekey.TIME).alias("t")) for k in keys if self._typed(k) is not None]
+            every = F.array(*here) if here else F.array().cast(kind)
+        else:
+
+            def one(m: Column, key: str) -> Column:
+                return let(
+                    F.try_variant_get(m, f"$.{key}", "variant"),
+                    lambda v: F.struct(
+                        F.lit(key).alias("event"),
+                        F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).alias("text"),
+                        F.when(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.try_variant_get(v, "$", "double")).alias("number"),
+                        F.try_variant_get(v, "$", "string").alias("shown"),
+                    ),
+                )
+
+            def key_of(x: Column) -> Column:
+                found = F.coalesce(timekey.of_number(x["number"]), timekey.of_text(x["text"]))
+                return let(found, lambda k: F.when(k.isNotNull(), F.struct(k["kind"].alias("kind"), k["val"].alias("val"), x["shown"].alias("shown"))))
+
+            raw = let(self.column, lambda m: F.array(*[one(m, k) for k in keys]))
+            every = F.coalesce(F.transform(raw, lambda x: F.struct(x["event"].alias("event"), key_of(x).alias("t"))), F.array().cast(kind))
+        return F.filter(every, lambda x: x["t"].isNotNull())
+
     def time(self, key: str) -> Column:
         """struct<kind, val, shown> of a time value, null if absent or not a time."""
         from evigraph.functions import timekey
 
         if self._open:
-            number = F.when(self._shape(key).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.try_variant_get(self.column, f"$.{key}", "double"))
-            key_ = F.coalesce(timekey.of_number(number), timekey.of_text(self.text(key)))
-            return F.when(key_.isNotNull(), F.struct(key_["kind"].alias("kind"), key_["val"].alias("val"), self.shown(key).alias("shown")))
+            return F.get(self.times((key,)), F.lit(0))["t"]
         kind = self._typed(key)
         if kind is None:
             return F.lit(None).cast(timekey.TIME)
@@ -108,7 +148,4 @@ class Meta:
 
     def first_time(self, keys: Iterable[str]) -> Column:
         """The time under the first of keys that is present."""
-        found = [self.time(k) for k in keys if self._open or self._typed(k) is not None]
-        from evigraph.functions import timekey
-
-        return F.coalesce(*found) if found else F.lit(None).cast(timekey.TIME)
+        return F.get(self.times(keys), F.lit(0))["t"]

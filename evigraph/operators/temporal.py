@@ -24,12 +24,7 @@ def item_time(df: DataFrame, keys=AVAILABILITY_KEYS) -> Column:
         return own
     kind = df.schema["provenance"].dataType.elementType
     cited = F.transform(F.coalesce("provenance", F.array().cast(df.schema["provenance"].dataType)), lambda p: Meta(kind["metadata"].dataType, p["metadata"]).first_time((*keys, "retrieval_date")))
-    every = F.filter(F.concat(F.array(own), cited), lambda t: t.isNotNull())
-    return F.try_element_at(F.array_sort(every, lambda a, b: F.when(_pair(a) < _pair(b), -1).when(_pair(a) > _pair(b), 1).otherwise(0)), F.lit(1))
-
-
-def _pair(t: Column) -> Column:
-    return F.struct(t["kind"], t["val"])
+    return F.array_min(F.concat(F.array(own), cited))  # nulls are passed over
 
 
 def _available(t: Column, cutoff: Column, include_undated: bool) -> Column:
@@ -123,20 +118,19 @@ def timeline_events(graph: Graph, keys=EVENT_KEYS) -> DataFrame:
     parts = []
     for name, df, ident in (("node", graph.nodes, F.col("id")), ("edge", graph.edges, key)):
         meta = Meta.of(df)
-        parts.append(_events(df, name, ident, lambda k, meta=meta: meta.time(k), keys))
+        parts.append(_events(df, name, ident, meta.times(keys)))
         if "provenance" in df.columns:
             kind = df.schema["provenance"].dataType.elementType["metadata"].dataType
             cited = df.select(ident.alias("__id"), "type", F.explode("provenance").alias("p"))
-            parts.append(_events(cited, f"{name}_provenance", F.col("__id"), lambda k, kind=kind: Meta(kind, F.col("p.metadata")).time(k), keys))
+            parts.append(_events(cited, f"{name}_provenance", F.col("__id"), Meta(kind, F.col("p.metadata")).times(keys)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _events(df: DataFrame, component: str, ident: Column, time_of, keys) -> DataFrame:
-    each = F.array(*[F.struct(F.lit(k).alias("event"), time_of(k).cast(timekey.TIME).alias("t")) for k in keys])
-    rows = df.select(ident.alias("component_id"), F.col("type").alias("component_type"), F.explode(F.filter(each, lambda x: x["t"].isNotNull())).alias("e"))
+def _events(df: DataFrame, component: str, ident: Column, times: Column) -> DataFrame:
+    rows = df.select(ident.alias("component_id"), F.col("type").alias("component_type"), F.explode(times).alias("e"))
     return rows.select(F.lit(component).alias("component"), "component_id", "component_type", "e.event", "e.t.kind", "e.t.val", "e.t.shown")
 
 

@@ -609,7 +609,7 @@ def export_jsonld(spark, sf_dir):
     return export.jsonld_lines(P.supply(spark, sf_dir)).select("json")
 
 
-@query("SELECT 'part::' || p_partkey AS id, coalesce(nullif(trim(regexp_replace(lower(trim(p_name || ' ' || p_brand || '!')), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'item') AS slug FROM part")
+@query("SELECT 'part::' || p_partkey AS id, coalesce(nullif(trim(regexp_replace(lower(trim(p_name || ' ' || p_brand || '!')), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'untitled') AS slug FROM part")
 def slugs(spark, sf_dir):
     return P.table(spark, sf_dir, "part").select(F.concat(F.lit("part::"), F.col("p_partkey").cast("string")).alias("id"), text.slug(F.concat("p_name", F.lit(" "), "p_brand", F.lit("!"))).alias("slug"))
 
