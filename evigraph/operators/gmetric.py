@@ -77,7 +77,8 @@ def experiment_summary(rows: DataFrame, group_by: str = "condition", **how) -> D
 
 def manifest_warnings(rows: DataFrame, manifest: dict) -> list[str]:
     """Where a manifest's row_count, conditions or phases disagree with the rows."""
-    seen = rows.agg(F.count(F.lit(1)).alias("n"), *[F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c)))).alias(c) for c in ("condition", "phase")]).first()
+    listed = [F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c)))).alias(c) for c in ("condition", "phase") if c in rows.columns]
+    seen = {"condition": [], "phase": []} | rows.agg(F.count(F.lit(1)).alias("n"), *listed).first().asDict()
     out = []
     if manifest.get("row_count") is not None and int(manifest["row_count"]) != seen["n"]:
         out.append("manifest row_count does not match actual row count")

@@ -11,4 +11,4 @@ def test_running_labels(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     got = {r["ledger"]: (r["success"], r["bayesian_label"]) for r in spark.table("labels").collect()}
-    assert got == {"c": (6.0, "stable_support"), "d": (0.0, "thin_evidence")}
+    assert got == {"c": (6.0, "prior_sensitive"), "d": (0.0, "thin_evidence")}
