@@ -134,4 +134,4 @@ def test_k_hop_and_components_of_a_star(spark):
     assert traversal.k_hop_subgraph(star, first, 1).nodes.count() == 20
     assert structure.connected_components(synthetic.blocks(spark, 23)).where(F.col("size") == 5).count() == 4
     assert traversal.cycle_nodes(synthetic.cycle(spark, 6)).count() == 6
-    assert structure.component_labels(synthetic.path(spark, 300)).select("component").distinct().count() == 1
+    assert structure.component_labels(synthetic.path(spark, 100)).select("component").distinct().count() == 1
