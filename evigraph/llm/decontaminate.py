@@ -2,10 +2,11 @@
 
 Words are runs of letters and digits, lower case. Every three words of a test item are a seed. A first
 pass over the documents counts in how many documents each seed occurs. A seed is rare if few documents
-hold it, or if it is about as rare as its item's rarest seed (so an item that has leaked widely keeps its
-seeds). A second pass looks the rare seeds up in every document; hits of an item on nearby diagonals
-make a candidate passage, whose local alignment with the item (match 2, mismatch and gap -1) gives the
-score: best alignment over twice the item's words, 1 for an unbroken copy.
+hold it, or if it is about as rare as the rarest seed of its item that occurs. A second pass looks all seeds
+up in every document; hits of an item on nearby diagonals make a candidate passage if they are MIN_HITS of
+the item's rare seeds or MIN_HITS of all its seeds (so a passage that many documents share, whole, in part or
+edited, is a candidate however common it is). Its local alignment with the item (match 2, mismatch and gap -1)
+gives the score: best alignment over twice the item's words, 1 for an unbroken copy.
 
 The benchmark is taken in blocks of at most `block_words` words. Only a block is held by the driver and
 broadcast; each block is a pass over all documents, and documents are never shuffled.
@@ -25,9 +26,9 @@ from evigraph.llm._common import WordHash, materialize
 SEED_WORDS = 3
 BLOCK_WORDS = 400_000
 MIN_SCORE = 0.4
-#: A seed is rare in at most this share of the documents, or at this many times its item's rarest seed.
+#: A seed is rare in at most this share of the documents, or at this many times its item's rarest seed that occurs.
 RARE_SHARE, RARE_TIMES = 0.005, 4
-#: Share of an item's rare seeds that a candidate passage must hit.
+#: Share of an item's rare seeds, or else of all its seeds, that a candidate passage must hit.
 MIN_HITS = 0.08
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -91,17 +92,16 @@ class SeedIndex:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
-    def restrict(self, df: np.ndarray, n_docs: int) -> None:
-        """Keep the seeds that are rare, given the number of documents of each."""
-        least = np.full(len(self.items), np.iinfo(np.int64).max)
+    def mark_rare(self, df: np.ndarray, n_docs: int) -> None:
+        """Mark the seeds that are rare, given the number of documents of each, and set the hits that items need."""
+        least = np.full(len(self.items), np.iinfo(np.int64).max // RARE_TIMES)
         seed = np.repeat(np.arange(len(self.keys)), self.times)
-        np.minimum.at(least, self.item, df[seed])
-        rare = (df[seed] <= RARE_SHARE * n_docs) | (df[seed] <= RARE_TIMES * least[self.item])
-        self.needed = np.maximum(1, np.ceil(MIN_HITS * np.bincount(self.item[rare], minlength=len(self.items)))).astype(np.int64)
-        self.item, self.pos, seed = self.item[rare], self.pos[rare], seed[rare]
-        kept, self.first, self.times = np.unique(seed, return_index=True, return_counts=True)
-        self.keys = self.keys[kept]
-        self._set_bits()
+        held = df[seed] > 0
+        np.minimum.at(least, self.item[held], df[seed[held]])
+        self.rare = (df[seed] <= RARE_SHARE * n_docs) | (df[seed] <= RARE_TIMES * least[self.item])
+        self.needed_rare, self.needed = (
+            np.maximum(1, np.ceil(MIN_HITS * np.bincount(of, minlength=len(self.items)))).astype(np.int64) for of in (self.item[self.rare], self.item)
+        )
 
     def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in words, number of the seed) of every seed in a document."""
@@ -126,15 +126,21 @@ class SeedIndex:
             return []
         times = self.times[seed]
         flat = np.repeat(self.first[seed] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        item, pos, at = self.item[flat], self.pos[flat], np.repeat(at, times)
+        item, pos, rare, at = self.item[flat], self.pos[flat], self.rare[flat], np.repeat(at, times)
+        n = len(self.items)
+        some = ((np.bincount(item, minlength=n) >= self.needed) | (np.bincount(item[rare], minlength=n) >= self.needed_rare))[item]
+        if not some.any():
+            return []
+        item, pos, rare, at = item[some], pos[some], rare[some], at[some]
         order = np.lexsort((at - pos, item))
-        item, pos, diagonal = item[order], pos[order], (at - pos)[order]
+        item, pos, rare, diagonal = item[order], pos[order], rare[order], (at - pos)[order]
         size = np.array([len(w) for w in self.items])[item]
         new = np.append(True, (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > np.maximum(2, size[1:] // 2)))
         best: dict[int, tuple[float, int, int]] = {}
         for a, b in zip(np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(item)), strict=True):
             i = int(item[a])
-            if len(np.unique(pos[a:b])) < self.needed[i] or best.get(i, (0.0,))[0] == 1.0:
+            few = len(np.unique(pos[a:b])) < self.needed[i] and len(np.unique(pos[a:b][rare[a:b]])) < self.needed_rare[i]
+            if few or best.get(i, (0.0,))[0] == 1.0:
                 continue
             got = self._score(self.items[i], words, diagonal[a:b])
             if got[0] >= min_score and got > best.get(i, (0.0, 0, 0)):
@@ -172,7 +178,7 @@ def _blocks(benchmark: DataFrame, text_col: str, id_col: str, block_words: int)
 
 
 def _index(docs: DataFrame, items: list[np.ndarray], text_col: str):
-    """The broadcast index of a block's rare seeds."""
+    """The broadcast index of a block's seeds, with the rare ones marked."""
     full = SeedIndex(items)
     shared = docs.sparkSession.sparkContext.broadcast(full)
 
@@ -192,7 +198,7 @@ def _index(docs: DataFrame, items: list[np.ndarray], text_col: str):
     df = np.zeros(len(full.keys) + 1, np.int64)
     for r in counts.collect():  # a row per seed of the block at most
         df[r["seed"]] = r["n"]
-    full.restrict(df[:-1], int(df[-1]))
+    full.mark_rare(df[:-1], int(df[-1]))
     return docs.sparkSession.sparkContext.broadcast(full)
 
 

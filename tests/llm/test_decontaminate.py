@@ -66,3 +66,24 @@ def test_odd_rows_and_empty_tables(spark, odd, none, planted):
     assert D.drop_leaks(odd, bench.limit(0)).count() == odd.count()
     own = spark.createDataFrame([(9, "alpha beta gamma delta epsilon zeta"), (9, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
     assert D.find_leaks(odd, own).count() == 6
+
+
+@pytest.mark.parametrize("n_docs", [90, 900])
+def test_edited_and_half_copies_held_by_a_third_of_the_rows(spark, n_docs):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    items = [[word() for _ in range(40)] for _ in range(4)]
+    edited = [w if i % 9 != 4 else word() for i, w in enumerate(items[0])]
+    half, rest = items[1][:20], items[2][22:]  # of the third item a whole copy stands in one document
+    docs, leaked = [], set()
+    for i in range(n_docs):
+        body = [word() for _ in range(60)]
+        for item, copy, holds in ((0, edited, i % 3 == 0), (1, half, i % 3 == 1), (2, rest, i % 3 == 2), (2, items[2], i == 0), (3, items[3][:14] + items[3][24:], i == 7)):
+            if holds:
+                body[30:30] = [*copy, word()]
+                leaked.add((i, item))
+        docs.append((i, " ".join(body)))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in D.find_leaks(table, bench).collect()} == leaked
+    assert D.drop_leaks(table, bench).count() == 0
