@@ -1,10 +1,11 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
-A text is the weighted set of its five-word shingles (lower case, words between white space; a shorter
-text is one shingle), a shingle repeated c times weighing 1 + ln c. ProbMinHash: each shingle is a Poisson
-process of its weight as rate, whose points fall on REGISTERS registers; a register keeps its earliest
-shingle, and a shingle stops once its next point is later than every register's earliest. Two texts
-share a register with the probability Jaccard similarity of their weighted sets.
+A text is the set of its five-word shingles (lower case, words between white space; a shorter
+text is one shingle). ProbMinHash: each shingle is a Poisson process of its weight as rate, whose points
+fall on REGISTERS registers; a register keeps its earliest shingle, and a shingle stops once its next point
+is later than every register's earliest. Two texts share a register with the probability Jaccard similarity
+of their weighted sets. Every shingle weighs 1 however often its text repeats it, so this is the Jaccard
+similarity of the sets, by which links are verified.
 
 BANDS bands of ROWS registers deal the distinct texts into buckets. Links are verified by the exact
 Jaccard similarity of the shingle sets. All pairs of a bucket are never formed:
@@ -52,7 +53,7 @@ def _mix(z: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: bytes, hashes: WordHash) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(digest of the word sequence, distinct shingle keys in order, weights) of a text in lower case."""
+    """(digest of the word sequence, distinct shingle keys in order, weights of 1) of a text in lower case."""
     words = text.split()
     digest = xxhash.xxh3_128_digest(b" ".join(words))
     if not words:
@@ -63,8 +64,8 @@ def shingles(text: bytes, hashes: WordHash) -> tuple[bytes, np.ndarray, np.ndarr
     for i in range(n):
         keys = (keys ^ ids[i : len(ids) - n + 1 + i]) * _ODD[i]
         keys ^= keys >> _U(31)
-    keys, counts = np.unique(keys, return_counts=True)
-    return digest, keys, 1 + np.log(counts)
+    keys = np.unique(keys)
+    return digest, keys, np.ones(len(keys))
 
 
 def prob_min_hash(keys: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_docs: int, m: int = REGISTERS) -> np.ndarray:

@@ -94,3 +94,16 @@ def test_registers_estimate_probability_jaccard(seed):
 def test_every_register_is_filled():
     made = N.prob_min_hash(np.array([7], np.uint64), np.array([1.0]), np.array([0]), 1)
     assert (made == 7).all()
+
+
+def test_copies_that_differ_by_repeated_lines(spark):
+    """Jaccard similarity 0.8 and more of the sets, far less with shingles weighed by their counts."""
+    r, rows = random.Random(11), []
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    for g in range(60):
+        base, line = [word() for _ in range(300)], [word() for _ in range(40)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base + line * r.choice((20, 200))))]
+    rows += [(1000 + i, " ".join([word() for _ in range(60)] + rows[1][1].split()[300:380])) for i in range(20)]
+    got = classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute_classes(rows)
+    assert sum(a != b for a, b in got) >= 60
