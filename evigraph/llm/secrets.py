@@ -1,6 +1,7 @@
 """Secret scan: fixed patterns, and novelty under a dictionary-primed compressor.
 
-A candidate is a long unbroken run of key-like characters near a word that names something sensitive. It
+A candidate is a long unbroken run of key-like characters with a word before or after it that names something
+sensitive, whatever letters and digits it has; only runs of nothing but words of the dictionary are passed over. It
 is measured by its marginal compressed size: bytes of zstandard output for its surroundings with it,
 less those without it, where the compressor is primed with a dictionary of code, identifier words and
 common phrases. Words, paths and repeated text compress away; random keys don't. A candidate that costs
@@ -48,6 +49,14 @@ ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789abcdef ---------------- ================ __
 2019-01-01T00:00:00 2020-12-31 application/x-www-form-urlencoded text/html charset=utf-8 Content-Type Content-Length
 """.encode()
 
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_WORDS = {w.lower() for w in re.findall(r"[A-Za-z]{3,}", DICTIONARY.decode())}
+
+
+def only_words(found: str) -> bool:
+    """Whether a run has nothing but words of the dictionary and separators."""
+    return all(w.lower() in _WORDS for w in _PART.findall(found))
+
 
 class Novelty:
     """Marginal compressed bytes of a string within its surroundings."""
@@ -75,13 +84,11 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, p
     out = []
     for m in CANDIDATE.finditer(text):
         found = m[0]
-        if sum(c.isdigit() for c in found) < 2 or not any(c.isalpha() for c in found):
-            continue
         start, end = m.span()
         if any(s < end and start < e for s, _, e in base):
             continue
         before, after = text[max(0, start - CONTEXT_BEFORE) : start], text[end : end + CONTEXT_AFTER]
-        if not SENSITIVE.search(before):
+        if not (SENSITIVE.search(before) or SENSITIVE.search(after)) or only_words(found):
             continue
         if novelty.marginal(before, found, after) >= per_char * len(found):
             out.append((start, end))

@@ -83,3 +83,14 @@ def test_token_counts(spark, sf_dir, odd, none):
         assert made[i]["n_tokens"] == sum(greedy(pieces, token_count.WORD_MARK + w) for w in words[:3000]) or len(words) > 3000
     assert token_count.count_tokens(odd, registry.TOKENIZER_PATH).count() == odd.count()
     assert token_count.count_tokens(none, registry.TOKENIZER_PATH).count() == 0
+
+
+def test_novelty_decides_for_every_alphabet_and_either_side():
+    novelty = secrets.Novelty()
+    found = lambda t: [t[s:e] for s, e in secrets.novel_spans(t, secrets.base_spans(t), novelty)]
+    for key in ("qZxWvKpTrJmNbHgL", "fKxqLwZrTbVnBpWmYaQ3", "8203957146620391", "XQZJWKVHPYGBMDTR"):
+        for text in ("the auth {} was sent", "{} is the passphrase", "Bearer {}", "credential {}"):
+            assert found(text.format(key)) == [key]
+        assert found(f"nothing here {key} at all") == []
+    for plain in ("authorization-credential-private_key", "getUserAccountConfiguration", "----------------------", "1111111111111111111"):
+        assert found(f"the auth {plain} was sent") == []
