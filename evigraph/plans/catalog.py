@@ -369,9 +369,27 @@ def event_chain_components(spark, sf_dir):
     SELECT v AS node_id, (SELECT count(*) FROM n WHERE n.r = inner_nodes.r) AS component_size, (SELECT count(*) FROM reach WHERE reach.v = inner_nodes.v) AS reachable_after_removal FROM inner_nodes"""
 )
 def cut_vertices(spark, sf_dir):
+    """Without the customers, like its SQL; cut_vertices_all takes them in."""
     return structure.bridge_nodes(P.supply(spark, sf_dir, customers=False))
 
 
+_LEAVES = """leaf AS (SELECT 'supplier::' || s_suppkey AS id, s_nationkey AS k FROM supplier UNION ALL SELECT 'customer::' || c_custkey, c_nationkey FROM customer),
+    sized AS (SELECT n_nationkey AS k, n_regionkey AS r, count(leaf.id) AS leaves FROM nation LEFT JOIN leaf ON leaf.k = n_nationkey GROUP BY 1, 2),
+    home AS (SELECT id, k, r FROM leaf JOIN sized USING (k) UNION ALL SELECT 'nation::' || k, k, r FROM sized UNION ALL SELECT 'region::' || r_regionkey, -1, r_regionkey FROM region),
+    inner_nodes AS (SELECT 'nation::' || k AS v, k, r, leaves FROM sized WHERE leaves > 0 UNION ALL SELECT 'region::' || r, -1, r, 0 FROM sized GROUP BY r HAVING count(*) > 1)"""
+
+
+@query(
+    f"""WITH {_LEAVES}, total AS (SELECT r, count(*) AS n FROM home GROUP BY 1),
+    start AS (SELECT v, arg_min(home.k, home.id) AS k FROM inner_nodes JOIN home ON home.r = inner_nodes.r AND home.id != v GROUP BY 1)
+    SELECT v AS node_id, total.n AS component_size, CASE WHEN inner_nodes.k = -1 THEN 1 + sized.leaves WHEN start.k = inner_nodes.k THEN 1 ELSE total.n - 1 - inner_nodes.leaves END AS reachable_after_removal
+    FROM inner_nodes JOIN total ON total.r = inner_nodes.r JOIN start USING (v) LEFT JOIN sized ON sized.k = start.k"""
+)
+def cut_vertices_all(spark, sf_dir):
+    """cut_vertices with the customers; its SQL counts the leaves of each nation instead of walking the graph."""
+    return structure.bridge_nodes(P.supply(spark, sf_dir))
+
+
 _TOPO = f"""{_SUPPLY}, low AS (SELECT id FROM sn WHERE id NOT IN (SELECT target FROM se)),
  l0 AS (SELECT id, 0::BIGINT AS level, row_number() OVER (ORDER BY id) - 1 AS place FROM low),
  l1n AS (SELECT target AS id, max(place) AS after FROM se JOIN l0 ON source = l0.id GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM se s2 WHERE s2.target = se.target)),
@@ -415,9 +433,19 @@ def degree_top10(spark, sf_dir):
       (SELECT count(*) FROM n WHERE id NOT IN (SELECT a FROM u)) AS isolated_node_count, (SELECT count(*) FROM deg WHERE d > 1) AS bridge_node_count"""
 )
 def diagnostics_summary(spark, sf_dir):
+    """Without the customers, like its SQL; diagnostics_summary_all takes them in."""
     return rounded(structure.diagnostics_summary(P.supply(spark, sf_dir, customers=False)))
 
 
+@query(
+    f"""WITH {_LEAVES} SELECT (SELECT count(DISTINCT r) FROM home) AS component_count, (SELECT max(c) FROM (SELECT count(*) AS c FROM home GROUP BY r)) AS largest_component_size, (SELECT count(*) FROM home) AS node_count,
+      (SELECT count(*) FROM leaf) + (SELECT count(*) FROM nation) AS edge_count, (SELECT count(*) FROM region WHERE r_regionkey NOT IN (SELECT r FROM sized)) AS isolated_node_count, (SELECT count(*) FROM inner_nodes) AS bridge_node_count"""
+)
+def diagnostics_summary_all(spark, sf_dir):
+    """diagnostics_summary with the customers."""
+    return rounded(structure.diagnostics_summary(P.supply(spark, sf_dir)))
+
+
 @query(f"WITH {_SUPPLY} SELECT 'node' AS component, type, count(*) AS n FROM sn GROUP BY 2 UNION ALL SELECT 'edge', 'located_in', count(*) FROM se")
 def type_counts(spark, sf_dir):
     return structure.type_counts(P.supply(spark, sf_dir))
