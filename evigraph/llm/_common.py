@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,13 @@ CACHE_ENTRIES = 300_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from spark.checkpoint.dir.
 
-    Only where neither that setting nor a checkpoint directory exists (tests on one machine) a
-    temporary folder is made and set as the session's checkpoint directory.
+    Only on one machine (master local) and where neither that setting nor a checkpoint directory exists, as in tests, a
+    temporary folder is made and set as the session's checkpoint directory; on a cluster RuntimeError is raised.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = tempfile.mkdtemp(prefix="evigraph-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -34,7 +37,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evigraph/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.stage_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,18 +10,19 @@ similarity of the sets, by which links are verified.
 BANDS bands of ROWS registers deal the distinct texts into buckets. Links are verified by the exact
 Jaccard similarity of the shingle sets. All pairs of a bucket are never formed:
 
-1. Every bucket has a pivot (first its least text, later one drawn by a hash); the others are compared with it, and connected
+1. Every bucket has a pivot, its most central text: the one whose bands are shared with most texts, which is
+   the same text in most bands of a group of copies. The other texts are compared with it, and connected
    components follow.
-2. Jaccard distance is a metric, so what two texts are to the pivot can rule out that they are copies of each other: with distances
-   counted in steps of 1 - THRESHOLD, a text within one step of the pivot is no copy of one beyond two, nor one within two
-   steps of one beyond three. A bucket is settled for the texts of the pivot's component that are ruled out so for every text outside
-   the component; the others stay in it.
-3. After a second pivot, drawn by a hash, what stays is compared pair by pair, but only pairs of different components that are not ruled
-   out and of which one text is outside the bucket's largest component. Buckets with more than STRAYS such texts are first
-   dealt anew by pairs of bands.
+2. A shingle outside the pivot's that no text of another component holds can't be common to two components. So what a text has
+   in common with any text of another component is bounded by what it has in common with the pivot and by its extra
+   shingles that another component holds too. A text for which this bound leaves no link is settled. What is settled is proven,
+   not guessed: copies edited each on its own drop out here, in time linear in their number.
+3. Pairs across components are compared for what is left, as far as sizes and bounds allow a link, or, while these pairs are
+   many, it is dealt to a second pivot, drawn from texts outside the bucket's largest component, and so on.
 
 For verification the shingle set of a pivot travels once for every BLOCK of its members, so that a group
-of any size is dealt over many tasks. Equal texts are collapsed first and put back at the end.
+of any size is dealt over many tasks. Equal texts are collapsed first and put back at the end. Intermediate tables are
+written to the shared folder and deleted once nothing reads them.
 """
 
 from __future__ import annotations
@@ -31,15 +32,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.llm._common import WordHash, materialize
+from evigraph.llm._common import WordHash, discard, materialize
 
 SHINGLE_WORDS = 5
 BANDS, ROWS, REGISTERS = 25, 5, 128
-STRAYS, BLOCK = 64, 128
+BLOCK = 128
 THRESHOLD = 0.8
+#: While more pairs than this for each text are left, buckets get another pivot, at most so many times. Either way all pairs are judged.
+PAIRS_A_TEXT, PIVOTS = 4, 6
 
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -96,12 +100,9 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted arrays without repeats; of two empty ones, 1."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / (len(a) + len(b) - common)
+def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of a's keys b holds; b is sorted and not empty."""
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
 
 
 def _lower_bytes(text_col: str):
@@ -109,11 +110,11 @@ def _lower_bytes(text_col: str):
 
 
 def _sketches(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(id, raw, node, bands): node is the digest of the word sequence; bands are empty for a text without words."""
+    """(id, raw, spot, node, bands): spot numbers the rows, node is the digest of the word sequence; bands are empty for a text without words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        hashes, spot = WordHash(), TaskContext.get().partitionId() << 33
         for batch in batches:
             texts, n = batch.column(2), len(batch.column(2))
             nodes: list[bytes] = []
@@ -133,10 +134,12 @@ def _sketches(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
                 made = band_keys(prob_min_hash(np.concatenate(keys), np.concatenate(weights), np.concatenate(doc), i - start))
                 bands += [made[j] if len(keys[j]) else made[j][:0] for j in range(i - start)]
                 start = i
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "raw", "node", "bands"])
+            columns = [batch.column(0), batch.column(1), pa.array(np.arange(spot, spot + n)), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            spot += n
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "raw", "spot", "node", "bands"])
 
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("raw"), _lower_bytes(text_col).alias("t"))
-    return source.mapInArrow(run, f"id {kind}, raw long, node binary, bands array<long>")
+    return source.mapInArrow(run, f"id {kind}, raw long, spot long, node binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -152,96 +155,118 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> Dat
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("raw"), F.col(text_col).alias("t"))
     w = wanted.select(F.col("id").alias("w_id"), F.col("raw").alias("w_raw"))
     few = source.join(w, (F.col("raw") == F.col("w_raw")) & F.col("id").eqNullSafe(F.col("w_id")), "left_semi")
-    return few.select(_lower_bytes("t").alias("t")).mapInArrow(run, "node binary, set binary")
+    made = few.select(_lower_bytes("t").alias("t")).mapInArrow(run, "node binary, set binary")
+    return made.dropDuplicates(["node"])  # rows that repeat id and text
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(node, pivot, grade) of the pairs within three steps: grade 3 within one step, which is a link, 2 within two, 1 within three."""
-    size = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.join(materialize(size.where(F.col("n") > BLOCK), "hot-pivots"), "pivot", "left").withColumn(
-        "block", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))).cast("int")
-    )
-    dealt = materialize(dealt.select("pivot", "block", "node"), "pairs")
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(band, node, pivot) of the buckets that hold two texts or more."""
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # BANDS bands a text at most
+    central = materialize(banded.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("mass"), F.collect_list("band").alias("bands")), "central")
+    rows = central.select("node", "mass", F.explode("bands").alias("band"))
+    pivots = rows.groupBy("band").agg(F.max(F.struct("mass", "node")).alias("top")).select("band", F.col("top.node").alias("pivot"))
+    out = materialize(rows.select("band", "node").join(pivots, "band"), "buckets")
+    discard(central)
+    return out
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, threshold: float, extras: bool) -> DataFrame:
+    """(node, pivot, n, shared, link) of the pairs, and the node's keys that the pivot lacks where extras are wanted; else links only."""
+    size = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    block = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))).cast("int")
+    dealt = materialize(pairs.join(size, "pivot", "left").select("pivot", block.alias("block"), "node"), "pairs")
     heads = dealt.select("pivot", "block").distinct().withColumn("node", F.col("pivot")).withColumn("role", F.lit(0))
     rows = heads.unionByName(dealt.withColumn("role", F.lit(1))).join(sets, "node")
     n = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    steps = [1 - k * (1 - threshold) for k in (1, 2, 3)]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, np.zeros(0, _U)
+        key, held = None, np.zeros(1, _U)
         for batch in batches:
-            nodes, pivots, grades = [], [], []
-            for pivot, block, role, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: list[tuple] = []
+            for i in range(len(batch)):
+                pivot, block, role, node, raw = (c[i].as_py() for c in batch.columns)
                 keys = np.frombuffer(raw, _U)
                 if role == 0:
                     key, held = (pivot, block), keys
                 elif key == (pivot, block):
-                    small, large = sorted((len(keys), len(held)))
-                    if small >= steps[2] * large and (grade := sum(jaccard(keys, held) >= x for x in steps)):
-                        nodes.append(node)
-                        pivots.append(pivot)
-                        grades.append(grade)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(pivots, pa.binary()), pa.array(grades, pa.int32())], names=["node", "pivot", "grade"])
+                    same = common(keys, held)
+                    shared = int(same.sum())
+                    link = shared >= threshold * (len(keys) + len(held) - shared)
+                    if extras or link:
+                        out.append((node, pivot, len(keys), shared, link, keys[~same].view(np.int64) if extras else None))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "pivot", "n", "shared", "link", "extra"])
 
-    dealt_rows = rows.select("pivot", "block", "role", "node", "set").repartition(n, "pivot", "block").sortWithinPartitions("pivot", "block", "role")
-    return materialize(dealt_rows.mapInArrow(compare, "node binary, pivot binary, grade int").distinct(), "compared")
+    ordered = rows.select("pivot", "block", "role", "node", "set").repartition(n, "pivot", "block").sortWithinPartitions("pivot", "block", "role")
+    out = materialize(ordered.mapInArrow(compare, "node binary, pivot binary, n long, shared long, link boolean, extra array<long>"), "compared")
+    discard(dealt)
+    return out
 
 
-def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, label): the least node of each connected component, by propagation of labels with pointer jumping.
+def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(node, label) of every node that links (node, pivot) name: the least node of its connected component.
 
-    Raises RuntimeError rather than return unfinished labels.
+    Labels spread along links, with pointer jumping. Raises RuntimeError rather than return unfinished labels.
     """
-    both = materialize(links.select("node", "pivot").unionByName(links.select(F.col("pivot").alias("node"), F.col("node").alias("pivot"))), "links-both")
-    labels = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
+    both = materialize(links.select("node", "pivot").unionByName(links.select(F.col("pivot").alias("node"), F.col("node").alias("pivot"))).distinct(), "links-both")
+    labels = materialize(both.groupBy("node").agg(F.least("node", F.min("pivot")).alias("label")), "labels")
     for _ in range(max_rounds):
-        told = both.join(labels.select(F.col("node").alias("pivot"), "label"), "pivot").groupBy("node").agg(F.min("label").alias("heard"))
-        near = labels.join(told, "node", "left").select("node", "label", F.least("label", F.coalesce("heard", "label")).alias("next"))
-        near = materialize(near, "labels")
-        jump = near.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        new = materialize(near.join(jump, "next").select("node", "label", "far"), "labels")
-        if new.where("far != label").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", F.col("far").alias("label"))
+        named = labels.select(F.col("node").alias("pivot"), "label")
+        told = both.join(named, "pivot").select("node", "label").unionByName(labels.join(named.withColumnRenamed("pivot", "at").withColumnRenamed("label", "far"), F.col("label") == F.col("at")).select("node", F.col("far").alias("label")))
+        new = materialize(told.unionByName(labels).groupBy("node").agg(F.min("label").alias("label")), "labels")
+        done = new.join(labels, ["node", "label"], "left_anti").isEmpty()
+        discard(labels)
+        labels = new
+        if done:
+            discard(both)
+            return labels
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
-def _unsettled(work: DataFrame, compared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, node, label, grade, main, strays) that stay of work (band, node, pivot) after its comparisons.
+def _left(work: DataFrame, compared: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(band, node, label, n, most) of the texts of work (band, node, pivot) that may yet have a link across components.
 
-    main is the label of most of the band's texts that stay, strays is how many have another.
+    most bounds what the text has in common with any text of another component in its bucket.
     """
-    placed = work.where("node != pivot").join(labels, "node").join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("at")), "pivot")
-    grade = F.coalesce("grade", F.lit(0))
-    placed = placed.join(compared, ["node", "pivot"], "left").select("band", "node", "label", (F.col("label") != F.col("at")).alias("out"), grade.alias("grade"))
-    placed = materialize(placed, "placed")
-    bands = placed.groupBy("band").agg(F.max(F.when(F.col("out"), F.col("grade"))).alias("best")).where("best IS NOT NULL")
-    # grade 3 is ruled out unless a text outside has grade 2, grade 2 unless one has grade 1 or 2
-    stay = materialize(placed.join(materialize(bands, "open-bands"), "band").where("out OR grade + best >= CASE WHEN grade = 3 THEN 5 WHEN grade = 2 THEN 3 ELSE 0 END"), "staying")
-    sizes = stay.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("n"))
-    sizes = sizes.select("band", F.col("top.label").alias("main"), (F.col("n") - F.col("top.m")).alias("strays")).where("strays > 0")
-    return materialize(stay.join(materialize(sizes, "open-sizes"), "band").select("band", "node", "label", "grade", "main", "strays"), "unsettled")
-
-
-def _pairs_across(stay: DataFrame) -> DataFrame:
-    """(node, pivot): pairs of different components that are not ruled out, the pivot outside the band's largest component."""
-    stray = stay.where("label != main").select("band", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"), F.col("grade").alias("g"))
-    both = stay.join(stray, "band").where("label != pivot_label AND (label = main OR pivot < node)")
-    ruled_out = "(greatest(grade, g) = 3 AND least(grade, g) <= 1) OR (greatest(grade, g) = 2 AND least(grade, g) = 0)"
-    return materialize(both.where(f"NOT ({ruled_out})").select("node", "pivot").distinct(), "across")
-
-
-def _drawn(rows: DataFrame, turn: int) -> DataFrame:
-    """rows (band, node) with a pivot for each band."""
-    picked = rows.groupBy("band").agg(F.min_by("node", F.struct(F.xxhash64(F.lit(turn), "band", "node"), F.col("node"))).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return materialize(rows.join(materialize(picked.select("band", "pivot"), "drawn-pivots"), "band").select("band", "node", "pivot"), "drawn")
-
-
-def _split(rows: DataFrame) -> DataFrame:
-    """rows (band, node) dealt anew: a bucket for every two bands of a text."""
-    lists = rows.groupBy("node").agg(F.array_sort(F.collect_set("band")).alias("b"))  # BANDS at most
-    pairs = F.transform("b", lambda x, i: F.transform(F.slice("b", i + 2, F.size("b")), lambda y: F.xxhash64(x, y)))
-    return lists.select("node", F.explode(F.flatten(pairs)).alias("band"))
+    placed = work.join(labels, "node", "left").select("band", "pivot", "node", F.coalesce("label", "node").alias("label"))
+    several = placed.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
+    opened = materialize(placed.join(several, "band", "left_semi").where("node <> pivot"), "open")
+    facts = materialize(opened.select("pivot", "node", "label").distinct().join(compared.select("node", "pivot", "n", "shared", "extra"), ["node", "pivot"]), "facts")
+    extra = facts.select("pivot", "node", "label", F.explode("extra").alias("key"))
+    held = extra.groupBy("pivot", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("pivot", "key")
+    more = extra.join(held, ["pivot", "key"], "left_semi").groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("more"))
+    most = F.col("shared") + F.coalesce("more", F.lit(0))
+    bounded = facts.join(more, ["pivot", "node"], "left").select("pivot", "node", "n", most.alias("most")).where(F.col("most") >= threshold * F.col("n"))
+    bounded = materialize(bounded, "bounded")
+    # a link needs this share of both sizes in common, and sizes no further apart than the threshold
+    floors = bounded.groupBy("pivot").agg(F.min("n").alias("floor"))
+    fits = F.col("most") >= threshold / (1 + threshold) * (F.col("n") + F.greatest("floor", threshold * F.col("n"))) - 1e-9
+    fitting = bounded.join(floors, "pivot").where(fits).select("pivot", "node", "n", "most")
+    rest = materialize(opened.join(fitting, ["pivot", "node"]).select("band", "node", "label", "n", "most"), "fitting")
+    again = rest.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
+    out = materialize(rest.join(again, "band", "left_semi"), "left")
+    for df in (opened, facts, bounded, rest):
+        discard(df)
+    return out
+
+
+def _strays(left: DataFrame) -> tuple[DataFrame, int, int]:
+    """(the rows with main, the label of most of the band's texts; pairs across at most; texts)."""
+    sizes = left.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"))
+    rows = materialize(left.join(sizes, "band").select("band", "node", "label", "n", "most", F.col("top.label").alias("main"), "all"), "strays")
+    pairs, texts = rows.agg(F.coalesce(F.sum(F.when(F.col("label") != F.col("main"), F.col("all"))), F.lit(0)), F.count(F.lit(1))).first()
+    return rows, pairs, texts
+
+
+def _pairs_across(rows: DataFrame, threshold: float) -> DataFrame:
+    """(node, pivot): pairs of different components that may be links, the pivot outside the band's largest component."""
+    stray = rows.where("label <> main").select("band", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"), F.col("n").alias("pn"), F.col("most").alias("pm"))
+    both = rows.join(stray, "band").where("label <> pivot_label AND (label = main OR pivot < node)")
+    may = F.least("most", "pm") >= threshold / (1 + threshold) * (F.col("n") + F.col("pn")) - 1e-9
+    return both.where(may & (F.least("n", "pn") >= threshold * F.greatest("n", "pn"))).select("node", "pivot").distinct()
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -250,58 +275,67 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     class_id is the least id of the row's class (null ids are above every other; null if all are). Texts with the same
     words in the same order are in one class; so are texts joined by a chain of links, a link being a
     Jaccard similarity of the shingle sets of threshold or more. A null text counts as empty; texts
-    without words are one class. kept marks the row that stays of each class: that of class_id, of
-    repeated ids the one with the least hash; rows that repeat id and text are all marked. An empty table
+    without words are one class. kept marks the one row that stays of each class: that of class_id, of
+    repeated ids the one with the least hash, of rows that repeat both any one. An empty table
     gives an empty result; other columns are not read.
     """
     sketched = materialize(_sketches(docs, text_col, id_col), "sketches")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "raw"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "raw", "spot"))
     nodes = materialize(sketched.groupBy("node").agg(first.alias("f"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"), "shared-bands")
-    buckets = materialize(banded.join(shared, "band").select("band", "node", "pivot"), "buckets")
-    candidates = materialize(buckets.select("node").distinct().join(nodes.select("node", "f.id", "f.raw"), "node"), "candidates")
-    sets = materialize(_sets(docs, candidates, text_col, id_col), "shingle-sets")
+    buckets = _buckets(nodes)
+    wanted = buckets.select("node").distinct().join(nodes.select("node", "f.id", "f.raw"), "node")
+    sets = materialize(_sets(docs, wanted, text_col, id_col), "shingle-sets")
 
-    def compare(pairs: DataFrame) -> DataFrame:
+    work, links, labels, spent = buckets, None, None, [buckets, sets]
+
+    def learn(found: DataFrame) -> None:
         nonlocal links, labels
-        made = _verified(pairs, sets, threshold)
-        new = made.where("grade = 3").select("node", "pivot")
-        links = new if links is None else links.unionByName(new)
-        labels = components(candidates, links)
-        return made
-
-    links = labels = None
-    work = buckets
-    for turn in (0, 1, 2):
-        stay = _unsettled(work, compare(work.where("node != pivot").select("node", "pivot").distinct()), labels)
-        if stay.isEmpty():
+        links = found if links is None else links.unionByName(found)
+        if labels is not None:
+            discard(labels)
+        labels = components(links)
+
+    for turn in range(PIVOTS):
+        compared = _compared(work.where("node <> pivot").select("node", "pivot").distinct(), sets, threshold, True)
+        spent.append(compared)
+        learn(compared.where("link").select("node", "pivot"))
+        left = _left(work, compared, labels, threshold)
+        rows, pairs, texts = _strays(left)
+        spent += [left, rows]
+        if pairs == 0:
             break
-        if turn == 0:
-            work = _drawn(stay.select("band", "node"), turn)
-            continue
-        many = F.col("strays") > STRAYS if turn == 1 else F.lit(False)
-        pairs = _pairs_across(stay.where(~many))
-        if not pairs.isEmpty():
-            compare(pairs)
-        work = _drawn(_split(stay.where(many).select("band", "node")), turn)
-        if work.isEmpty():
+        if pairs <= PAIRS_A_TEXT * texts or turn == PIVOTS - 1:
+            across = _compared(_pairs_across(rows, threshold), sets, threshold, False)
+            spent.append(across)
+            learn(across.select("node", "pivot"))
             break
+        picked = rows.where("label <> main").groupBy("band").agg(F.max_by("node", F.struct(F.col("most") / F.col("n"), F.xxhash64(F.lit(turn), "node"))).alias("pivot"))
+        work = materialize(rows.join(picked, "band").select("band", "node", "pivot"), "next-pivots")
+        spent.append(work)
 
     classed = nodes.select("node", "f", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = classed.groupBy("label").agg(F.min("f").alias("keep"), F.sum("n").alias("class_size"))
-    by_node = materialize(classed.select("node", "label").join(materialize(classes, "classes"), "label").select("node", "keep", "class_size"), "node-classes")
-    return sketched.select("id", "raw", "node").join(by_node, "node").select(
-        F.col("id").alias(id_col),
-        "raw",
-        F.col("keep.id").alias("class_id"),
-        "class_size",
-        (F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("raw") == F.col("keep.raw"))).alias("kept"),
+    by_node = materialize(classed.select("node", "label").join(classes, "label").select("node", "keep", "class_size"), "node-classes")
+    for df in (*spent, labels, nodes):
+        discard(df)
+    return sketched.select("id", "raw", "spot", "node").join(by_node, "node").select(
+        F.col("id").alias(id_col), "raw", F.col("keep.id").alias("class_id"), "class_size", (F.col("spot") == F.col("keep.spot")).alias("kept")
     )
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that near_duplicates marks, with the columns of docs."""
-    kept = materialize(near_duplicates(docs, text_col, id_col, threshold).where("kept").select(F.col(id_col).alias("__id"), F.col("raw").alias("__kept")), "kept")
-    keyed = docs.withColumn("__raw", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return keyed.join(kept, (F.col("__raw") == F.col("__kept")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").drop("__raw")
+    """The rows that near_duplicates marks, one of each class, with the columns of docs.
+
+    Null and empty texts are one class with the texts without words. Of rows that repeat the id and the text of a row
+    that stays, the one with the least hash of all its columns (as JSON) stays. Any column names will do; an empty table gives an empty result.
+    """
+    row, id_ = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col(f"`{id_col}`")
+    marked = near_duplicates(docs, text_col, id_col, threshold)
+    kept = materialize(marked.where("kept").select(F.col(id_col).alias("kept_id"), F.col("raw").alias("kept_raw")), "kept")
+    raw = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    keyed = docs.select(id_.alias("id"), raw.alias("raw"), row.alias("row"))
+    out = keyed.join(kept, (F.col("raw") == F.col("kept_raw")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    if not marked.groupBy(id_col, "raw").count().where("count > 1").isEmpty():
+        copies = Window.partitionBy("id", "raw").orderBy(F.xxhash64(F.to_json("row")))
+        out = out.withColumn("nth", F.row_number().over(copies)).where("nth = 1")
+    return out.select("row.*")

@@ -107,3 +107,52 @@ def test_copies_that_differ_by_repeated_lines(spark):
     got = classes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got == brute_classes(rows)
     assert sum(a != b for a, b in got) >= 60
+
+
+def linked_classes(rows):
+    """Brute force over all pairs by a product of incidence matrices."""
+    sets, at = sets_of([t for _, t in rows]), {}
+    held = np.zeros((len(rows), len({k for s in sets for k in s})), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [at.setdefault(k, len(at)) for k in s]] = 1
+    both, size = held @ held.T, held.sum(axis=1)
+    link = both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-3
+    label = np.arange(len(rows))
+    while True:
+        new = np.array([label[link[i]].min() for i in range(len(rows))])
+        if (new == label).all():
+            return {rows[i][0]: rows[int(label[i])][0] for i in range(len(rows))}
+        label = new
+
+
+@pytest.mark.parametrize("slots", [False, True])
+def test_large_buckets(spark, slots):
+    """1,000 copies of a text and 500 strays around it, some linked among themselves only; or texts of one form, filled in from few words."""
+    r, rows = random.Random(3), []
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(120)]
+    fill = [[word() for _ in range(4)] for _ in range(8)]
+    for i in range(1500 if not slots else 400):
+        text = list(base)
+        if slots:
+            for k, words in enumerate(fill):
+                text[7 + 14 * k] = r.choice(words)
+        else:
+            for _ in range(r.choice((1, 1, 2)) if i < 1000 else r.randint(3, 12)):
+                text[r.randrange(120)] = word()
+        rows.append((i, " ".join(text)))
+        if not slots and i >= 1000 and i % 5 == 0:
+            near = list(text)
+            near[r.randrange(120)] = word()
+            rows.append((10_000 + i, " ".join(near)))
+    r.shuffle(rows)
+    got = {x["doc_id"]: x["class_id"] for x in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = linked_classes(sorted(rows))
+    assert len(set(want.values())) > 20
+    assert got == want
+
+
+def test_repeated_rows_keep_one(spark):
+    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (1, "a b c d e f g", "y"), (2, "a b c d e f g", "z"), (None, "q", "w"), (None, "q", "w")]
+    kept = N.keep_one(spark.createDataFrame(rows, "doc_id long, text string, `raw.x` string"))
+    assert sorted(((x[0], x[1]) for x in kept.collect()), key=str) == [(1, "a b c d e f g"), (None, "q")]
