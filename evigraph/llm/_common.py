@@ -15,6 +15,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Entries that a task's word cache holds before it is emptied; bounds worker memory on any input.
 CACHE_ENTRIES = 300_000
+#: Of an Arrow batch that goes to a Python worker; a single row may be larger.
+BATCH_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,10 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
+    """Write df once to the shared folder as Parquet and read it back: cuts lineage, survives lost executors.
+
+    The job's shuffle files go once it has ended, as nothing after it reads them.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evigraph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, tidy = f"{shared_dir(spark)}/evigraph/{name}-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(tidy)
+    spark.conf.set(tidy, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(tidy, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stage_path = path
     return out
@@ -49,10 +59,24 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_prefix(columns: list[str], prefix: str = "_x") -> str:
+    """A prefix that no column name begins with, for working columns beside those of a user."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have Spark cut the Arrow batches that it sends to Python at BATCH_BYTES, unless the session has a smaller bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class WordHash(dict):
     """bytes -> 64-bit hash, remembered; at most CACHE_ENTRIES words are held between documents."""
 

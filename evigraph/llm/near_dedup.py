@@ -10,15 +10,17 @@ similarity of the sets, by which links are verified.
 BANDS bands of ROWS registers deal the distinct texts into buckets. Links are verified by the exact
 Jaccard similarity of the shingle sets. All pairs of a bucket are never formed:
 
-1. Every bucket has a pivot, its most central text: the one whose bands are shared with most texts, which is
-   the same text in most bands of a group of copies. The other texts are compared with it, and connected
-   components follow.
-2. A shingle outside the pivot's that no text of another component holds can't be common to two components. So what a text has
-   in common with any text of another component is bounded by what it has in common with the pivot and by its extra
-   shingles that another component holds too. A text for which this bound leaves no link is settled. What is settled is proven,
+1. Texts have a rank: how many texts share their bands, so in a group of copies a central text ranks first. A text's anchor is the
+   first in rank of all that share a bucket with it. Every text is compared with its anchor only; linked anchors form a forest, whose
+   trees are components. A bucket within one component is settled without a comparison.
+2. A shingle that is not the anchor's, not any other anchor's and that no text of another component has on top of its anchor can't be common to texts
+   of two components. So what a text has in common with any text of another component is bounded by what it shares with its anchor and by its other
+   shingles that don't drop out so. A text for which this bound leaves no link is settled. What is settled is proven,
    not guessed: copies edited each on its own drop out here, in time linear in their number.
-3. Pairs across components are compared for what is left, as far as sizes and bounds allow a link, or, while these pairs are
-   many, it is dealt to a second pivot, drawn from texts outside the bucket's largest component, and so on.
+3. For what is left, pairs of a bucket across components are judged. Texts of one anchor are known by what they lack of it and what they
+   hold on top of it, so their similarity is computed exactly within the join, and links are all that it puts out. Texts of different
+   anchors are compared by their sets, as far as sizes and bounds allow a link; while such pairs are many, every text is first
+   compared with one more text, drawn from those outside the largest component of one of its buckets.
 
 For verification the shingle set of a pivot travels once for every BLOCK of its members, so that a group
 of any size is dealt over many tasks. Equal texts are collapsed first and put back at the end. Intermediate tables are
@@ -36,14 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.llm._common import WordHash, discard, materialize
+from evigraph.llm._common import WordHash, bound_batches, discard, materialize
 
 SHINGLE_WORDS = 5
 BANDS, ROWS, REGISTERS = 25, 5, 128
 BLOCK = 128
 THRESHOLD = 0.8
-#: While more pairs than this for each text are left, buckets get another pivot, at most so many times. Either way all pairs are judged.
-PAIRS_A_TEXT, PIVOTS = 4, 6
+#: While more pairs than this for each text are left, texts are first compared with one more pivot, at most so many times. Either way all pairs are judged.
+PAIRS_A_TEXT, PIVOTS = 4, 4
 
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -143,37 +145,36 @@ def _sketches(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(node, set) of the wanted nodes: the shingle keys of one document each, as bytes. wanted: (node, id, raw)."""
+    """(node, set) of the wanted nodes: the shingle keys of one document each. wanted: (node, id, raw)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
             found = [shingles(t.as_py(), hashes)[:2] for t in batch.column(0)]
             hashes.trim()
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([k.tobytes() for _, k in found], pa.binary())], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([k.view(np.int64) for _, k in found], pa.list_(pa.int64()))], names=["node", "set"])
 
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("raw"), F.col(text_col).alias("t"))
     w = wanted.select(F.col("id").alias("w_id"), F.col("raw").alias("w_raw"))
     few = source.join(w, (F.col("raw") == F.col("w_raw")) & F.col("id").eqNullSafe(F.col("w_id")), "left_semi")
-    made = few.select(_lower_bytes("t").alias("t")).mapInArrow(run, "node binary, set binary")
+    made = few.select(_lower_bytes("t").alias("t")).mapInArrow(run, "node binary, set array<long>")
     return made.dropDuplicates(["node"])  # rows that repeat id and text
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(band, node, pivot) of the buckets that hold two texts or more."""
+    """(band, node, top) of the buckets that hold two texts or more; top is the first in rank (mass, node) of the bucket."""
     banded = nodes.select("node", F.explode("bands").alias("band"))
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # BANDS bands a text at most
-    central = materialize(banded.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("mass"), F.collect_list("band").alias("bands")), "central")
-    rows = central.select("node", "mass", F.explode("bands").alias("band"))
-    pivots = rows.groupBy("band").agg(F.max(F.struct("mass", "node")).alias("top")).select("band", F.col("top.node").alias("pivot"))
-    out = materialize(rows.select("band", "node").join(pivots, "band"), "buckets")
-    discard(central)
+    ranked = materialize(banded.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("mass"), F.collect_list("band").alias("bands")), "ranked")
+    rows = ranked.select("node", "mass", F.explode("bands").alias("band"))
+    out = materialize(rows.select("band", "node").join(rows.groupBy("band").agg(F.max(F.struct("mass", "node")).alias("top")), "band"), "buckets")
+    discard(ranked)
     return out
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, threshold: float, extras: bool) -> DataFrame:
-    """(node, pivot, n, shared, link) of the pairs, and the node's keys that the pivot lacks where extras are wanted; else links only."""
+    """(node, pivot, link) of the pairs that are links; with extras of all pairs, with lack (places of the pivot's keys that the node lacks) and extra (the node's other keys)."""
     size = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
     block = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))).cast("int")
     dealt = materialize(pairs.join(size, "pivot", "left").select("pivot", block.alias("block"), "node"), "pairs")
@@ -182,30 +183,44 @@ def _compared(pairs: DataFrame, sets: DataFrame, threshold: float, extras: bool)
     n = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, np.zeros(1, _U)
+        key, held = None, np.zeros(1, np.int64)
         for batch in batches:
             out: list[tuple] = []
+            pivots, blocks, roles, nodes, sets_ = batch.columns
             for i in range(len(batch)):
-                pivot, block, role, node, raw = (c[i].as_py() for c in batch.columns)
-                keys = np.frombuffer(raw, _U)
-                if role == 0:
-                    key, held = (pivot, block), keys
-                elif key == (pivot, block):
+                at, keys = (pivots[i].as_py(), blocks[i].as_py()), np.asarray(sets_[i].values).view(_U)
+                if roles[i].as_py() == 0:
+                    key, held = at, keys
+                elif key == at:
                     same = common(keys, held)
                     shared = int(same.sum())
-                    link = shared >= threshold * (len(keys) + len(held) - shared)
-                    if extras or link:
-                        out.append((node, pivot, len(keys), shared, link, keys[~same].view(np.int64) if extras else None))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "pivot", "n", "shared", "link", "extra"])
+                    link = shared >= threshold * (len(keys) + len(held) - shared) - 1e-9
+                    if extras:
+                        out.append((nodes[i].as_py(), key[0], link, np.flatnonzero(~common(held, keys)).astype(np.int32), keys[~same].view(np.int64)))
+                    elif link:
+                        out.append((nodes[i].as_py(), key[0], link, None, None))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = (pa.binary(), pa.binary(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "pivot", "link", "lack", "extra"])
 
     ordered = rows.select("pivot", "block", "role", "node", "set").repartition(n, "pivot", "block").sortWithinPartitions("pivot", "block", "role")
-    out = materialize(ordered.mapInArrow(compare, "node binary, pivot binary, n long, shared long, link boolean, extra array<long>"), "compared")
+    out = materialize(ordered.mapInArrow(compare, "node binary, pivot binary, link boolean, lack array<int>, extra array<long>"), "compared")
     discard(dealt)
     return out
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """(node, label) of a forest (node, label: the parent, or the node itself at a root): the root of each node, by pointer jumping."""
+    labels = materialize(parents.select("node", "label"), "labels")
+    while True:
+        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        new = materialize(labels.join(far, "label").select("node", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")), "labels")
+        discard(labels)
+        labels = new
+        if labels.where("moved").isEmpty():
+            return labels
+
+
 def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, label) of every node that links (node, pivot) name: the least node of its connected component.
 
@@ -215,7 +230,7 @@ def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     labels = materialize(both.groupBy("node").agg(F.least("node", F.min("pivot")).alias("label")), "labels")
     for _ in range(max_rounds):
         named = labels.select(F.col("node").alias("pivot"), "label")
-        told = both.join(named, "pivot").select("node", "label").unionByName(labels.join(named.withColumnRenamed("pivot", "at").withColumnRenamed("label", "far"), F.col("label") == F.col("at")).select("node", F.col("far").alias("label")))
+        told = both.join(named, "pivot").select("node", "label").unionByName(labels.join(named.withColumnsRenamed({"pivot": "at", "label": "far"}), F.col("label") == F.col("at")).select("node", F.col("far").alias("label")))
         new = materialize(told.unionByName(labels).groupBy("node").agg(F.min("label").alias("label")), "labels")
         done = new.join(labels, ["node", "label"], "left_anti").isEmpty()
         discard(labels)
@@ -226,47 +241,68 @@ def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 
-def _left(work: DataFrame, compared: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """(band, node, label, n, most) of the texts of work (band, node, pivot) that may yet have a link across components.
+def _left(buckets: DataFrame, anchored: DataFrame, sets: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(band, node, label, n, anchor, shared, lack, more, main, bands) of the texts that may yet have a link across components.
 
-    most bounds what the text has in common with any text of another component in its bucket.
+    shared counts the keys in common with the anchor, more are those others that a text of another component may hold too, so both together bound what
+    the text has in common with any of these. lack are the places of the anchor's keys that the text lacks. main is the label of most of the band's rows, bands are all bands of the text that are left.
     """
-    placed = work.join(labels, "node", "left").select("band", "pivot", "node", F.coalesce("label", "node").alias("label"))
-    several = placed.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
-    opened = materialize(placed.join(several, "band", "left_semi").where("node <> pivot"), "open")
-    facts = materialize(opened.select("pivot", "node", "label").distinct().join(compared.select("node", "pivot", "n", "shared", "extra"), ["node", "pivot"]), "facts")
-    extra = facts.select("pivot", "node", "label", F.explode("extra").alias("key"))
-    held = extra.groupBy("pivot", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("pivot", "key")
-    more = extra.join(held, ["pivot", "key"], "left_semi").groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("more"))
-    most = F.col("shared") + F.coalesce("more", F.lit(0))
-    bounded = facts.join(more, ["pivot", "node"], "left").select("pivot", "node", "n", most.alias("most")).where(F.col("most") >= threshold * F.col("n"))
-    bounded = materialize(bounded, "bounded")
+    several = lambda df: df.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
+    placed = materialize(buckets.select("band", "node").join(labels, "node").select("band", "node", "label"), "placed")
+    opened = materialize(placed.join(several(placed), "band", "left_semi"), "open")
+    texts = opened.select("node", "label").distinct()
+    facts = materialize(texts.join(anchored.select("node", "pivot", "lack", "extra"), "node", "left"), "facts")
+    # a text without an anchor is one itself: it has all its keys in common with it
+    anchors = facts.select(F.coalesce("pivot", "node").alias("node")).distinct().join(sets, "node")
+    extra = facts.select("node", "label", F.explode("extra").alias("key"))
+    held = extra.select("key", "label").unionByName(anchors.select(F.explode("set").alias("key")).distinct().withColumn("label", F.lit(None).cast("binary")))
+    keys = held.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count_if(F.col("label").isNull()).alias("anchors")).where("a <> b OR (anchors > 0 AND a IS NOT NULL)").select("key")
+    more = extra.join(keys, "key", "left_semi").groupBy("node").agg(F.collect_list("key").alias("more"))
+    sizes = sets.select("node", F.size("set").cast("long").alias("n"))
+    shared = F.when(F.col("pivot").isNull(), F.col("n")).otherwise(F.col("n") - F.size("extra"))
+    lists = [F.coalesce("lack", F.array().cast("array<int>")).alias("lack"), F.coalesce("more", F.array().cast("array<long>")).alias("more")]
+    bounded = facts.join(more, "node", "left").join(sizes, "node").select("node", "n", F.coalesce("pivot", "node").alias("anchor"), shared.alias("shared"), *lists)
+    most = F.col("shared") + F.size("more")
     # a link needs this share of both sizes in common, and sizes no further apart than the threshold
-    floors = bounded.groupBy("pivot").agg(F.min("n").alias("floor"))
-    fits = F.col("most") >= threshold / (1 + threshold) * (F.col("n") + F.greatest("floor", threshold * F.col("n"))) - 1e-9
-    fitting = bounded.join(floors, "pivot").where(fits).select("pivot", "node", "n", "most")
-    rest = materialize(opened.join(fitting, ["pivot", "node"]).select("band", "node", "label", "n", "most"), "fitting")
-    again = rest.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
-    out = materialize(rest.join(again, "band", "left_semi"), "left")
-    for df in (opened, facts, bounded, rest):
+    need = lambda size: threshold / (1 + threshold) * (F.col("n") + size) - 1e-9
+    rest = materialize(opened.join(bounded.where(most >= threshold * F.col("n") - 1e-9), "node"), "bounded")
+    floors = rest.groupBy("band").agg(F.min("n").alias("floor"))
+    fitting = materialize(rest.join(floors, "band").where(most >= need(F.greatest("floor", threshold * F.col("n")))).drop("floor"), "fitting")
+    main = fitting.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all")).where("all > top.m")
+    several_left = materialize(fitting.join(main.select("band", F.col("top.label").alias("main")), "band"), "several")
+    bands = several_left.groupBy("node").agg(F.collect_list("band").alias("bands"))  # BANDS at most
+    out = materialize(several_left.join(bands, "node").select("band", "node", "label", "n", "anchor", "shared", "lack", "more", "main", "bands"), "left")
+    for df in (placed, opened, facts, rest, fitting, several_left):
         discard(df)
     return out
 
 
-def _strays(left: DataFrame) -> tuple[DataFrame, int, int]:
-    """(the rows with main, the label of most of the band's texts; pairs across at most; texts)."""
-    sizes = left.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"))
-    rows = materialize(left.join(sizes, "band").select("band", "node", "label", "n", "most", F.col("top.label").alias("main"), "all"), "strays")
-    pairs, texts = rows.agg(F.coalesce(F.sum(F.when(F.col("label") != F.col("main"), F.col("all"))), F.lit(0)), F.count(F.lit(1))).first()
-    return rows, pairs, texts
+def _across(left: DataFrame, threshold: float, one_anchor: bool) -> DataFrame:
+    """(node, pivot): pairs of different components, the pivot outside the band's largest component; once each, in the first band of both.
 
-
-def _pairs_across(rows: DataFrame, threshold: float) -> DataFrame:
-    """(node, pivot): pairs of different components that may be links, the pivot outside the band's largest component."""
-    stray = rows.where("label <> main").select("band", F.col("node").alias("pivot"), F.col("label").alias("pivot_label"), F.col("n").alias("pn"), F.col("most").alias("pm"))
-    both = rows.join(stray, "band").where("label <> pivot_label AND (label = main OR pivot < node)")
-    may = F.least("most", "pm") >= threshold / (1 + threshold) * (F.col("n") + F.col("pn")) - 1e-9
-    return both.where(may & (F.least("n", "pn") >= threshold * F.greatest("n", "pn"))).select("node", "pivot").distinct()
+    Of one anchor: the pairs that are links. Else: the pairs of different anchors that may be.
+    """
+    stray = left.where("label <> main").select("band", *[F.col(c).alias(f"s_{c}") for c in ("node", "label", "n", "anchor", "shared", "lack", "more", "bands")])
+    c, size = F.col, F.size
+    need = threshold / (1 + threshold) * (c("n") + c("s_n")) - 1e-9
+    may = (c("label") != c("s_label")) & ((c("label") == c("main")) | (c("s_node") < c("node"))) & (F.least("n", "s_n") >= threshold * F.greatest("n", "s_n") - 1e-9)
+    if one_anchor:
+        may = may & (c("anchor") == c("s_anchor")) & (F.least("shared", "s_shared") + F.least(size("more"), size("s_more")) >= need)
+    else:
+        may = may & (c("anchor") != c("s_anchor")) & (F.least(c("shared") + size("more"), c("s_shared") + size("s_more")) >= need)
+    may = may & (F.array_min(F.array_intersect("bands", "s_bands")) == c("band"))
+    if one_anchor:  # of the anchor's keys both hold those that neither lacks
+        anchor_n = c("shared") + size("lack")
+        both = anchor_n - size("lack") - size("s_lack") + size(F.array_intersect("lack", "s_lack")) + size(F.array_intersect("more", "s_more"))
+        may = may & (both >= need)
+    return left.join(stray, "band").where(may).select("node", c("s_node").alias("pivot"))
+
+
+def _next_pivots(left: DataFrame, turn: int) -> DataFrame:
+    """(node, pivot): for each text one text of another component, outside the largest component of a bucket of both."""
+    rank = F.struct(((F.col("shared") + F.size("more")) / F.col("n")).alias("share"), F.xxhash64(F.lit(turn), "node").alias("draw"), F.col("node"), F.col("label"))
+    picked = left.where("label <> main").groupBy("band").agg(F.max(rank).alias("top"))
+    return left.join(picked, "band").where("label <> top.label").groupBy("node").agg(F.max("top").alias("top")).select("node", F.col("top.node").alias("pivot"))
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -279,41 +315,47 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     repeated ids the one with the least hash, of rows that repeat both any one. An empty table
     gives an empty result; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     sketched = materialize(_sketches(docs, text_col, id_col), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "raw", "spot"))
     nodes = materialize(sketched.groupBy("node").agg(first.alias("f"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "nodes")
     buckets = _buckets(nodes)
-    wanted = buckets.select("node").distinct().join(nodes.select("node", "f.id", "f.raw"), "node")
+    anchors = materialize(buckets.groupBy("node").agg(F.max("top").alias("top")).select("node", F.col("top.node").alias("pivot")), "anchors")
+    wanted = anchors.select("node").join(nodes.select("node", "f.id", "f.raw"), "node")
     sets = materialize(_sets(docs, wanted, text_col, id_col), "shingle-sets")
-
-    work, links, labels, spent = buckets, None, None, [buckets, sets]
-
-    def learn(found: DataFrame) -> None:
-        nonlocal links, labels
-        links = found if links is None else links.unionByName(found)
-        if labels is not None:
-            discard(labels)
-        labels = components(links)
+    anchored = _compared(anchors.where("node <> pivot"), sets, threshold, True)
+    labels = _roots(anchors.select("node").join(anchored.where("link").select("node", "pivot"), "node", "left").select("node", F.coalesce("pivot", "node").alias("label")))
+    spent, n_texts = [buckets, anchors, sets, anchored], anchors.count()
 
     for turn in range(PIVOTS):
-        compared = _compared(work.where("node <> pivot").select("node", "pivot").distinct(), sets, threshold, True)
-        spent.append(compared)
-        learn(compared.where("link").select("node", "pivot"))
-        left = _left(work, compared, labels, threshold)
-        rows, pairs, texts = _strays(left)
-        spent += [left, rows]
-        if pairs == 0:
+        left = _left(buckets, anchored, sets, labels, threshold)
+        spent.append(left)
+        if left.isEmpty():
             break
-        if pairs <= PAIRS_A_TEXT * texts or turn == PIVOTS - 1:
-            across = _compared(_pairs_across(rows, threshold), sets, threshold, False)
-            spent.append(across)
-            learn(across.select("node", "pivot"))
+        found = materialize(_across(left, threshold, True), "near-anchor")
+        spent.append(found)
+        across = _across(left, threshold, False)
+        pairs = across.count()
+        last = turn == PIVOTS - 1 or pairs <= PAIRS_A_TEXT * n_texts
+        if pairs:
+            more = _compared(across if last else _next_pivots(left, turn), sets, threshold, False)
+            spent.append(more)
+            found = found.unionByName(more.select("node", "pivot"))
+        if found.isEmpty():
+            if last:
+                break
+            continue
+        own = labels.select("node", "label")
+        met = found.select("node", "pivot").join(own, "node").join(own.select(F.col("node").alias("pivot"), F.col("label").alias("other")), "pivot").where("label <> other")
+        joined = components(met.select(F.col("label").alias("node"), F.col("other").alias("pivot")))
+        new = materialize(own.join(joined.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        for df in (labels, joined):
+            discard(df)
+        labels = new
+        if last:
             break
-        picked = rows.where("label <> main").groupBy("band").agg(F.max_by("node", F.struct(F.col("most") / F.col("n"), F.xxhash64(F.lit(turn), "node"))).alias("pivot"))
-        work = materialize(rows.join(picked, "band").select("band", "node", "pivot"), "next-pivots")
-        spent.append(work)
 
-    classed = nodes.select("node", "f", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    classed = nodes.select("node", "f", "n").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = classed.groupBy("label").agg(F.min("f").alias("keep"), F.sum("n").alias("class_size"))
     by_node = materialize(classed.select("node", "label").join(classes, "label").select("node", "keep", "class_size"), "node-classes")
     for df in (*spent, labels, nodes):
