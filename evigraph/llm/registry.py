@@ -20,8 +20,13 @@ def mix_quotas(sizes: dict[str, int]) -> dict[str, float]:
     return {n: round(x, 6) for n, x in zip(names, shares, strict=True)}
 
 
-def mix_by_source(docs: DataFrame, targets: dict | None = None) -> DataFrame:
-    """mix_sources over one source a document; a null source is a source of its own, last in order."""
+def mix_by_source(docs: DataFrame, targets: dict | None = None, size: str | None = None, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """mix_sources over one source a document; a null source is a source of its own, last in order.
+
+    size: the column of a row's words; if None, they are counted in the text (null: none). targets, if given, is filled with
+    {source: (size, target)}. Rows without words take part with nothing; rows of equal id and size are alike; an empty table gives an
+    empty result. Columns named members, size and taken in the input are replaced.
+    """
 
     def quotas(sizes: dict[str, int]) -> dict[str, int]:
         wanted = mix_quotas(sizes)
@@ -29,18 +34,17 @@ def mix_by_source(docs: DataFrame, targets: dict | None = None) -> DataFrame:
             targets.update({n: (sizes[n], wanted[n]) for n in sizes})
         return {n: int(x + 0.5) for n, x in wanted.items()}
 
-    member = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t"))
-    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD_PATTERN))
-    size = F.col("__n_words") if "__n_words" in docs.columns else words
-    return mixing.mix_sources(docs, F.array(member), size, quotas, repeats=MIX_REPEATS)
+    member = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`")), F.lit("t"))
+    words = F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD_PATTERN)) if size is None else F.col(f"`{size}`")
+    return mixing.mix_sources(docs, F.array(member), words, quotas, id_col, repeats=MIX_REPEATS)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long").alias("__n_words"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long").alias("words"))
     targets: dict[str, tuple[int, float]] = {}
-    mixed = mix_by_source(materialize(docs, "mix-sizes"), targets)
-    by_source = spark.createDataFrame([([n], s, t) for n, (s, t) in targets.items()], "__members array<string>, source_size long, target double")
-    return mixed.join(F.broadcast(by_source), "__members").select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken")
+    mixed = mix_by_source(materialize(docs, "mix-sizes"), targets, "words")
+    by_source = spark.createDataFrame([([n], s, t) for n, (s, t) in targets.items()], "members array<string>, source_size long, target double")
+    return mixed.join(F.broadcast(by_source), "members").select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP1_SQL = r"""

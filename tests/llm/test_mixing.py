@@ -40,7 +40,7 @@ def test_flow_is_largest_and_cheapest(seed):
     r = random.Random(seed)
     quotas = [r.randint(0, 4) for _ in range(2)]
     patterns = [((0,), r.randint(1, 2)), ((0, 1), r.randint(1, 2)), ((1,), r.randint(1, 2))]
-    sent = mixing.route(patterns, quotas, 2)
+    sent = mixing.min_cost_flow(patterns, quotas, 2)
     into = [sum(s.get(i, 0) for s in sent) for i in range(2)]
     assert all(i <= q for i, q in zip(into, quotas))
     assert all(sum(s.values()) <= 2 * w for s, (_, w) in zip(sent, patterns))
@@ -69,7 +69,7 @@ def test_taken_words_meet_the_targets(spark, sf_dir):
 def test_odd_rows_and_empty_table(odd, none):
     mixed = registry.mix_by_source(odd).collect()
     assert len(mixed) == odd.count()
-    assert all(0 <= r["taken"] <= 2 * r["__size"] for r in mixed)
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in mixed)
     assert registry.mix_by_source(none).count() == 0
 
 
@@ -81,7 +81,29 @@ def test_overlapping_sources(spark):
     assert mixed.where("taken > 20").count() == 0
 
 
-def test_too_many_patterns(spark):
-    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit(1).alias("n"))
-    with pytest.raises(ValueError):
-        mixing.mix_sources(docs, F.array(F.col("doc_id").cast("string")), F.col("n"), lambda s: s, max_patterns=10)
+def test_plan_in_tasks_is_the_same(spark):
+    """Beyond max_patterns every connected set of sources is solved in a task."""
+    r = random.Random(4)
+    rows = [(i, sorted(r.sample("abc", r.randint(1, 3)) if i % 2 else [r.choice("pqrst"), r.choice("uvw")]), r.randint(0, 9)) for i in range(600)] + [(1000, [], 5), (1001, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, of array<string>, n long")
+    quotas = lambda sizes: {s: (0.4 if s in "ap" else 1.3) * w for s, w in sizes.items()}
+    a, b = (sorted(map(str, mixing.mix_sources(docs, F.col("of"), F.col("n"), quotas, max_patterns=m).collect())) for m in (100, 3))
+    assert a == b and len(a) == len(rows)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", 5, 1, "x", 2), (1, None, None, 1, "x", 2), (None, "a", 3, None, None, None)], "doc_id long, source string, n_words long, `size` long, `row` string, `a.b` long")
+    mixed = registry.mix_by_source(docs, size="n_words")
+    assert sorted(mixed.columns) == sorted(["doc_id", "source", "n_words", "row", "a.b", "members", "size", "taken"])
+    assert sorted((r["size"], r["a.b"]) for r in mixed.where("size > 0").collect()) == [(3, None), (5, 2)]
+
+
+def test_large_flow_ends(spark):
+    """20,000 patterns over 60 sources that all compete."""
+    r = random.Random(1)
+    patterns = [(tuple(sorted(r.sample(range(60), r.randint(1, 3)))), r.randint(1, 500)) for _ in range(20_000)]
+    quotas = [r.randint(10_000, 300_000) for _ in range(60)]
+    sent = mixing.min_cost_flow(patterns, quotas, 2)
+    into = [sum(x.get(s, 0) for x in sent) for s in range(60)]
+    assert all(i <= q for i, q in zip(into, quotas))
+    assert all(sum(x.values()) <= 2 * w for x, (_, w) in zip(sent, patterns))
