@@ -1,13 +1,13 @@
 """Katz backoff language model: Good-Turing discounted counts with exactly normalised backoff weights.
 
-P(w|h) = d(r) r / c(h) for bigrams seen r >= MIN_BIGRAM times in training, else alpha(h) P(w);
+P(w|h) = d(r) r / c(h) for bigrams seen r > 0 times in training, else alpha(h) P(w);
 P(w) = d(c) c / N for words seen in training, and the whole unseen mass for a word that is not (all unknown
 words are one). alpha(h) = (1 - sum of seen P(w|h)) / (1 - sum of P(w) over the same w), so each
 distribution sums to 1 over the known words and the unknown one. A text's first word follows the end of
 a text.
 
 Counts live in two tables partitioned by a hash of the word and of the bigram's history. Documents are
-first packed into blocks (word numbers of some two million tokens, and the block's vocabulary). Blocks send
+first packed into blocks (word numbers of some BLOCK_TOKENS tokens, and the block's vocabulary). Blocks send
 their distinct words and bigrams to the partitions they belong to, already counted, and get back what the
 partition knows of each: total count and word number; bigram count and what alpha needs of each history. No
 text and no token leaves its block. A word or a pair that occurs everywhere is one entry a block. Histories that hold more than
@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._common import materialize
+from evigraph.llm._common import bound_batches, discard, materialize
 
-#: Good-Turing discounts apply to counts up to this one; bigrams seen less often than MIN_BIGRAM back off.
-GT_MAX, MIN_BIGRAM = 5, 2
-BLOCK_TOKENS = 2_000_000
+#: Good-Turing discounts apply to counts up to this one.
+GT_MAX = 5
+BLOCK_TOKENS = 1_000_000
 #: The end of a text, as a word; no word of a text holds a space.
 END = b" end "
 #: Of the smoothed unigram base score.
@@ -50,10 +50,10 @@ def _unpack(raw: bytes, width: str = "<u8") -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(width).astype(np.int64 if width != "<f8" else np.float64)
 
 
-def discounts(times: list[int], total: int, types: int, least: int = 1) -> tuple[np.ndarray, float]:
+def discounts(times: list[int]) -> tuple[np.ndarray, float]:
     """(factor for counts 0 .. GT_MAX, what is taken off every larger count).
 
-    times[r]: how many types have count r, r up to GT_MAX + 1; the factor of counts below least is 0. Good-Turing with
+    times[r]: how many types have count r, r up to GT_MAX + 1. Good-Turing with
     Katz's correction where it gives factors in (0, 1]; else the same on counts of counts smoothed by a line through their
     logarithms; else (tables without enough low counts) absolute discounting.
     """
@@ -72,7 +72,6 @@ def discounts(times: list[int], total: int, types: int, least: int = 1) -> tuple
     if not ok:
         off = n1 / (n1 + 2 * times[2]) if n1 and times[2] else 0.5
         d[1:] = 1 - off / np.arange(1, GT_MAX + 1)
-    d[:least] = 0
     return d, off
 
 
@@ -81,7 +80,7 @@ class Unigrams:
 
     def __init__(self, times: list[int], total: int, types: int):
         self.total, self.types = total, types
-        self.d, self.off = discounts(times, total, types)
+        self.d, self.off = discounts(times)
         small = sum(times[r] * r for r in range(1, GT_MAX + 1))
         kept = sum(times[r] * r * self.d[r] for r in range(1, GT_MAX + 1)) + (total - small) - self.off * (types - sum(times[1 : GT_MAX + 1]))
         self.unseen = max(1 - kept / total, 1e-12) if total else 1.0
@@ -97,10 +96,10 @@ class Unigrams:
 def history_mass(parts: np.ndarray, count: np.ndarray, d: np.ndarray, off: float) -> tuple[np.ndarray, np.ndarray]:
     """(alpha, denominator) of each history.
 
-    parts: numbers of its bigrams of counts MIN_BIGRAM .. GT_MAX, number and sum of larger, sum of P(w). The denominator is
+    parts: numbers of its bigrams of counts 1 .. GT_MAX, number and sum of larger, sum of P(w). The denominator is
     the history's count, or one more where discounting leaves less than half a count to back off with.
     """
-    r = np.arange(MIN_BIGRAM, GT_MAX + 1)
+    r = np.arange(1, GT_MAX + 1)
     n = len(r)
     seen = parts[:, :n] @ (d[r] * r) + parts[:, n + 1] - off * parts[:, n]
     below = count + (count - seen < 0.5)
@@ -108,7 +107,7 @@ def history_mass(parts: np.ndarray, count: np.ndarray, d: np.ndarray, off: float
     return np.where(count > 0, alpha, 1.0), below
 
 
-N_PARTS = GT_MAX - MIN_BIGRAM + 4
+N_PARTS = GT_MAX + 3
 
 
 class Block:
@@ -251,25 +250,29 @@ def _bigram_table(unigrams: Unigrams):
             seen.append(_unpack(r["seen"]))
             cw.append(_unpack(r["cw"]))
             sizes.append(len(w[-1]))
-        h_all, w_all = np.concatenate(h), np.concatenate(w)
-        order = np.lexsort((w_all, h_all))
-        hs, ws = h_all[order], w_all[order]
+        hs, ws = np.concatenate(h), np.concatenate(w)
+        h, w = None, None
+        order = np.lexsort((ws, hs))
+        hs, ws = hs[order], ws[order]
         new = np.append(True, (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1]))
-        pair = np.empty(len(order), np.int64)
+        ws = None
+        pair = np.empty(len(order), np.int32)
         pair[order] = np.cumsum(new) - 1
         total = np.bincount(pair, weights=np.concatenate(seen)).astype(np.int64)
+        seen = None
         times = np.bincount(np.minimum(total, GT_MAX + 2), minlength=GT_MAX + 3)
         stats = np.array([total.sum(), (total > 0).sum(), len(total), *times[1 : GT_MAX + 2]], np.int64)
         out = [{"block": -1, "bucket": rows[0]["bucket"], "a": stats.tobytes(), "b": None}]
         histories, of = np.unique(hs[new], return_inverse=True)
-        p = unigrams.p(np.concatenate(cw)[order][new])
+        p = unigrams.p(np.concatenate(cw)[order[new]])
+        cw, order, hs, new = None, None, None, None
         parts = np.zeros((len(histories), N_PARTS))
-        for j, r in enumerate(range(MIN_BIGRAM, GT_MAX + 1)):
-            parts[:, j] = np.bincount(of[total == r], minlength=len(histories))
+        for r in range(1, GT_MAX + 1):
+            parts[:, r - 1] = np.bincount(of[total == r], minlength=len(histories))
         large = total > GT_MAX
         parts[:, N_PARTS - 3] = np.bincount(of[large], minlength=len(histories))
         parts[:, N_PARTS - 2] = np.bincount(of[large], weights=total[large], minlength=len(histories))
-        kept = total >= MIN_BIGRAM
+        kept = total > 0
         parts[:, N_PARTS - 1] = np.bincount(of[kept], weights=p[kept], minlength=len(histories))
         is_hot = np.zeros(len(histories), bool)
         for hh, x in zip(heads, hot, strict=True):
@@ -283,6 +286,12 @@ def _bigram_table(unigrams: Unigrams):
     return run
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one by one: only one block at a time is held as Python objects."""
+    for i in range(len(batch)):
+        yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+
+
 def _gathered(replies: DataFrame, name: str) -> DataFrame:
     """All replies of a block in one row; as many as there are buckets at most."""
     return replies.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "a", "b")).alias(name))
@@ -314,6 +323,7 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
     gives an empty result; other columns are not read.
     """
     kind, buckets = docs.schema[id_col].dataType.simpleString(), bucket_count(docs)
+    bound_batches(docs.sparkSession)
     made = materialize(_blocks(docs, text_col, id_col, held_out, buckets), "katz-blocks")
     word_replies = materialize(made.where("kind = 1").select("block", "bucket", "a", "b").groupBy("bucket").applyInArrow(_word_table, _REPLY), "katz-words")
     total, types, _, times = _totals(word_replies)
@@ -322,7 +332,7 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 block = Block(row)
                 block.learn_words(row["words"], buckets)
                 block.pair_up(buckets, total)
@@ -335,8 +345,8 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
                 yield pa.RecordBatch.from_pylist(rows, schema=_SENT_ARROW)
 
     replies = materialize(blocks.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(_bigram_table(unigrams), _REPLY), "katz-bigrams")
-    n_pairs, pair_types, _, pair_times = _totals(replies)
-    d, off = discounts(pair_times, n_pairs, pair_types, MIN_BIGRAM)
+    _, _, _, pair_times = _totals(replies)
+    d, off = discounts(pair_times)
     hot_parts: dict[int, np.ndarray] = {}
     for r in replies.where("block = -2").orderBy("bucket").select("a", "b").toLocalIterator():  # 4 x buckets histories at most
         for h, x in zip(np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"]).reshape(-1, N_PARTS), strict=True):
@@ -347,7 +357,7 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_parts = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 block = Block(row)
                 block.learn_words(row["words"], buckets)
                 block.pair_up(buckets, total)
@@ -363,7 +373,7 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
                 p = unigrams.p(block.count)
                 small = np.minimum(r_all, GT_MAX)
                 direct = np.where(r_all <= GT_MAX, d[small] * r_all, r_all - off) / np.maximum(below_all, 1)
-                pair = np.log10(np.where(r_all >= MIN_BIGRAM, direct, alpha_all * p[block.w]))
+                pair = np.log10(np.where(r_all > 0, direct, alpha_all * p[block.w]))
                 starts = np.append(0, np.cumsum(block.lengths)[:-1])
                 count = block.count[block.tokens]
                 base = np.log10((block.count + BASE_ADD) / (total + BASE_ADD * (types + 1)))[block.tokens]

@@ -11,6 +11,21 @@ from evigraph.llm import katz, registry
 END = katz.END
 
 
+def factors(times):
+    """Good-Turing factors of counts 1 to 5 from counts of counts, and what larger counts lose, by the formulas of the docstring."""
+    n = [times[r] for r in range(1, 7)]
+    if all(n):
+        k = np.arange(1, 7)
+        line = np.polyfit(np.log(k), np.log(n), 1)
+        for m in (n, [math.exp(line[1]) * r ** line[0] for r in k]):
+            top = 6 * m[5] / m[0]
+            d = {r: ((r + 1) * m[r] / (r * m[r - 1]) - top) / (1 - top) for r in range(1, 6)} if top < 1 else {}
+            if d and all(0 < x <= 1 for x in d.values()):
+                return d, 0.0
+    off = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+    return {r: 1 - off / r for r in range(1, 6)}, off
+
+
 class Brute:
     """The model by its definition, from dictionaries."""
 
@@ -22,16 +37,20 @@ class Brute:
                 self.b.update(zip([END, *t[:-1]], t))
         times = Counter(self.c.values())
         self.n, self.v = sum(self.c.values()), len(self.c)
-        self.u = katz.Unigrams([0] + [times[r] for r in range(1, 7)], self.n, self.v)
+        self.d1, self.off1 = factors(times)
+        kept = sum(self.cut1(r) for r in self.c.values())
+        self.unseen = max(1 - kept / self.n, 1e-12) if self.n else 1.0
         bt = Counter(self.b.values())
-        self.d, self.off = katz.discounts([0] + [bt[r] for r in range(1, 7)], sum(self.b.values()), len(self.b), 2)
+        self.d, self.off = factors(bt)
         self.after = defaultdict(list)
         for (h, w), r in self.b.items():
-            if r >= 2:
-                self.after[h].append((w, r))
+            self.after[h].append((w, r))
 
     def p1(self, w):
-        return float(self.u.p(np.array([self.c[w]]))[0])
+        return self.cut1(self.c[w]) / self.n if self.c[w] else self.unseen
+
+    def cut1(self, r):
+        return self.d1[r] * r if r <= 5 else r - self.off1
 
     def cut(self, r):
         return self.d[r] * r if r <= 5 else r - self.off
@@ -41,7 +60,7 @@ class Brute:
             return self.p1(w)
         kept = sum(self.cut(r) for _, r in self.after[h])
         below = self.c[h] + (self.c[h] - kept < 0.5)
-        if self.b[h, w] >= 2:
+        if self.b[h, w]:
             return self.cut(self.b[h, w]) / below
         return (1 - kept / below) / (1 - sum(self.p1(x) for x, _ in self.after[h])) * self.p1(w)
 
@@ -97,5 +116,5 @@ def test_nothing_to_learn_from(odd):
 
 def test_discounts_fall_back():
     for times in ([0, 0, 0, 0, 0, 0, 0], [0, 5, 0, 0, 0, 0, 0], [0, 100, 50, 30, 20, 15, 12], [0, 10, 30, 5, 40, 1, 2]):
-        d, off = katz.discounts(times, 100, 50)
+        d, off = katz.discounts(times)
         assert np.all(d[1:] > 0) and np.all(d[1:] <= 1) and 0 <= off < 1
