@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.llm._common import bound_batches
+
 # ---------------------------------------------------------------- the tree of blocks
 
 #: HTML's block elements, elements whose content is not markup, and elements that are never text.
@@ -29,7 +31,9 @@ BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption nav header footer aside form fieldset "
     "blockquote pre figure figcaption address details summary dialog menu center head hgroup search iframe object select option button".split()
 )
-RAW = frozenset("script style textarea title xmp noembed noframes template noscript svg math canvas".split())
+RAW = frozenset("script style textarea title xmp noembed noframes".split())
+#: Elements whose content is no text of the page, skipped where they are closed before the next block: drawings and parts that aren't shown.
+DRAWN = frozenset("svg template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end an open p, and those that end an open element of their own kind.
 CLOSES_P = BLOCKS - {"option", "button", "select", "td", "th", "tr"}
@@ -37,7 +41,8 @@ CLOSES_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"
 #: Where the search for an element to end stops.
 BARRIER = frozenset("html body table article section main div ul ol dl td th nav aside header footer form".split())
 
-_MARKUP = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>)""", re.DOTALL)
+_OPENING = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
@@ -65,9 +70,49 @@ class Page:
         return v
 
 
+class _Finder:
+    """Forward searches in one page; what is searched for again is not scanned again, so all searches take linear time."""
+
+    def __init__(self, markup: str):
+        self.markup, self.end = markup, len(markup)
+        self._next: dict[str, tuple[int, re.Match | None]] = {}
+        self.last = markup.rfind(">")
+        self.quotes = True
+
+    def find(self, pattern: str, at: int) -> re.Match | None:
+        """The first match at or after at."""
+        asked, known = self._next.get(pattern, (self.end + 1, None))
+        if not (asked <= at and (known is None or known.start() >= at)):
+            known = re.compile(pattern, re.IGNORECASE).search(self.markup, at)
+            self._next[pattern] = (at, known)
+        return known
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag whose name ends at at, quoted values passed over; -1 if there is none.
+
+        If quotes leave a tag open to the end of the page, they are not passed over from there on.
+        """
+        if at > self.last:
+            return -1
+        i = at
+        while self.quotes:
+            m = _STOP.search(self.markup, i)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.start()
+            i = self.markup.find(m[0], m.end()) + 1
+            if i == 0:
+                break
+        self.quotes = False
+        return self.markup.find(">", at)
+
+
 def parse(markup: str) -> Page:
+    """The tree of blocks of a page, in time linear in its length."""
     page, stack, link, at, run = Page(), [0], 0, 0, []
-    end_of = len(markup)
+    open_at: dict[str, list[int]] = {"#page": [0]}  # where in the stack the open elements of each kind are
+    seek, end_of = _Finder(markup), len(markup)
 
     def text(raw: str) -> None:
         if raw:
@@ -84,32 +129,49 @@ def parse(markup: str) -> Page:
                 page.segments.append((stack[-1], joined))
             run.clear()
 
+    def innermost(names) -> int:
+        return max((open_at[n][-1] for n in names if open_at.get(n)), default=0)
+
     def pop_to(names, stop=frozenset()) -> bool:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = page.tag[stack[i]]
-            if tag in names:
-                close_run()
-                del stack[i:]
-                return True
-            if tag in stop:
-                return False
-        return False
+        i = innermost(names)
+        if i == 0 or (stop and innermost(stop) > i):
+            return False
+        close_run()
+        for v in stack[i:]:
+            open_at[page.tag[v]].pop()
+        del stack[i:]
+        return True
 
     while at < end_of:
-        m = _MARKUP.search(markup, at)
+        m = _OPENING.search(markup, at)
         if m is None:
             text(markup[at:])
             break
         text(markup[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        if m[1]:
+            close = markup.find("-->", m.end())
+            at = close + 3 if close >= 0 else end_of
+            continue
+        if m[2]:
+            close = markup.find(">", m.end())
+            at = close + 1 if close >= 0 else end_of
             continue
-        name, closing = name.lower(), bool(m[1] or m[4])
+        close = seek.tag_end(m.end())
+        if close < 0:
+            text(markup[m.start() :])
+            break
+        name, closing, attrs = m[4].lower(), bool(m[3]), markup[m.end() : close]
+        at = close + 1
         if name in RAW:
-            if not closing and not (m[3] or m[6] or "").endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(markup, at)
-                at = close.end() if close else end_of
+            if not closing:
+                ended = seek.find(rf"</{name}(?=[\s/>])[^>]*>", at)
+                at = ended.end() if ended else end_of
+            continue
+        if name in DRAWN:
+            if not closing and not attrs.endswith("/"):
+                ended, block = seek.find(rf"</{name}\s*>", at), seek.find(_BLOCK_TAG, at)
+                if ended and (block is None or ended.start() < block.start()):
+                    at = ended.end()
             continue
         if name == "a":
             link = 0 if closing else 1
@@ -126,12 +188,12 @@ def parse(markup: str) -> Page:
                 pop_to({"p"}, BARRIER)
             if name in CLOSES_LIKE:
                 pop_to(CLOSES_LIKE[name], BARRIER - CLOSES_LIKE[name])
-            if name in ("html", "body") and any(page.tag[v] == name for v in stack):
+            if name in ("html", "body") and open_at.get(name):
                 continue
             if name == "body":
                 pop_to({"head"})
-            attrs = m[3] or m[6] or ""
             v = page.add(name, stack[-1], " ".join("".join(x) for x in _ATTRIBUTE.findall(attrs)) if "=" in attrs else "")
+            open_at.setdefault(name, []).append(len(stack))
             stack.append(v)
         elif name not in VOID or name == "img":
             page.tags[stack[-1]] += 1
@@ -139,6 +201,9 @@ def parse(markup: str) -> Page:
     return page
 
 
+_BLOCK_TAG = rf"<(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>])"
+
+
 # ---------------------------------------------------------------- features
 
 TAG_GROUPS = {
@@ -471,9 +536,11 @@ def extract(pages: list[str], model: Boosted, known: dict) -> list[str]:
 def extract_text(pages: DataFrame, html_col: str = "html", at_once: int = 64) -> DataFrame:
     """Adds text (main text, blocks joined by one line feed, empty if none) and n_chars (its code points) to every row.
 
-    A null page counts as empty. Repeated rows give repeated results, an empty table gives an empty result;
+    A null page counts as empty. White space is what Unicode calls so, no-break spaces included. Script, style and title are dropped,
+    as are svg and template; formulas (math) and what canvas and noscript hold are text like other text. Repeated rows give repeated results, an empty table gives an empty result;
     columns named text or n_chars are replaced, the html column is dropped, other columns are kept.
     """
+    bound_batches(pages.sparkSession)
     kept = pages.drop(*[c for c in ("text", "n_chars") if c != html_col])
     rest = [c for c in kept.columns if c != html_col]
     shared = pages.sparkSession.sparkContext.broadcast(trained())

@@ -1,5 +1,6 @@
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -69,3 +70,50 @@ def test_nulls_repeats_and_clashing_columns(spark):
     out = H.extract_text(df).collect()
     assert sorted(r["n_chars"] for r in out)[:3] == [0, 0, 0] and len(out) == 4
     assert H.extract_text(df.limit(0)).count() == 0
+
+
+def blocks(markup):
+    return [t for _, t in H.parse(markup).segments]
+
+
+@pytest.mark.parametrize(
+    "markup, want",
+    [
+        ("<article><p>before</p><svg>x<p>after</p></article>", ["before", "x", "after"]),
+        ("<p>E = <math><mi>m</mi></math> end</p>", ["E = m end"]),
+        ('<p>a<script src="x.js"/>alert(1)</script>b</p>', ["ab"]),
+        ('<p>a<svg><title>t</title><path d="M0>"/></svg>b</p>', ["ab"]),
+        ("<p>one<canvas>two</canvas> <noscript>three</noscript><p>four<template>", ["onetwo three", "four"]),
+        ('<p title="a>b">c', ["c"]),
+        ("<style>p>a{}</style >x", ["x"]),
+    ],
+)
+def test_nothing_but_scripts_and_drawings_is_lost(markup, want):
+    assert blocks(markup) == want
+
+
+@pytest.mark.parametrize(
+    "make", [lambda n: "<a" * n, lambda n: '<a "x>' * n, lambda n: "<div>" * n + "</nav>" * n, lambda n: "<svg>" * n, lambda n: "<svg><p>" * n + "</svg>", lambda n: "<li><div>" + "<blockquote>" * n + "</li>" * n, lambda n: "<p x='" * n + ">"]
+)
+def test_time_is_linear_in_the_page(make):
+    took = []
+    for n in (50_000, 100_000):
+        page, began = make(n), time.process_time()
+        H.parse(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 0.2 + 4 * took[0] and took[1] < 10
+
+
+def test_main_text_of_written_pages():
+    """Main text by itself: what the writer marked, read off its page without the parser."""
+    import html
+    import random
+
+    r, same = random.Random(123), 0
+    for _ in range(120):
+        raw = H._Writer(r).page()
+        words = re.sub(r"<[^>]*>", " ", re.sub(r"<style.*?</style>|<title>.*?</title>|<!--.*?-->", " ", raw, flags=re.DOTALL))
+        want = [w[1:] for w in html.unescape(words).split() if w.startswith(H._MARK)]
+        got = text_of(raw.replace(H._MARK, "")).split()
+        same += got == want
+    assert same >= 100
