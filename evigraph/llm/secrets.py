@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.llm._common import bound_batches
+
 #: The base patterns, in their order of listing.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -80,12 +82,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, per_char: float = MIN_BYTES_PER_CHAR) -> list[tuple[int, int]]:
-    """Incompressible candidates in a sensitive context that no base span overlaps."""
-    out = []
+    """Incompressible candidates in a sensitive context that no base span overlaps. base is in order, as base_spans gives it."""
+    out, at, covered = [], 0, 0
     for m in CANDIDATE.finditer(text):
         found = m[0]
         start, end = m.span()
-        if any(s < end and start < e for s, _, e in base):
+        while at < len(base) and base[at][0] < end:
+            covered, at = max(covered, base[at][2]), at + 1
+        if covered > start:
             continue
         before, after = text[max(0, start - CONTEXT_BEFORE) : start], text[end : end + CONTEXT_AFTER]
         if not (SENSITIVE.search(before) or SENSITIVE.search(after)) or only_words(found):
@@ -109,6 +113,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     the order assign, access, hex, novel. A null text counts as empty: zero counts, empty strings. Repeated rows give
     repeated results; an empty table gives none; other columns are not read, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     kind_id = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

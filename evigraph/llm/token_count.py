@@ -9,6 +9,7 @@ their UTF-8 form has bytes (byte fallback).
 
 from __future__ import annotations
 
+import hashlib
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._common import CACHE_ENTRIES
+from evigraph.llm._common import CACHE_ENTRIES, bound_batches
 
 #: Fixed value: the mark that begins a word in the vocabulary's pieces.
 WORD_MARK = "\u2581"
@@ -97,19 +98,20 @@ class WordCounts(dict):
         super().__init__()
         self._count = automaton.count
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = self._count(WORD_MARK + word)
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = self._count(WORD_MARK + word.decode("utf-8", "replace"))
         return n
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A row for every row of docs: the id, n_words (runs without white space) and n_tokens.
+    """A row for every row of docs: the id, n_words (runs without ASCII white space, as for every operator) and n_tokens.
 
     A null or empty text has no words and no tokens. Repeated rows give repeated results, an empty table
     gives none; other columns are not read. The vocabulary (of fixed size) is read on the driver and its pieces are
     broadcast; each task builds the automaton once.
     """
     kind_id = docs.schema[id_col].dataType.simpleString()
+    bound_batches(docs.sparkSession)
     pieces = docs.sparkSession.sparkContext.broadcast(read_pieces(vocabulary_path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,22 +120,22 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, text_col: str = "text",
             words = words if words is not None else WordCounts(_automaton(pieces.value))
             n_words, n_tokens = [], []
             for value in batch.column(1):
-                found = (value.as_py() or "").split()
+                found = (value.as_py() or b"").split()
                 n_words.append(len(found))
                 n_tokens.append(sum(map(words.__getitem__, found)))
                 if len(words) > CACHE_ENTRIES:
                     words.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=[batch.schema.names[0], "n_words", "n_tokens"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(count, f"`{id_col}` {kind_id}, n_words long, n_tokens long")
+    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(count, f"`{id_col}` {kind_id}, n_words long, n_tokens long")
 
 
-_BUILT: dict[int, Automaton] = {}
+_BUILT: dict[str, Automaton] = {}
 
 
 def _automaton(pieces: list[str]) -> Automaton:
-    """One automaton a worker process and vocabulary."""
-    key = hash((len(pieces), pieces[0] if pieces else "", pieces[-1] if pieces else "", id(pieces)))
+    """One automaton a worker process and vocabulary, by the digest of its pieces."""
+    key = hashlib.sha256("\0".join(pieces).encode("utf-8", "replace")).hexdigest()
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = Automaton(pieces)

@@ -1,4 +1,6 @@
+import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,11 +53,27 @@ def test_secret_query(spark, sf_dir):
     for r in registry.op4_secrets(spark, sf_dir).collect():
         spans = plain_spans(docs[r["doc_id"]])
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in spans) for i in range(3)]
-        assert r["base_sha256"] == secrets.digest_of(docs[r["doc_id"]])
-
-
-def greedy(pieces, word):
-    known, longest, i, n = set(pieces), max(map(len, pieces)), 0, 0
+        listed = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in spans)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        every = [x.split(":") for x in r["spans"].split(",") if x]
+        assert ",".join(":".join(x) for x in every if x[0] != "novel") == listed
+        key = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=~-")
+        text = docs[r["doc_id"]] or ""
+        assert all(set(text[int(s) : int(e)]) <= key and int(e) - int(s) >= 16 for k, s, e in every if k == "novel")
+        assert [int(x[1]) for x in every] == sorted(int(x[1]) for x in every)
+
+
+def test_time_is_linear_in_the_secrets_of_a_text():
+    novelty, took = secrets.Novelty(), []
+    for n in (50_000, 100_000):
+        text, began = "password=hunter2hunter22 " * n, time.process_time()
+        assert secrets.novel_spans(text, secrets.base_spans(text), novelty) == []
+        took.append(time.process_time() - began)
+    assert took[1] < 0.2 + 4 * took[0] and took[1] < 10
+
+
+def greedy(pieces, word, longest=None):
+    known, longest, i, n = pieces if longest else set(pieces), longest or max(map(len, pieces)), 0, 0
     while i < len(word):
         for size in range(min(longest, len(word) - i), 0, -1):
             if word[i : i + size] in known:
@@ -75,12 +93,14 @@ def test_automaton_counts_greedy_pieces(pieces, word):
 
 def test_token_counts(spark, sf_dir, odd, none):
     pieces = token_count.read_pieces(registry.TOKENIZER_PATH)
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20).collect()}
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     made = {r["doc_id"]: r for r in registry.op6_token_counts(spark, sf_dir).collect()}
+    cost, known, longest = {}, set(pieces), max(map(len, pieces))
     for i, t in docs.items():
-        words = t.split()
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        cost |= {w: greedy(known, token_count.WORD_MARK + w, longest) for w in set(words) - set(cost)}
         assert made[i]["n_words"] == len(words)
-        assert made[i]["n_tokens"] == sum(greedy(pieces, token_count.WORD_MARK + w) for w in words[:3000]) or len(words) > 3000
+        assert made[i]["n_tokens"] == sum(cost[w] for w in words)
     assert token_count.count_tokens(odd, registry.TOKENIZER_PATH).count() == odd.count()
     assert token_count.count_tokens(none, registry.TOKENIZER_PATH).count() == 0
 
