@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, lower case. Every three words of a test item are a seed. A first
+Words are runs of letters and digits of any script, in NFKC form and case-folded. Every three words of a test item are a seed. A first
 pass over the documents counts in how many documents each seed occurs. A seed is rare if few documents
 hold it, or if it is about as rare as the rarest seed of its item that occurs. A second pass looks all seeds
 up in every document; hits of an item on nearby diagonals make a candidate passage if they are MIN_HITS of
@@ -9,11 +9,14 @@ edited, is a candidate however common it is). Its local alignment with the item
 gives the score: best alignment over twice the item's words, 1 for an unbroken copy.
 
 The benchmark is taken in blocks of at most `block_words` words. Only a block is held by the driver and
-broadcast; each block is a pass over all documents, and documents are never shuffled.
+broadcast; each block is a pass over all documents to count and one to look up, documents are never shuffled, and what a block finds
+doesn't depend on other blocks.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._common import WordHash, materialize
+from evigraph.llm._common import WordHash, bound_batches
 
 SEED_WORDS = 3
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 2_000_000
 MIN_SCORE = 0.4
 #: A seed is rare in at most this share of the documents, or at this many times its item's rarest seed that occurs.
 RARE_SHARE, RARE_TIMES = 0.005, 4
@@ -33,14 +36,19 @@ MIN_HITS = 0.08
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _KEEP = {*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)}
-#: ASCII letters to lower case; other ASCII characters but digits to a space; other bytes stay.
+_NO_WORD = re.compile(r"[\W_]+")
+#: ASCII letters to lower case, other ASCII characters but digits to a space.
 _FOLD = bytes((c + 32 if 0x41 <= c <= 0x5A else c) if c in _KEEP or c > 0x7F else 0x20 for c in range(256))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def words_of(text: bytes, hashes: WordHash) -> np.ndarray:
+def words_of(text: str, hashes: WordHash) -> np.ndarray:
     """Hash of each word of a text."""
-    found = text.translate(_FOLD).split()
+    if text.isascii():  # the same words by a table
+        found = text.encode().translate(_FOLD).split()
+    else:
+        folded = text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
+        found = _NO_WORD.sub(" ", folded.casefold()).encode("utf-8", "replace").split()
     return np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
 
 
@@ -163,8 +171,8 @@ class SeedIndex:
 def _blocks(benchmark: DataFrame, text_col: str, id_col: str, block_words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """(ids, words) of the items in blocks; items without words are left out."""
     ids, items, n, hashes = [], [], 0, WordHash()
-    for r in benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).toLocalIterator():
-        words = words_of(bytes(r["text"] or b""), hashes)
+    for r in benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).toLocalIterator():
+        words = words_of(r["text"] or "", hashes)
         hashes.trim()
         if len(words):
             ids.append(r["id"])
@@ -179,6 +187,7 @@ def _blocks(benchmark: DataFrame, text_col: str, id_col: str, block_words: int)
 
 def _index(docs: DataFrame, items: list[np.ndarray], text_col: str):
     """The broadcast index of a block's seeds, with the rare ones marked."""
+    bound_batches(docs.sparkSession)
     full = SeedIndex(items)
     shared = docs.sparkSession.sparkContext.broadcast(full)
 
@@ -187,17 +196,17 @@ def _index(docs: DataFrame, items: list[np.ndarray], text_col: str):
         held = np.zeros(len(index.keys) + 1, np.int64)
         for batch in batches:
             for text in batch.column(0):
-                held[np.unique(index.look_up(words_of(text.as_py() or b"", hashes))[1])] += 1
+                held[np.unique(index.look_up(words_of(text.as_py() or "", hashes))[1])] += 1
                 hashes.trim()
                 n += 1
         held[-1] = n
         seen = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(held[seen])], names=["seed", "n"])
 
-    counts = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text_col).alias("t")).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
     df = np.zeros(len(full.keys) + 1, np.int64)
-    for r in counts.collect():  # a row per seed of the block at most
-        df[r["seed"]] = r["n"]
+    held = counts.toArrow()  # a row of two integers per seed of the block at most
+    df[held["seed"].to_numpy()] = held["n"].to_numpy()
     full.mark_rare(df[:-1], int(df[-1]))
     return docs.sparkSession.sparkContext.broadcast(full)
 
@@ -221,7 +230,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id
             for batch in batches:
                 at, rows = [], []
                 for i, text in enumerate(batch.column(1)):
-                    for item, score, first, end in found.matches(words_of(text.as_py() or b"", hashes), min_score):
+                    for item, score, first, end in found.matches(words_of(text.as_py() or "", hashes), min_score):
                         at.append(i)
                         rows.append((ids[item], score, len(found.items[item]), first, end))
                     hashes.trim()
@@ -232,8 +241,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id
                     names=[id_col, item_col, "score", "item_words", "first_word", "end_word"],
                 )
 
-        part = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("__t")).mapInArrow(scan, schema)
-        out = part if n == 0 else materialize(out, "leaks").unionByName(part)
+        part = docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(scan, schema)
+        out = part if n == 0 else out.unionByName(part)
     return out
 
 
@@ -244,16 +253,19 @@ def _arrow(kind) -> pa.DataType:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs that find_leaks has no match for, with all their columns."""
+    """The rows of docs that find_leaks has no match for, with all their columns, whatever their names.
+
+    Null and empty texts match nothing and stay; repeated rows stay or go together; an empty table on either side gives docs.
+    Seeds are counted over docs for every block; one pass then looks all blocks up.
+    """
     schema = docs.schema
-    for _, items in _blocks(benchmark, text_col, item_col, block_words):
-        index = _index(docs, items, text_col)
+    for index in [_index(docs, items, text_col) for _, items in _blocks(benchmark, text_col, item_col, block_words)]:
 
         def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             hashes, found = WordHash(), index.value
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index(text_col))
-                clean = [not found.matches(words_of((t.as_py() or "").encode("utf-8", "replace"), hashes), min_score) for t in texts]
+                clean = [not found.matches(words_of(t.as_py() or "", hashes), min_score) for t in texts]
                 hashes.trim()
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -87,3 +87,21 @@ def test_edited_and_half_copies_held_by_a_third_of_the_rows(spark, n_docs):
     table = spark.createDataFrame(docs, "doc_id long, text string")
     assert {(x["doc_id"], x["item_id"]) for x in D.find_leaks(table, bench).collect()} == leaked
     assert D.drop_leaks(table, bench).count() == 0
+
+
+def test_words_of_other_scripts_and_quotes(spark):
+    docs = spark.createDataFrame([(1, "x \u201cquick brown foxes\u201d jump\u2014over lazily sleeping dogs"), (2, "une \u00c9COLE e\u0301trange du NO\u00cbL l\u2019hiver"), (3, "nothing of it"), (4, "\u4e2d\u6587 \uff21\uff22 ok")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "quick brown foxes jump over lazily sleeping dogs"), (2, "\u00e9cole \u00e9trange du no\u00ebl, l'hiver"), (3, "\u4e2d\u6587 ab OK")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["score"]) for r in D.find_leaks(docs, bench).collect()) == [(1, 1, 1.0), (2, 2, 1.0), (4, 3, 1.0)]
+    hashes = D.WordHash()
+    for text in ("A plain-text, 2nd line_of it", "tab\tand\x0bmore"):
+        assert list(D.words_of(text, hashes)) == list(D.words_of(text + " \u00b7", hashes))
+
+
+def test_blocks_do_not_depend_on_each_other(spark, planted):
+    docs, bench, _ = planted
+    twice = bench.unionByName(bench.withColumn("item_id", bench["item_id"] + 1000))
+    rows = [sorted(map(str, D.find_leaks(docs, twice, block_words=n).collect())) for n in (200, 400_000)]
+    kept = [sorted(r["doc_id"] for r in D.drop_leaks(docs, twice, block_words=n).collect()) for n in (200, 400_000)]
+    assert rows[0] == rows[1] and len(rows[0]) == 120
+    assert kept[0] == kept[1]
