@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._common import CACHE_ENTRIES, materialize
+from evigraph.llm._common import CACHE_ENTRIES, bound_batches, materialize
 from evigraph.llm._labelled import MAX_PER_CLASS, labelled_sample
 
 WORD_ROWS, SHAPE_ROWS, DIM, NONZERO, WINDOW = 1 << 14, 64, 32, 2, 2
@@ -119,7 +119,7 @@ def context_matrix(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                 sums[b.as_py()] = sums[b.as_py()] + x if b.as_py() in sums else x.copy()
         yield _blocks(sums)
 
-    schema = "block int, part array<float>"
+    schema = "block int, part array<double>"
     parts = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(partial, schema)
     for keys in (["block", F.spark_partition_id() % 16], ["block"]):  # two levels, so that no task adds up what all tasks send
         parts = parts.repartition(*keys).mapInArrow(total, schema)
@@ -133,7 +133,7 @@ def context_matrix(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def _blocks(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
     keys = sorted(parts)
-    values = pa.array([parts[k].astype(np.float32) for k in keys], pa.list_(pa.float32()))
+    values = pa.array([parts[k].astype(np.float64) for k in keys], pa.list_(pa.float64()))
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), values], names=["block", "part"])
 
 
@@ -196,7 +196,11 @@ def _fit_network(x: np.ndarray, y: np.ndarray, seed: int = 7) -> dict:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learnable, label: str = "quality", text_col: str = "text", id_col: str = "doc_id", max_per_class: int = MAX_PER_CLASS) -> dict:
-    """Context vectors from all of docs; the network from at most 2 * max_per_class labelled rows for which learnable holds."""
+    """Context vectors from all of docs; the network from at most 2 * max_per_class labelled rows for which learnable holds.
+
+    Null texts count as empty, null ids and labels teach nothing, repeated labels count once (the highest). Without rows of both
+    classes every text gets one score. Other columns are not read.
+    """
     contexts = context_matrix(docs, text_col)
     sample = materialize(labelled_sample(docs, labels, label, learnable, text_col, id_col, max_per_class), "quality-sample")
     shared = docs.sparkSession.sparkContext.broadcast(contexts)  # ROWS x DIM floats, 2 MB
@@ -219,6 +223,7 @@ def classify(docs: DataFrame, model: dict, threshold: float = 0.7, text_col: str
     A null text counts as empty and gets the network's score of a document without words. Repeated rows
     are scored alike, an empty table gives an empty result, columns named score or predicted are replaced.
     """
+    bound_batches(docs.sparkSession)
     kept = docs.drop("score", "predicted")
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._common import CACHE_ENTRIES, materialize
+from evigraph.llm._common import CACHE_ENTRIES, bound_batches, materialize
 from evigraph.llm._labelled import MAX_PER_CLASS, labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -196,6 +196,7 @@ def classify(docs: DataFrame, model: dict, threshold: float = 0.7, text_col: str
     A null text counts as empty and gets the score of a text without features. Repeated rows are scored
     alike, an empty table gives an empty result, columns named score or predicted are replaced.
     """
+    bound_batches(docs.sparkSession)
     kept = docs.drop("score", "predicted")
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +212,26 @@ def classify(docs: DataFrame, model: dict, threshold: float = 0.7, text_col: str
     return kept.mapInArrow(scores, f"{schema}, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs with a score below the threshold, with all their columns, whatever their names.
+
+    A null text counts as empty; repeated rows stay or go together; an empty table gives an empty result.
+    """
+    bound_batches(docs.sparkSession)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(model["at"])
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            yield batch.filter(pa.array([score_text(model, lookup, t.as_py() or "") < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable, label: str = "toxic", text_col: str = "text", id_col: str = "doc_id", max_per_class: int = MAX_PER_CLASS) -> dict:
-    """The model, fitted on at most 2 * max_per_class labelled rows for which learnable (over labels' columns) holds."""
+    """The model, fitted on at most 2 * max_per_class labelled rows for which learnable (over labels' columns) holds.
+
+    Null texts count as empty, null ids and labels teach nothing, repeated labels count once (the highest). Without rows of both
+    classes every text gets one score: 0.02, or 0.98 where all are toxic. Other columns are not read.
+    """
     return fit(materialize(labelled_sample(docs, labels, label, learnable, text_col, id_col, max_per_class), "toxicity-sample"))
