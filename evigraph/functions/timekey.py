@@ -57,8 +57,16 @@ def of_text(value: Column) -> Column:
     return F.coalesce(_key("datetime", date_key), _key("datetime", moment), _key("numeric", steps))
 
 
+def of_point(value: Column) -> Column:
+    """Of a point of a narrative given as text: a number is a step, whatever its number of digits; else as of_text."""
+    number = F.trim(value).try_cast("double")
+    return F.coalesce(_key("numeric", number), of_text(F.trim(value)))
+
+
 def literal(when: int | float | str) -> Column:
-    """The key of a Python value; ValueError if it is no time."""
+    """The key of a Python value, or a column of keys as it is; ValueError if it is no time."""
+    if isinstance(when, Column):
+        return when
     if isinstance(when, bool) or when is None or when == "":
         raise ValueError(f"not a time: {when!r}")
     return of_number(F.lit(float(when))) if isinstance(when, (int, float)) else of_text(F.lit(str(when)))

@@ -1,7 +1,7 @@
 """Epistemic summaries: a target's neighbourhood, what it says, flags, a heuristic score and the Bayesian block.
 
 The neighbourhood of a target is itself, its claims, and the ends of all edges at either. A (target, member) table holds it
-for all targets at once; edges join it twice, once for each end, which gives the induced edges.
+for all targets at once; edges join it twice, once for each end and the rarer end first, which gives the induced edges.
 """
 
 from __future__ import annotations
@@ -39,6 +39,19 @@ def neighborhoods(graph: Graph, targets: DataFrame) -> DataFrame:
     return cores.join(ends, "core").select("target", "member").unionByName(cores.select("target", F.col("core").alias("member"))).distinct()
 
 
+def induced_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """edges (src, dst, ...) once for every target that has both ends among members (target, member), with the target.
+
+    An edge first meets the targets of the end that fewer have as a member, so a hub's edges don't meet all the targets near the hub.
+    """
+    times = members.groupBy("member").agg(F.count(F.lit(1)).alias("n"))
+    placed = edges.join(times.select(F.col("member").alias("src"), F.col("n").alias("src_n")), "src").join(times.select(F.col("member").alias("dst"), F.col("n").alias("dst_n")), "dst")
+    near = F.col("dst_n") <= F.col("src_n")
+    placed = placed.withColumns({"near": F.when(near, F.col("dst")).otherwise(F.col("src")), "far": F.when(near, F.col("src")).otherwise(F.col("dst"))}).drop("src_n", "dst_n")
+    met = placed.join(members.withColumnRenamed("member", "near"), "near")
+    return met.join(members.withColumnRenamed("member", "far"), ["target", "far"]).drop("near", "far")
+
+
 def summaries(graph: Graph, node_types=ASSESSED_TYPES, low_confidence: float = 0.5) -> DataFrame:
     """A row per node of the types: counts, flags, score, band and the Bayesian columns. An empty node_types means the default."""
     nodes, meta_n, meta_e = graph.index(), Meta.of(graph.nodes), Meta.of(graph.edges)
@@ -58,7 +71,7 @@ def summaries(graph: Graph, node_types=ASSESSED_TYPES, low_confidence: float = 0
     of_nodes = members.join(side_n, "member")
     weights = ledger.weighted_edges(graph)
     extra = graph.edges.select("pos", meta_e.words(QUALITY_KEYS).alias("quality"), F.concat(meta_e.words(STANCE_KEYS), flagged(meta_e)).alias("hostile"), ledger._grounding(graph.edges).alias("grounding"), F.col("source").alias("src"), F.col("target").alias("dst"), stance(F.col("type")).alias("kind"), F.col("type").isin(*SUPPORT).alias("supports"))
-    induced = extra.join(members.select(F.col("target"), F.col("member").alias("src")), "src").join(members.select("target", F.col("member").alias("dst")), ["target", "dst"])
+    induced = induced_edges(extra, members)
     aimed = claims.select("target", F.col("claim").alias("dst")).unionByName(targets.select(F.col("id").alias("target"), F.col("id").alias("dst"))).distinct().withColumn("aimed", F.lit(True))
     induced = settle(induced.join(aimed, ["target", "dst"], "left").withColumn("direct", F.col("supports") & F.coalesce("aimed", F.lit(False))))
 

@@ -156,7 +156,10 @@ def recognition_windows(graph: Graph, recognized: DataFrame) -> DataFrame:
 
 
 def fair_play(graph: Graph, claims: DataFrame | None = None, reveal_at=None, decisive_types=(*CHALLENGE, *REVISION)) -> DataFrame:
-    """(claim, rating, failures, decisive_evidence_count, first_time, first_edge): is decisive evidence there before the reveal?"""
+    """(claim, rating, failures, decisive_evidence_count, first_time, first_edge): is decisive evidence there before the reveal?
+
+    reveal_at: a time, or a column of claims (a key struct<kind, val>) where claims differ in it.
+    """
     if claims is None:
         claims = graph.nodes.where("type = 'claim'").select(F.col("id").alias("claim"))
     meta = Meta.of(graph.edges)
@@ -164,7 +167,7 @@ def fair_play(graph: Graph, claims: DataFrame | None = None, reveal_at=None, dec
     edges = graph.edges.where(of_types(F.col("type"), decisive_types or (*CHALLENGE, *REVISION)))
     own = F.col("id") if "id" in edges.columns else F.lit("")
     edges = edges.select("source", "target", "pos", text.edge_key(F.col("source"), F.col("type"), F.col("target"), own).alias("edge_key"), item_time(edges).alias("t"), hidden.alias("hidden"))
-    per = touching(edges, claims.distinct()).groupBy("claim").agg(
+    per = touching(edges, claims.select("claim").distinct()).groupBy("claim").agg(
         F.count(F.lit(1)).alias("n"), F.max("hidden").alias("hidden"), F.min_by(F.struct("t.kind", "t.val", "t.shown", "edge_key"), F.when(F.col("t").isNotNull(), F.struct("t.kind", "t.val", "pos"))).alias("f")
     )
     out = claims.join(per, "claim", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "dated": F.col("f.kind").isNotNull()})
