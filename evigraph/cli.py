@@ -5,11 +5,12 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.operators import bayesian, calibration, epistemic, experiment, gmetric, structure, traversal, validation
+from evigraph.operators import calibration, epistemic, experiment, gmetric, stories, structure, traversal, validation
 from evigraph.plans import manifests, report
 from evigraph.sources import bundle, export, gedcom
 
@@ -27,7 +28,8 @@ def _parser() -> argparse.ArgumentParser:
 
     source, rows = ((("path",), {}),), ((("path",), {"nargs": "+"}),)
     for name in ("diagnostics", "validate", "epistemic-report", "bayesian-assessment", "dot", "cytoscape", "jsonld"):
-        add(name, *source)
+        kinds = ((("--node-types",), {"default": ""}),) if name.startswith(("epistemic", "bayesian")) else ()
+        add(name, *source, *kinds, *(((("--prior",), {"default": "neutral"}), (("--credibility",), {"type": float, "default": 0.95})) if kinds else ()))
     add("neighborhood", *source, (("node",), {}), (("--hops",), {"type": int, "default": 1}))
     add("gedcom", *source, (("--graph-id",), {"default": "genealogy"}))
     add("g-summary", *rows, (("--group-by",), {"default": "condition"}), (("--manifest",), {}), (("--require-consistent",), {"action": "store_true"}))
@@ -38,6 +40,13 @@ def _parser() -> argparse.ArgumentParser:
     add("run-sheets", *rows, (("--prefix",), {"required": True}), (("--subjects",), {"type": int, "default": 1}), (("--seed",), {"type": int, "default": 0}))
     add("blind", *rows)
     add("unblind", *rows, (("--key",), {"required": True}))
+    add("story-findings", *source)
+    add("story-sidecars", *source)
+    add("story-template", *source, (("--conditions",), {"required": True}), (("--phases",), {"required": True}), (("--admit",), {"default": ""}), (("--control",), {"default": ""}), (("--experiment-id",), {"default": ""}))
+    add("anchor-template", *source)
+    add("apply-anchor-review", *source, (("--reviews",), {"required": True}))
+    for kind in ("assessment", "treatment"):
+        add(f"{kind}-manifest", *source)
     add("calibration", *source, (("--event",), {"required": True}))
     return p
 
@@ -62,7 +71,7 @@ def run(argv: list[str], spark: SparkSession) -> tuple[dict, int]:
             seeds = spark.createDataFrame([(a.node,)], "id string")
             out = {"edges": _rows(traversal.neighborhood(graph, seeds))} if a.hops <= 1 else bundle.bundle_payload(traversal.k_hop_subgraph(graph, seeds, a.hops))
         elif a.command in ("epistemic-report", "bayesian-assessment"):
-            summary = epistemic.summaries(graph).persist()
+            summary = epistemic.summaries(graph, [t for t in a.node_types.split(",") if t], prior=a.prior, credibility=a.credibility).persist()
             ordered = epistemic.assessment_rows(summary)
             out = {"counts": _rows(epistemic.report_counts(summary).orderBy("kind", "name")), "nodes": _rows(ordered)}
             if a.out:
@@ -77,6 +86,40 @@ def run(argv: list[str], spark: SparkSession) -> tuple[dict, int]:
         out = {"counts": _rows(structure.type_counts(graph).orderBy("component", "type"))}
         if a.out:
             bundle.write_bundle(graph, a.out)
+    elif a.command.endswith("-manifest") and a.command != "g-manifest":
+        kind = a.command.removesuffix("-manifest")
+        out = manifests.report(json.loads(Path(a.path).read_text(encoding="utf-8")), kind)
+        code = 2 if out["status"] == "error" else 0
+        if a.out:
+            report.write(a.out, out)
+    elif a.command in ("story-findings", "story-sidecars", "story-template", "anchor-template", "apply-anchor-review"):
+        table = stories.read_stories(spark, a.path)
+        if a.command == "story-findings":
+            each = stories.reports(table).persist()
+            out = {"counts": _rows(stories.corpus_summary(table).orderBy("kind", "name")), "stories": _rows(each.orderBy("story_id"))}
+            code = 2 if any(r["status"] == "error" for r in out["stories"]) else 0
+            if a.out:
+                stories.findings(table).write.json(a.out)
+        elif a.command == "story-sidecars":
+            made = stories.write_sidecars(table, a.out) if a.out else stories.sidecars(table, "")
+            out = {"counts": _rows(stories.sidecar_counts(made).orderBy("kind", "name"))}
+        elif a.command == "story-template":
+            listed = lambda text: [x for x in text.split(",") if x]
+            made = experiment.collection_template(stories.claims_to_judge(table), listed(a.conditions), listed(a.phases), listed(a.admit), listed(a.control), experiment_id=a.experiment_id)
+            out = {"row_count": made.count()}
+            if a.out:
+                experiment.write_rows(made, a.out, experiment.TEMPLATE_EXTRA)
+        elif a.command == "anchor-template":
+            made = stories.anchor_review_template(table)
+            out = {"row_count": made.count()}
+            if a.out:
+                made.write.csv(a.out, header=True)
+        else:
+            reviews = spark.read.csv(a.reviews, header=True).withColumn("pos", F.monotonically_increasing_id())
+            made = stories.apply_anchor_reviews(table, reviews)
+            out = {"counts": _rows(made.groupBy("anchor_status").agg(F.count(F.lit(1)).alias("story_count")).orderBy("anchor_status"))}
+            if a.out:
+                stories.write_stories(made.drop("anchor_status"), a.out)
     elif a.command == "calibration":
         samples = spark.read.schema("subject_id string, predicted double, observed double, dimension string, event string, metadata string").json(a.path)
         out = calibration.report(samples, a.event)

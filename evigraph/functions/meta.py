@@ -147,5 +147,5 @@ class Meta:
         return F.when(key_.isNotNull(), F.struct(key_["kind"].alias("kind"), key_["val"].alias("val"), value.cast("string").alias("shown")))
 
     def first_time(self, keys: Iterable[str]) -> Column:
-        """The time under the first of keys that is present."""
+        """The time under the first of keys that holds one; a value that is no time is passed over, so that one bad row fails no job."""
         return F.get(self.times(keys), F.lit(0))["t"]

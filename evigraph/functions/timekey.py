@@ -37,7 +37,8 @@ def of_number(value: Column) -> Column:
 
 
 def of_text(value: Column) -> Column:
-    """Null where the text is neither a date nor digits."""
+    """Null where the text, trimmed, is neither a date nor digits."""
+    value = F.trim(value)
     day = (
         F.when(value.rlike(r"^\d{4}$"), F.concat(value, F.lit("-01-01")))
         .when(value.rlike(r"^\d{4}-\d{2}$"), F.concat(value, F.lit("-01")))

@@ -6,10 +6,10 @@ for all targets at once; edges join it twice, once for each end and the rarer en
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.functions import bayes
+from evigraph.functions import bayes, text
 from evigraph.functions.meta import Meta
 from evigraph.graph import Graph, of_types, stance
 from evigraph.operators import bayesian, ledger
@@ -52,8 +52,11 @@ def induced_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     return met.join(members.withColumnRenamed("member", "far"), ["target", "far"]).drop("near", "far")
 
 
-def summaries(graph: Graph, node_types=ASSESSED_TYPES, low_confidence: float = 0.5) -> DataFrame:
-    """A row per node of the types: counts, flags, score, band and the Bayesian columns. An empty node_types means the default."""
+def summaries(graph: Graph, node_types=ASSESSED_TYPES, low_confidence: float = 0.5, prior: bayesian.Profile = "neutral", credibility: float = 0.95) -> DataFrame:
+    """A row per node of the types: counts, flags, score, band and the Bayesian columns. An empty node_types means the default.
+
+    prior and credibility are those of the Bayesian columns.
+    """
     nodes, meta_n, meta_e = graph.index(), Meta.of(graph.nodes), Meta.of(graph.edges)
     targets = nodes.where(of_types(F.col("type"), node_types or ASSESSED_TYPES)).select("id", "type", *(["title"] if "title" in nodes.columns else []))
     members = settle(neighborhoods(graph, targets.select("id")))
@@ -92,7 +95,7 @@ def summaries(graph: Graph, node_types=ASSESSED_TYPES, low_confidence: float = 0
     ):
         out = out.join(part, "target", "left")
     filled = [c for c in out.columns if c not in ("target", "type", "title", "mean_confidence")]
-    out = bayesian.classified(out.fillna(0, filled))
+    out = bayesian.classified(out.fillna(0, filled), profile=prior, credibility=credibility)
     return _scored(out)
 
 
@@ -117,6 +120,37 @@ def _scored(df: DataFrame) -> DataFrame:
     return out.withColumn("reliability_band", F.when(s >= 0.75, "strong").when(s >= 0.5, "moderate").when(s >= 0.3, "weak").otherwise("poor"))
 
 
+def rationale(summary: DataFrame) -> DataFrame:
+    """summary with rationale: an array of short sentences that say what the score of a row rests on."""
+    c, n = F.col, lambda x: F.col(x).cast("string")
+    counted = lambda names: F.array_join(F.array_compact(F.array(*[F.when(c(x) > 0, F.concat(F.lit(f"{x} "), n(x))) for x in names])), ", ")
+    said = F.array_compact(
+        F.array(
+            F.when(c("support_count") > 0, F.concat(n("support_count"), F.lit(" edges in direct support"))).otherwise("nothing in direct support"),
+            F.when(c("challenge_count") > 0, F.concat(n("challenge_count"), F.lit(" challenges"))), F.when(c("revision_count") > 0, F.concat(n("revision_count"), F.lit(" revisions"))),
+            F.when(c("grounding_n") > 0, F.concat(F.lit("grounding: "), counted(("grounded", "partly", "ungrounded")))).otherwise("grounding is not stated"),
+            F.when(c("roles_kinds") > 0, F.concat(n("roles_kinds"), F.lit(" kinds of source role"))).otherwise("source roles are not stated"),
+            F.when(c("quality_n") > 0, F.concat(F.lit("source quality: "), counted(("high", "mixed", "low")))), F.when(c("hostile_n") > 0, F.concat(n("hostile_n"), F.lit(" statements of a source's stance"))),
+        )
+    )
+    return summary.withColumn("rationale", said)
+
+
+def excerpts(graph: Graph, targets: DataFrame, kinds=("support", "challenge", "revision"), most: int = 12) -> DataFrame:
+    """(target, kind, place, source, dst, type, edge_key): the first edges by pos of each kind at a target's claims, a report's excerpt of at most `most` each.
+
+    Support counts at its claim's end only. The window keeps the first rows of each partition before it shuffles.
+    """
+    claims = claim_members(graph, targets).unionByName(targets.select(F.col("id").alias("target"), F.col("id").alias("claim"))).distinct()
+    own = F.col("id") if "id" in graph.edges.columns else F.lit("")
+    edges = graph.edges.select("source", F.col("target").alias("dst"), "type", "pos", text.edge_key(F.col("source"), F.col("type"), F.col("target"), own).alias("edge_key"), stance(F.col("type")).alias("kind")).where(F.col("kind").isin(*kinds))
+    at_end = edges.join(claims.withColumnRenamed("claim", "dst"), "dst")
+    at_start = edges.where("kind <> 'support' AND source <> dst").join(claims.withColumnRenamed("claim", "source"), "source")
+    both = at_end.select("target", *edges.columns).unionByName(at_start.select("target", *edges.columns)).distinct()
+    first = Window.partitionBy("target", "kind").orderBy("pos")
+    return both.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).drop("pos")
+
+
 def report_counts(summary: DataFrame) -> DataFrame:
     """(kind, name, n): counts of flags, reliability bands, Bayesian labels and flags, nodes and flagged nodes."""
     one = lambda kind, df: df.groupBy("name").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "name", "n")

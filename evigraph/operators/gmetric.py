@@ -114,3 +114,13 @@ def level_sensitivity(rows: DataFrame, level: str, baseline: str, **how) -> Data
     per = g_estimate(rows, [level], **how).select(level, "G")
     base = per.agg(F.coalesce(F.max(F.when(F.col(level) == baseline, F.col("G"))), F.lit(0.0)).alias("base"))
     return per.crossJoin(F.broadcast(base)).select(level, "G", (F.col("G") - F.col("base")).alias("delta_from_baseline"))  # one row
+
+
+def comparison_warnings(summaries: DataFrame) -> DataFrame:
+    """(code): why summaries should be compared with care. summaries: a row each with evaluation_target, corpus, n_clean, n_target and warnings (array)."""
+    distinct = lambda c: F.count_distinct(F.nullif(c, F.lit("")))
+    one = summaries.agg(
+        (distinct("evaluation_target") > 1).alias("mixed_evaluation_targets"), (distinct("corpus") > 1).alias("mixed_corpora"), (F.count_if(F.coalesce("n_clean", F.lit(0)) == 0) > 0).alias("no_clean_rows"),
+        (F.count_if(F.coalesce("n_target", F.lit(0)) == 0) > 0).alias("no_target_rows"), (F.count_if(F.size("warnings") > 0) > 0).alias("inconsistent_manifests"),
+    )
+    return one.select(F.explode(F.array_compact(F.array(*[F.when(F.col(c), c) for c in one.columns]))).alias("code"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions import bayes, confidence, text
-from evigraph.functions.canonical import pair_hash
+from evigraph.functions.canonical import hash_of_json, pair_hash
 from evigraph.functions.meta import Meta
 from evigraph.graph import Graph, stance
 from evigraph.schema import QUALITY_KEYS, STANCE_KEYS
@@ -97,6 +97,49 @@ def weighted_edges(graph: Graph, missing_default: float = 1.0) -> DataFrame:
     )
 
 
+def evidence_identity(explicit: Column, artifact: Column, fragment: Column, edge_id: Column, provenance: Column) -> Column:
+    """The identity of evidence: its own id, else that of artifact and fragment, else the edge's, else the canonical hash of its provenance (JSON)."""
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    by_artifact = F.concat(F.lit("evidence:artifact-fragment:"), pair_hash(artifact, fragment))
+    by_provenance = F.concat(F.lit("evidence:provenance:"), hash_of_json(F.when(given(explicit) | given(edge_id) | (given(artifact) & given(fragment)), F.lit("{}")).otherwise(F.coalesce(provenance, F.lit("{}")))))
+    return F.when(given(explicit), explicit).when(given(artifact) & given(fragment), by_artifact).when(given(edge_id), F.concat(F.lit("evidence:graph-edge:"), edge_id)).otherwise(by_provenance)
+
+
+def ledger_from_edges(graph: Graph, chosen: DataFrame, resolver: Column | None = None) -> DataFrame:
+    """Raw units of edges that a caller has chosen: chosen is (ledger, stance, pos). A ledger's subject is the ledger itself.
+
+    resolver, a column over the columns of weighted_edges, takes the place of the weight; weight_rule then says so.
+    """
+    weights = weighted_edges(graph)
+    if resolver is not None:
+        weights = weights.withColumns({"raw_weight": resolver.cast("double"), "weight_rule": F.lit("resolved_weight")})
+    rows = weights.drop("stance", "revises").join(chosen.select("ledger", "stance", "pos"), "pos")
+    meta_revises = F.when(F.col("stance") == "revision", F.concat(F.lit("evidence:graph-edge:"), "edge_key"))
+    return rows.withColumns({"unit_subject": F.col("ledger"), "revises": meta_revises})
+
+
+def content_hashes(units: DataFrame) -> DataFrame:
+    """(ledger, unit_count, content_hash) of deduplicated units: SHA-256 of their number and of sums that don't depend on their order.
+
+    A unit counts by two 64-bit hashes of its JSON with keys in order; sums are combined where the rows are, and no unit is gathered.
+    """
+    fields = sorted(c for c in units.columns if c != "ledger")
+    text_ = F.to_json(F.struct(*[F.col(c) for c in fields]))
+    rows = units.select("ledger", F.xxhash64(text_).alias("a"), F.xxhash64(F.lit(1), text_).alias("b"))
+    sums = [F.bit_xor("a"), F.bit_xor("b"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))]
+    made = rows.groupBy("ledger").agg(F.count(F.lit(1)).alias("unit_count"), *[x.cast("string").alias(f"s{i}") for i, x in enumerate(sums)])
+    return made.select("ledger", "unit_count", F.sha2(F.concat_ws(":", F.col("unit_count").cast("string"), *[f"s{i}" for i in range(4)]), 256).alias("content_hash"))
+
+
+def assessments(ledgers: DataFrame, hashes: DataFrame) -> DataFrame:
+    """An evidential_support assessment of every ledger: ledgers is evidence totals with a posterior (ledger, mean, lower, upper), hashes is content_hashes."""
+    subject = F.col("ledger")
+    return ledgers.join(hashes, "ledger", "left").select(
+        F.concat(F.lit("ledger::"), subject, F.lit("::evidential_support")).alias("assessment_id"), subject.alias("subject_id"), F.lit("evidential_support").alias("dimension"), F.col("mean").alias("value"), confidence.band(F.col("mean")).alias("band"),
+        F.struct("lower", "upper").alias("interval"), F.struct(F.lit("beta_binomial_weighted_evidence").alias("name"), F.lit("1.0").alias("version")).alias("method"), F.col("content_hash").alias("basis_hash"), F.coalesce("unit_count", F.lit(0)).alias("basis_units"),
+    )
+
+
 def claims_of(graph: Graph, subjects: DataFrame) -> DataFrame:
     """(subject, claim): a concept stands for the claims with any edge into it (itself if there are none), all else for itself."""
     nodes = graph.index().select("id", "type")
@@ -156,9 +199,24 @@ def ledger_counts(units: DataFrame, order: Column, weight: str = "raw_weight") -
     return per_key.groupBy("ledger").agg(*out, F.sum("defaults").alias("missing_weight_count"))
 
 
+def require_valid(units: DataFrame) -> DataFrame:
+    """units as they are, or ValueError with how many violations of which kind there are."""
+    found = {r["code"]: r["count"] for r in ledger_violations(units).groupBy("code").count().collect()}
+    if found:
+        raise ValueError("invalid ledgers: " + ", ".join(f"{n} x {code}" for code, n in sorted(found.items())))
+    return units
+
+
 def ledger_violations(units: DataFrame) -> DataFrame:
-    """(ledger, code, unit_id) over deduplicated units: repeated unit ids, and revisions of units that the ledger does not hold."""
+    """(ledger, code, unit_id) over deduplicated units: repeated unit ids, and revisions of units that the ledger does not hold.
+
+    Where units have a weight or a subject, a weight that is negative or not finite and a blank subject count too.
+    """
     twice = units.groupBy("ledger", "unit_id").count().where("count > 1").select("ledger", F.lit("duplicate_unit_id").alias("code"), "unit_id")
     known = units.select("ledger", F.col("unit_id").alias("revises")).distinct()
     lost = units.where("revises IS NOT NULL").join(known, ["ledger", "revises"], "left_anti").select("ledger", F.lit("dangling_revision").alias("code"), "unit_id")
-    return twice.unionByName(lost)
+    out = twice.unionByName(lost)
+    for column, code, wrong in (("weight", "invalid_weight", "weight < 0 OR isnan(weight) OR weight = double('infinity')"), ("unit_subject", "missing_subject", "coalesce(unit_subject, '') = ''")):
+        if column in units.columns:
+            out = out.unionByName(units.where(wrong).select("ledger", F.lit(code).alias("code"), "unit_id"))
+    return out

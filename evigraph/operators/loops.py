@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,23 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df written once as Parquet to the folder in spark.checkpoint.dir, and read back."""
+    """df written once as Parquet to the folder in spark.checkpoint.dir, and read back; the job's shuffle files go with it.
+
+    On one machine (master local) without such a folder a temporary one is used; on a cluster RuntimeError is raised.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="evigraph-")  # one machine only: no cluster names a folder
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        folder = tempfile.mkdtemp(prefix="evigraph-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/loops/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(tidy)
+    spark.conf.set(tidy, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(tidy, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -254,3 +254,31 @@ def anchor_review_template(stories: DataFrame) -> DataFrame:
 
     return rows("claims", "claim", "claim_id").unionByName(rows("decisive_evidence", "decisive_evidence", "evidence_id"))
 
+
+
+def claims_to_judge(stories: DataFrame) -> DataFrame:
+    """False claims with what a collection template needs: (item_id, claim_id, source_anchor, contradiction_available_at, fair_play_rating, story_title, fair_play_status, graph_file)."""
+    false = stories.select("story_id", "title", "fair_play_status", "graph_file", F.explode("claims").alias("c")).where(F.col("c.truth_status").isin(*FALSE))
+    e = stories.select("story_id", F.posexplode("decisive_evidence").alias("n", "e"))
+    number = F.trim("e.available_at").try_cast("double")
+    first = e.groupBy("story_id", F.col("e.contradicts_claim_id").alias("claim_id")).agg(F.min_by("e.available_at", F.struct(number.isNull(), number, F.trim("e.available_at"), "n")).alias("at"))
+    out = false.select(F.col("story_id"), F.col("c.claim_id").alias("claim_id"), F.coalesce("c.narrative_anchor", F.lit("")).alias("source_anchor"), "title", "fair_play_status", "graph_file").join(first, ["story_id", "claim_id"], "left")
+    return out.select(F.col("story_id").alias("item_id"), "claim_id", "source_anchor", F.coalesce("at", F.lit("")).alias("contradiction_available_at"), F.col("fair_play_status").alias("fair_play_rating"), F.col("title").alias("story_title"), "fair_play_status", F.coalesce("graph_file", F.lit("")).alias("graph_file"))
+
+
+def apply_anchor_reviews(stories: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Stories with the anchors of the last review (pos orders) of each artifact, and anchor_status: reviewed, partial or unreviewed.
+
+    reviews: (story_id, artifact_id, reviewed_narrative_anchor, pos). A blank reviewed anchor leaves the one there is. Reviews of one story
+    are gathered with it; they are as many as its artifacts.
+    """
+    last = reviews.groupBy("story_id", "artifact_id").agg(F.max_by("reviewed_narrative_anchor", "pos").alias("anchor"))
+    per = last.groupBy("story_id").agg(F.map_from_entries(F.collect_list(F.struct("artifact_id", F.coalesce("anchor", F.lit(""))))).alias("anchors"))
+    out = stories.join(per, "story_id", "left")
+    new = lambda ident, old: F.coalesce(F.nullif(F.try_element_at("anchors", ident), F.lit("")), old)
+    claims = F.transform(_array(stories, "claims"), lambda c: c.withField("narrative_anchor", new(c["claim_id"], c["narrative_anchor"])))
+    evidence = F.transform(_array(stories, "decisive_evidence"), lambda e: e.withField("narrative_anchor", new(e["evidence_id"], e["narrative_anchor"])))
+    ids = F.concat(F.transform(_array(stories, "claims"), lambda c: c["claim_id"]), F.transform(_array(stories, "decisive_evidence"), lambda e: e["evidence_id"]))
+    there = F.size(F.filter(ids, lambda x: F.coalesce(F.try_element_at("anchors", x), F.lit("")) != ""))
+    status = F.when(there == 0, "unreviewed").when(there == F.size(ids), "reviewed").otherwise("partial")
+    return out.select(*[claims.alias(c) if c == "claims" else evidence.alias(c) if c == "decisive_evidence" else F.col(c) for c in stories.columns], F.when(F.col("anchors").isNull(), "unreviewed").otherwise(status).alias("anchor_status"))

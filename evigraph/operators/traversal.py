@@ -5,6 +5,8 @@ Every search runs for all start nodes at once: a frontier of (start, node) rows
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,13 +104,29 @@ def shortest_paths(graph: Graph, pairs: DataFrame, edge_types=None) -> DataFrame
 
 
 def k_hop_subgraph(graph: Graph, seeds: DataFrame, hops: int = 1, edge_types=None) -> Graph:
-    """Nodes within hops edges of a seed, whatever their direction, and the edges (of the types) among them."""
+    """Nodes within hops edges of a seed, whatever their direction, and the edges (of the types) among them.
+
+    The header, where there is one, gets the id of a subgraph, a description, and the seeds and hops in its metadata.
+    """
     near = reachable(graph, seeds, "both", edge_types, max_depth=hops).select(F.col("node").alias("id"))
     kept = settle(near.unionByName(seeds.select("id").join(graph.index().select("id"), "id", "left_semi")).distinct())
     nodes = graph.nodes.join(kept, "id", "left_semi")
     edges = graph.edges.where(of_types(F.col("type"), edge_types))
     edges = edges.join(kept.withColumnRenamed("id", "source"), "source", "left_semi").join(kept.withColumnRenamed("id", "target"), "target", "left_semi")
-    return Graph(nodes, edges, graph.header, graph.unique_ids)
+    return Graph(nodes, edges, _subgraph_header(graph.header, seeds, hops), graph.unique_ids)
+
+
+def _subgraph_header(header: DataFrame | None, seeds: DataFrame, hops: int) -> DataFrame | None:
+    if header is None:
+        return None
+    asked = [r["id"] for r in seeds.select("id").collect()]  # the seeds are the caller's own list
+    own = F.coalesce(F.nullif("graph_id", F.lit("")), F.lit(""))
+    made = {"graph_id": F.when(own == "", "subgraph").otherwise(F.concat(own, F.lit(":subgraph"))), "description": F.lit(f"{hops}-hop subgraph")}
+    more = json.dumps({"subgraph_seeds": asked, "subgraph_hops": hops}, separators=(",", ":"))
+    if "metadata" in header.columns:
+        rest = F.regexp_replace(F.coalesce(F.nullif("metadata", F.lit("")), F.lit("{}")), r"\}\s*$", "")
+        made["metadata"] = F.concat(rest, F.when(F.trim(rest) == "{", "").otherwise(","), F.lit(more[1:]))
+    return header.withColumns(made)
 
 
 def topological_order(graph: Graph, edge_types=None, node_types=None) -> tuple[DataFrame, DataFrame]:

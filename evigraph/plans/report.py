@@ -19,11 +19,15 @@ def cell(value: Any) -> str:
     return str(value).replace("|", "\\|").replace("\n", " ")
 
 
-def table(df: DataFrame, limit: int = 1000) -> str:
-    """A Markdown table of at most limit rows, in the order of df."""
-    rows = df.limit(limit).collect()
+def table(df: DataFrame, limit: int | None = None) -> str:
+    """A Markdown table of df in its order; with a limit, of so many rows, and a line that says so where there are more."""
+    rows = (df if limit is None else df.limit(limit + 1)).toLocalIterator()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows])
+    for n, r in enumerate(rows):
+        if n == limit:
+            return "\n".join([*lines, "", f"The first {limit} rows; there are more."])
+        lines.append("| " + " | ".join(cell(v) for v in r) + " |")
+    return "\n".join(lines)
 
 
 def document(title: str, parts: dict[str, DataFrame | str]) -> str:

@@ -6,11 +6,13 @@ import json
 import sys
 from typing import Any, TextIO
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from evigraph import cli
 
-#: Tools, and the command that serves each.
+# Version of the protocol; names of the tools, with the command that serves each.
+PROTOCOL = "2025-03-26"
 TOOLS = {"validate_graph": "validate", "graph_diagnostics": "diagnostics", "graph_neighborhood": "neighborhood", "epistemic_report": "epistemic-report", "bayesian_assessment": "bayesian-assessment"}
 SERVER = {"name": "evigraph", "version": "0.1"}
 
@@ -25,6 +27,8 @@ def call_tool(spark: SparkSession, name: str, arguments: dict[str, Any]) -> dict
     argv = [TOOLS[name], str(arguments["graph_bundle"])]
     if name == "graph_neighborhood":
         argv += [str(arguments["node_id"]), "--hops", str(int(arguments.get("hops", 1)))]
+    if name in ("epistemic_report", "bayesian_assessment") and arguments.get("node_types"):
+        argv += ["--node-types", ",".join(map(str, arguments["node_types"]))]
     out, _ = cli.run(argv, spark)
     return {"content": [{"type": "text", "text": json.dumps(out, sort_keys=True, default=str)}]}
 
@@ -36,14 +40,14 @@ def handle(spark: SparkSession, request: dict[str, Any]) -> dict[str, Any] | Non
         return None
     reply: dict[str, Any] = {"jsonrpc": "2.0", "id": ident}
     if method == "initialize":
-        return reply | {"result": {"serverInfo": SERVER, "capabilities": {"tools": {}}}}
+        return reply | {"result": {"protocolVersion": PROTOCOL, "serverInfo": SERVER, "capabilities": {"tools": {"listChanged": False}}}}
     if method == "tools/list":
         return reply | {"result": {"tools": list_tools()}}
     if method == "tools/call":
         params = request.get("params") or {}
         try:
             return reply | {"result": call_tool(spark, str(params.get("name", "")), params.get("arguments") or {})}
-        except (KeyError, ValueError, SystemExit) as e:
+        except (KeyError, TypeError, ValueError, OSError, SystemExit, PySparkException) as e:
             return reply | {"error": {"code": -32602, "message": str(e)}}
     return reply | {"error": {"code": -32601, "message": f"unknown method: {method}"}}
 

@@ -11,12 +11,13 @@ import re
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evigraph.functions import text
 from evigraph.graph import Graph
+from evigraph.operators.loops import settle
 
 #: Terms of the JSON-LD context.
 CONTEXT = {
@@ -68,8 +69,28 @@ def _some(df: DataFrame, names) -> dict[str, Column]:
 
 
 def _lines(graph: Graph, node: Column, edge: Column, name: str) -> DataFrame:
-    nodes = graph.nodes.select(F.lit(0).alias("part"), F.col("pos").cast("string").alias("pos"), node.alias(name))
-    return nodes.unionByName(graph.edges.select(F.lit(1).alias("part"), F.col("pos").cast("string").alias("pos"), edge.alias(name)))
+    """(part, pos, name): pos keeps its type, so numbers order as numbers; where nodes and edges differ in it, it is a pair of both."""
+    kinds = [df.schema["pos"].dataType for df in (graph.nodes, graph.edges)]
+    place = [F.col("pos"), F.col("pos")]
+    if kinds[0] != kinds[1]:
+        place = [F.struct(F.col("pos").alias("node"), F.lit(None).cast(kinds[1]).alias("edge")), F.struct(F.lit(None).cast(kinds[0]).alias("node"), F.col("pos").alias("edge"))]
+    nodes = graph.nodes.select(F.lit(0).alias("part"), place[0].alias("pos"), node.alias(name))
+    return nodes.unionByName(graph.edges.select(F.lit(1).alias("part"), place[1].alias("pos"), edge.alias(name)))
+
+
+def in_order(lines: DataFrame) -> DataFrame:
+    """lines with place, from 0: nodes before edges, each in the order of pos. Numbered by ranges, not in one task."""
+    parts = settle(lines.repartitionByRange(lines.sparkSession.sparkContext.defaultParallelism, "part", "pos").sortWithinPartitions("part", "pos").withColumn("range", F.spark_partition_id()))
+    inside = parts.withColumn("i", F.row_number().over(Window.partitionBy("range").orderBy("part", "pos")))
+    sizes = parts.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # a row per range
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("range")) - F.col("n"))
+    return inside.join(F.broadcast(before), "range").withColumn("place", (F.col("before") + F.col("i") - 1).cast("long")).drop("range", "i", "n", "before")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """The lines as text files whose names order as the document does, for graphs of any size."""
+    column = lines.columns[-1]
+    lines.repartitionByRange(lines.sparkSession.sparkContext.defaultParallelism, "part", "pos").sortWithinPartitions("part", "pos").select(F.col(column).alias("value")).write.text(path)
 
 
 def dot_lines(graph: Graph) -> DataFrame:

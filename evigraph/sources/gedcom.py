@@ -15,13 +15,12 @@ EVENT_TAGS = {
     "CENS": "census", "EDUC": "education", "EVEN": "event",
 }
 STATUS = "imported_unreviewed"
-_MAX_LEVEL = 12
 
 
 def parsed_lines(texts: DataFrame) -> DataFrame:
     """texts: (file, value). Returns (file, line_no, level, xref, tag, value, parent, root): parent and root are line numbers.
 
-    The parent is the nearest line before with a smaller level. Blank lines are skipped; a line without a level raises.
+    The parent is the nearest line before with a smaller level, levels being of any depth. Blank lines are skipped; a line without a level raises.
     """
     lines = texts.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "raw")).where(F.trim("raw") != "")
     lines = lines.withColumn("raw", F.trim("raw"))
@@ -33,7 +32,8 @@ def parsed_lines(texts: DataFrame) -> DataFrame:
     out = lines.select("file", "line_no", level.alias("level"), xref.alias("xref"), F.regexp_extract(body, r"^([^ ]*)", 1).alias("tag"), F.regexp_replace(body, r"^[^ ]* ?", "").alias("value"))
     before = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    last = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("line_no")), True).over(before)) for k in range(_MAX_LEVEL)]
+    deepest = out.agg(F.max("level")).first()[0] or 0
+    last = [F.lit(None).cast("int")] * 2 + [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("line_no")), True).over(before)) for k in range(deepest)]
     return out.withColumns({"parent": F.greatest(*last), "root": F.last(F.when(F.col("level") == 0, F.col("line_no")), True).over(upto)})
 
 
