@@ -302,16 +302,6 @@ def shape_finding_counts(spark, sf_dir):
 # ------------------------------------------------------------------ traversal and structure
 
 
-@query(f"WITH {_SUPPLY} SELECT 'nation::3' AS node_id, 'in' AS direction, source AS neighbor, 'located_in' AS edge_type FROM se WHERE target = 'nation::3' UNION ALL SELECT source, 'out', target, 'located_in' FROM se WHERE source = 'nation::3'")
-def neighborhood(spark, sf_dir):
-    return traversal.neighborhood(P.supply(spark, sf_dir), _ids(spark, "nation::3")).drop("pos")
-
-
-@query(f"WITH {_SUPPLY} SELECT source, target FROM se WHERE target = 'nation::3'")
-def incoming_edges(spark, sf_dir):
-    return traversal.incoming(P.supply(spark, sf_dir), _ids(spark, "nation::3")).select("source", "target")
-
-
 @query(f"WITH {_SUPPLY} SELECT source, target FROM se WHERE source LIKE 'nation::%'")
 def outgoing_edges(spark, sf_dir):
     graph = P.supply(spark, sf_dir)
@@ -405,18 +395,6 @@ def topological_order(spark, sf_dir):
     return rounded(traversal.topological_order(P.supply(spark, sf_dir))[0])
 
 
-@query("SELECT 'part::' || (p_partkey % 7) AS id FROM part WHERE p_partkey % 7 IN (1, 2, 3, 4) GROUP BY 1")
-def cycle_nodes(spark, sf_dir):
-    """1 -> 2 -> 3 -> 1 is a cycle, 4 lies behind it, 0 and 5 in front, 6 apart."""
-    from evigraph.graph import Graph
-
-    keys = P.table(spark, sf_dir, "part").select((F.col("p_partkey") % 7).cast("int").alias("k")).distinct()
-    nodes = keys.select(F.concat(F.lit("part::"), F.col("k").cast("string")).alias("id"), F.lit("part").alias("type"), F.col("k").alias("pos"))
-    links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (0, 1), (5, 0)], "a int, b int")
-    edges = links.select(*[F.concat(F.lit("part::"), F.col(c).cast("string")).alias(n) for c, n in (("a", "source"), ("b", "target"))], F.lit("next").alias("type"), (F.col("a") * 10 + F.col("b")).alias("pos"))
-    return traversal.cycle_nodes(Graph(nodes, edges, unique_ids=True))
-
-
 @query(
     f"""WITH {_SUPPLY}, d AS (SELECT a AS id, count(*) AS degree FROM su GROUP BY 1), i AS (SELECT target AS id, count(*) AS in_degree FROM se GROUP BY 1), o AS (SELECT source AS id, count(*) AS out_degree FROM se GROUP BY 1)
     SELECT sn.id, type, coalesce(degree, 0) AS degree, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree FROM sn LEFT JOIN d USING (id) LEFT JOIN i USING (id) LEFT JOIN o USING (id) ORDER BY 3 DESC, 4 DESC, 1 LIMIT 10"""
@@ -643,8 +621,12 @@ def slugs(spark, sf_dir):
 
 
 def queries() -> dict:
+    from evigraph.plans import cases  # noqa: F401  adds its queries
+
     return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    from evigraph.plans import cases  # noqa: F401
+
     return dict(_SQL)

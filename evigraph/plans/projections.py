@@ -63,6 +63,27 @@ def evidence(spark: SparkSession, sf_dir: str, concepts: bool = True, suppliers:
     return Graph(nodes, edges, unique_ids=True)
 
 
+def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as stories: each line item is a claim, false where returned, and, where discounted, evidence against itself. An order has few lines."""
+    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")], F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"))
+    number, blank, empty = F.col("l_linenumber").cast("string"), F.lit(""), F.lit("{}")
+    anchor = F.concat(F.lit("line "), number)
+    truth = F.when(F.col("l_returnflag") == "R", "false").when(F.col("l_returnflag") == "A", "misleading").otherwise("true")
+    claim_id = F.concat(F.lit("claim::"), key)
+    claim = F.struct(claim_id.alias("claim_id"), F.lit("a claim").alias("text"), blank.alias("speaker"), truth.alias("truth_status"), anchor.alias("narrative_anchor"), number.alias("introduced_at"), blank.alias("notes"), empty.alias("metadata"))
+    evidence = F.struct(
+        F.concat(F.lit("evidence::"), key).alias("evidence_id"), F.when(F.col("l_tax") == 0, "").otherwise("evidence").alias("text"), claim_id.alias("contradicts_claim_id"), number.alias("available_at"), anchor.alias("narrative_anchor"),
+        F.when(F.col("l_quantity") > 45, "hidden").otherwise("reader").alias("access_scope"), blank.alias("notes"), empty.alias("metadata"),
+    )
+    lists = line.groupBy("l_orderkey").agg(F.collect_list(claim).alias("claims"), F.collect_list(F.when(F.col("l_discount") >= 0.05, evidence)).alias("decisive_evidence"))
+    fair = F.when(F.col("o_orderstatus") == "F", "fair_play").when(F.col("o_orderstatus") == "P", "ambiguous").otherwise("late_decisive_evidence")
+    return orders.join(lists, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        F.lit("detective_story_annotation").alias("annotation_kind"), _id("story", "o_orderkey").alias("story_id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), blank.alias("source_url"),
+        F.lit("line").alias("narrative_unit"), (F.col("o_custkey") % 8).cast("string").alias("reveal_point"), fair.alias("fair_play_status"), "claims", "decisive_evidence", blank.alias("graph_file"),
+    )
+
+
 def chain(spark: SparkSession, sf_dir: str) -> Graph:
     """Each user's events in order of time, an edge from each to the next."""
     from pyspark.sql import Window
