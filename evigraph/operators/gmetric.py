@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THIRDS = (1 / 3, 1 / 3, 1 / 3)
+#: Ranges of p that predictions are ordered in.
+SLOTS = 4096
 #: The columns of an evaluation row, in order.
 COLUMNS = ("run_id", "subject_id", "condition", "phase", "item_id", "claim_id", "env", "y", "p", "answer", "response", "source_anchor", "recognized_at", "contradiction_available_at", "recognition_lag", "fair_play_rating")
 
@@ -27,11 +31,18 @@ def rejected_rows(rows: DataFrame) -> DataFrame:
 def auc(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, n, positives, brier, auc): AUC from average ranks of tied predictions, 0.5 where a class is missing.
 
-    Rows are first counted per distinct p, so the window runs over distinct predictions, not over rows.
+    Rows are first counted per distinct p. Predictions are numbered by SLOTS ranges of p: each range by itself, with the number of rows
+    of lower ranges added, so no task orders all predictions of a group.
     """
     per_p = rows.groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("y").cast("long")).alias("pos"), F.sum(F.pow(F.col("p") - F.col("y"), 2)).alias("sq"))
-    below = F.sum("m").over(Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = per_p.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("m") + 1) / 2)
+    per_p = per_p.withColumn("slot", F.floor(F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0)) * (SLOTS - 1)).cast("int"))
+    earlier = Window.unboundedPreceding
+    slots = per_p.groupBy(*keys, "slot").agg(F.sum("m").alias("of_slot"))  # SLOTS rows a group at most
+    slots = slots.withColumn("before", F.coalesce(F.sum("of_slot").over(Window.partitionBy(*keys).orderBy("slot").rowsBetween(earlier, -1)), F.lit(0))).drop("of_slot")
+    inside = F.coalesce(F.sum("m").over(Window.partitionBy(*keys, "slot").orderBy("p").rowsBetween(earlier, -1)), F.lit(0))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a.slot").eqNullSafe(F.col("b.slot"))]
+    joined = per_p.withColumn("inside", inside).alias("a").join(slots.alias("b"), reduce(and_, same)).select("a.*", "b.before")
+    ranked = joined.withColumn("rank", F.col("before") + F.col("inside") + (F.col("m") + 1) / 2)
     out = ranked.groupBy(*keys).agg(F.sum("m").alias("n"), F.sum("pos").alias("positives"), (F.sum("sq") / F.sum("m")).alias("brier"), F.sum(F.col("rank") * F.col("pos")).alias("ranks"))
     pos, neg = F.col("positives"), F.col("n") - F.col("positives")
     return out.withColumn("auc", F.when((pos == 0) | (neg == 0), 0.5).otherwise(F.try_divide(F.col("ranks") - pos * (pos + 1) / 2, (pos * neg).cast("double")))).drop("ranks")

@@ -23,8 +23,7 @@ def component_labels(graph: Graph, node_types=None, max_rounds: int = 1000) -> D
         told = edges.join(labels.select(F.col("id").alias("b"), F.col("component").alias("heard")), "b").groupBy("a").agg(F.min("heard").alias("heard")).withColumnRenamed("a", "id")
         near = labels.join(told, "id", "left").select("id", "component", F.least("component", F.coalesce("heard", "component")).alias("low"))
         near = settle(near)
-        root = near.groupBy("component").agg(F.min("low").alias("low")).select(F.col("component").alias("id"), "low")
-        roots = settle(root)
+        roots = near.groupBy("component").agg(F.min("low").alias("low")).select(F.col("component").alias("id"), "low")
         hop = roots.select(F.col("id").alias("low"), F.col("low").alias("far"))
         moved = near.select("id", "component").join(roots.withColumnRenamed("id", "component"), "component")
         labels_new = settle(moved.join(hop, "low", "left").select("id", "component", F.least("low", F.coalesce("far", "low")).alias("next")))
@@ -83,12 +82,13 @@ def _cut_vertices(ids: list[str], pairs: list[tuple[str, str]]) -> list[tuple[st
     return out
 
 
-def bridge_nodes(graph: Graph, node_types=None) -> DataFrame:
+def bridge_nodes(graph: Graph, node_types=None, labels: DataFrame | None = None) -> DataFrame:
     """(node_id, component_size, reachable_after_removal) of the cut vertices of components of three or more nodes.
 
     A component is searched in one task, so it must fit in one executor's memory; components are dealt by their label.
+    labels: those of component_labels, where they are known already.
     """
-    labels = component_labels(graph, node_types)
+    labels = component_labels(graph, node_types) if labels is None else labels
     big = settle(labels.join(labels.groupBy("component").count().where("count >= 3").select("component"), "component", "left_semi"))
     edges = graph.undirected(node_types).where("a != b")
     rows = edges.join(big.withColumnRenamed("id", "a"), "a").select("component", "a", "b")
@@ -121,10 +121,11 @@ def diagnostics_summary(graph: Graph, node_types=None) -> DataFrame:
     """One row: counts of nodes, edges among them, components, the largest of these, isolated nodes and cut vertices."""
     ids = graph.index().where(of_types(F.col("type"), node_types)).select("id")
     edges = graph.edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    sizes = component_labels(graph, node_types).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    labels = component_labels(graph, node_types)
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     shape = sizes.agg(F.count(F.lit(1)).alias("component_count"), F.coalesce(F.max("size"), F.lit(0)).alias("largest_component_size"), F.coalesce(F.sum("size"), F.lit(0)).alias("node_count"))
     lonely = degrees(graph, node_types).where("degree = 0").agg(F.count(F.lit(1)).alias("isolated_node_count"))
-    cut = bridge_nodes(graph, node_types).agg(F.count(F.lit(1)).alias("bridge_node_count"))
+    cut = bridge_nodes(graph, node_types, labels).agg(F.count(F.lit(1)).alias("bridge_node_count"))
     parts = edges.agg(F.count(F.lit(1)).alias("edge_count"))
     return shape.crossJoin(parts).crossJoin(lonely).crossJoin(cut)  # one row each
 

@@ -358,8 +358,8 @@ def event_chain_components(spark, sf_dir):
     reach AS (SELECT v, s AS id FROM start UNION SELECT v, b FROM reach JOIN u ON u.a = reach.id WHERE b != v)
     SELECT v AS node_id, (SELECT count(*) FROM n WHERE n.r = inner_nodes.r) AS component_size, (SELECT count(*) FROM reach WHERE reach.v = inner_nodes.v) AS reachable_after_removal FROM inner_nodes"""
 )
-def cut_vertices(spark, sf_dir):
-    """Without the customers, like its SQL; cut_vertices_all takes them in."""
+def cut_vertices_suppliers(spark, sf_dir):
+    """The graph without the customers, which its SQL can walk node by node."""
     return structure.bridge_nodes(P.supply(spark, sf_dir, customers=False))
 
 
@@ -375,8 +375,8 @@ _LEAVES = """leaf AS (SELECT 'supplier::' || s_suppkey AS id, s_nationkey AS k F
     SELECT v AS node_id, total.n AS component_size, CASE WHEN inner_nodes.k = -1 THEN 1 + sized.leaves WHEN start.k = inner_nodes.k THEN 1 ELSE total.n - 1 - inner_nodes.leaves END AS reachable_after_removal
     FROM inner_nodes JOIN total ON total.r = inner_nodes.r JOIN start USING (v) LEFT JOIN sized ON sized.k = start.k"""
 )
-def cut_vertices_all(spark, sf_dir):
-    """cut_vertices with the customers; its SQL counts the leaves of each nation instead of walking the graph."""
+def cut_vertices(spark, sf_dir):
+    """Over the whole supply graph; its SQL counts the leaves of each nation instead of walking the graph."""
     return structure.bridge_nodes(P.supply(spark, sf_dir))
 
 
@@ -410,8 +410,8 @@ def degree_top10(spark, sf_dir):
     SELECT (SELECT count(DISTINCT r) FROM n) AS component_count, (SELECT max(c) FROM (SELECT count(*) AS c FROM n GROUP BY r)) AS largest_component_size, (SELECT count(*) FROM n) AS node_count, (SELECT count(*) FROM e) AS edge_count,
       (SELECT count(*) FROM n WHERE id NOT IN (SELECT a FROM u)) AS isolated_node_count, (SELECT count(*) FROM deg WHERE d > 1) AS bridge_node_count"""
 )
-def diagnostics_summary(spark, sf_dir):
-    """Without the customers, like its SQL; diagnostics_summary_all takes them in."""
+def diagnostics_summary_suppliers(spark, sf_dir):
+    """The graph without the customers, as in cut_vertices_suppliers."""
     return rounded(structure.diagnostics_summary(P.supply(spark, sf_dir, customers=False)))
 
 
@@ -419,8 +419,8 @@ def diagnostics_summary(spark, sf_dir):
     f"""WITH {_LEAVES} SELECT (SELECT count(DISTINCT r) FROM home) AS component_count, (SELECT max(c) FROM (SELECT count(*) AS c FROM home GROUP BY r)) AS largest_component_size, (SELECT count(*) FROM home) AS node_count,
       (SELECT count(*) FROM leaf) + (SELECT count(*) FROM nation) AS edge_count, (SELECT count(*) FROM region WHERE r_regionkey NOT IN (SELECT r FROM sized)) AS isolated_node_count, (SELECT count(*) FROM inner_nodes) AS bridge_node_count"""
 )
-def diagnostics_summary_all(spark, sf_dir):
-    """diagnostics_summary with the customers."""
+def diagnostics_summary(spark, sf_dir):
+    """Over the whole supply graph."""
     return rounded(structure.diagnostics_summary(P.supply(spark, sf_dir)))
 
 

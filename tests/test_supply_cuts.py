@@ -27,6 +27,6 @@ def test_customers_count(spark, sf_dir):
             left = len(reach(min(whole - {v}), v))
             want += [(v, len(whole), left)] * (left < len(whole) - 1)
     assert any(n.startswith("customer") for n in near)
-    assert sorted(tuple(r) for r in catalog.queries()["cut_vertices_all"](spark, sf_dir).select("node_id", "component_size", "reachable_after_removal").collect()) == sorted(want)
-    row = catalog.queries()["diagnostics_summary_all"](spark, sf_dir).first()
+    assert sorted(tuple(r) for r in catalog.queries()["cut_vertices"](spark, sf_dir).select("node_id", "component_size", "reachable_after_removal").collect()) == sorted(want)
+    row = catalog.queries()["diagnostics_summary"](spark, sf_dir).first()
     assert (row["node_count"], row["edge_count"], row["bridge_node_count"]) == (len(near), len(edges), len(want))
