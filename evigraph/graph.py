@@ -81,5 +81,20 @@ def with_component_reliability(graph: Graph, component_ids: DataFrame, level: st
     return replace(graph, nodes=marked(graph.nodes, [F.col("id")]), edges=marked(graph.edges, names))
 
 
+def edge_ref(df: DataFrame, dated: bool = False) -> Column:
+    """What a report says of an edge: its ends, type, confidence and evidence; in temporal reports its id and title instead. Missing columns are null."""
+    names = ("id", "source", "target", "type", "title") if dated else ("source", "target", "type", "confidence", "evidence_ids")
+    return _ref(df, names)
+
+
+def node_ref(df: DataFrame) -> Column:
+    """What a report says of a node."""
+    return _ref(df, ("id", "type", "title", "confidence", "status"))
+
+
+def _ref(df: DataFrame, names: tuple[str, ...]) -> Column:
+    return F.struct(*[(F.col(n) if n in df.columns else F.lit(None)).alias(n) for n in names])
+
+
 def stance(kind: Column) -> Column:
     return F.when(kind.isin(*SUPPORT), "support").when(kind.isin(*CHALLENGE), "challenge").when(kind.isin(*REVISION), "revision")

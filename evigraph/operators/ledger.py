@@ -199,6 +199,11 @@ def ledger_counts(units: DataFrame, order: Column, weight: str = "raw_weight") -
     return per_key.groupBy("ledger").agg(*out, F.sum("defaults").alias("missing_weight_count"))
 
 
+def in_order(units: DataFrame) -> DataFrame:
+    """Units as a ledger lists them: by unit_id."""
+    return units.orderBy("ledger", "unit_id")
+
+
 def require_valid(units: DataFrame) -> DataFrame:
     """units as they are, or ValueError with how many violations of which kind there are."""
     found = {r["code"]: r["count"] for r in ledger_violations(units).groupBy("code").count().collect()}

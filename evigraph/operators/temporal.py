@@ -111,6 +111,16 @@ def stale_claims_after(graph: Graph, when, node_types=("claim",)) -> DataFrame:
     return windows.where("terminal_kind IS NOT NULL").where(ended).select("claim", "tenable_until", "terminal_edge")
 
 
+def stale_in_order(stale: DataFrame) -> DataFrame:
+    """As a report lists them: by the end as text, then by claim."""
+    return stale.orderBy("tenable_until", "claim")
+
+
+def timeline_in_order(events: DataFrame) -> DataFrame:
+    """By time key (dates before steps), component and event."""
+    return events.orderBy("kind", "val", "component_id", "event")
+
+
 def timeline_events(graph: Graph, keys=EVENT_KEYS) -> DataFrame:
     """(component, component_id, component_type, event, kind, val, shown) of every dated key of nodes, edges and their provenance."""
     own = F.col("id") if "id" in graph.edges.columns else F.lit("")

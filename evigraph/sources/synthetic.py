@@ -43,3 +43,15 @@ def random_sparse(spark: SparkSession, n: int, seed: int = 7) -> Graph:
     """2n edges between ends drawn by hash."""
     draw = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(n))
     return _graph(spark, n, spark.range(2 * n).select(draw(1).alias("a"), draw(2).alias("b")))
+
+
+def record_fixture(spark: SparkSession, scale: int = 1) -> Graph:
+    """A record-shaped export as a graph: 6 nodes and 5 edges for each unit of scale, kinds in turn, edges to the next node."""
+    n = 6 * max(1, int(scale))
+    turn = lambda c: F.when(c % 3 == 0, "concept").when(c % 3 == 1, "claim").otherwise("observation")
+    name = lambda c: F.concat(turn(c), F.lit("::fixture-"), c.cast("string"))
+    i = F.col("id")
+    nodes = spark.range(n).select(name(i).alias("id"), turn(i).alias("type"), F.concat(F.lit("Sanitized fixture record "), i.cast("string")).alias("title"), F.when(i % 4 == 0, "promoted").otherwise("reviewed").alias("status"), i.alias("pos"))
+    kind = F.when(i % 3 == 0, "supports").otherwise("related_to")
+    edges = spark.range(n // 6 * 5).select(name(i).alias("source"), name((i + 1) % n).alias("target"), kind.alias("type"), F.concat(F.lit("relation::fixture-"), i.cast("string")).alias("id"), F.lit("reviewed").alias("status"), i.alias("pos"))
+    return Graph(nodes, edges, unique_ids=True)

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from evigraph import cli, rpc
 from evigraph.functions import timekey
-from evigraph.graph import Graph, with_component_reliability
-from evigraph.operators import bayesian, calibration, epistemic, gmetric, ledger, traversal
+from evigraph.graph import Graph, edge_ref, node_ref, with_component_reliability
+from evigraph.operators import bayesian, calibration, epistemic, gmetric, ledger, temporal, traversal
 from evigraph.plans import manifests, report
-from evigraph.sources import bundle, export, gedcom
+from evigraph.sources import bundle, export, gedcom, synthetic
 
 
 def payload(n=12):
@@ -181,3 +181,21 @@ def test_story_commands(spark, tmp_path):
 
 def test_graph_without_header_keeps_none(spark, graph):
     assert traversal.k_hop_subgraph(Graph(graph.nodes, graph.edges), spark.createDataFrame([("n3",)], "id string")).header is None
+
+
+def test_references_and_orders(spark, graph):
+    row = graph.edges.select(edge_ref(graph.edges).alias("a"), edge_ref(graph.edges, dated=True).alias("b")).first()
+    assert list(row["a"].asDict()) == ["source", "target", "type", "confidence", "evidence_ids"] and list(row["b"].asDict()) == ["id", "source", "target", "type", "title"]
+    assert graph.nodes.select(node_ref(graph.nodes).alias("n")).first()["n"]["id"] == "n0"
+    stale = spark.createDataFrame([("b", "1901"), ("a", "1901"), ("c", "1900")], "claim string, tenable_until string")
+    assert [r["claim"] for r in temporal.stale_in_order(stale).collect()] == ["c", "a", "b"]
+    events = spark.createDataFrame([("numeric", 1.0, "a", "x"), ("datetime", 9.0, "b", "y"), ("datetime", 9.0, "b", "x")], "kind string, val double, component_id string, event string")
+    assert [r["event"] for r in temporal.timeline_in_order(events).collect()] == ["x", "y", "x"]
+    units = spark.createDataFrame([("l", "u2"), ("l", "u1")], "ledger string, unit_id string")
+    assert [r["unit_id"] for r in ledger.in_order(units).collect()] == ["u1", "u2"]
+
+
+def test_record_fixture(spark):
+    made = synthetic.record_fixture(spark, 2)
+    assert made.nodes.count() == 12 and made.edges.count() == 10
+    assert made.edges.orderBy("pos").first()["target"] == "claim::fixture-1" and made.valid_edges().count() == 10
