@@ -34,8 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder as Parquet and read it back: cuts lineage, survives lost executors.
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df once to the shared folder as Parquet, in a folder for each value of by, and read it back: cuts lineage, survives lost executors.
 
     The job's shuffle files go once it has ended, as nothing after it reads them.
     """
@@ -44,7 +44,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(tidy)
     spark.conf.set(tidy, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(tidy, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -52,10 +52,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized table that nothing reads any more."""
+def discard(df: DataFrame, part: str = "") -> None:
+    """Delete the files of a materialized table (or of one of its folders, as kind=1) that nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.stage_path)
+    path = jvm.org.apache.hadoop.fs.Path(f"{df.stage_path}/{part}".rstrip("/"))
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -66,6 +66,11 @@ def free_prefix(columns: list[str], prefix: str = "_x") -> str:
     return prefix
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ...: mapInArrow takes no column with a dot in its name."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

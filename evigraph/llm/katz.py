@@ -115,8 +115,7 @@ class Block:
 
     def __init__(self, row: dict):
         self.ids, self.lengths, self.train = row["ids"], np.frombuffer(row["lengths"], np.int32).astype(np.int64), np.frombuffer(row["train"], np.uint8).astype(bool)
-        self.tokens, self.vocab, self.block = _unpack(row["tokens"], "<u4"), np.frombuffer(row["vocab"], np.uint64), row["block"]
-        self.order = np.argsort(self.vocab)
+        self.tokens, self.order, self.end, self.block = _unpack(row["tokens"], "<u4"), _unpack(row["order"], "<u4"), row["end"], row["block"]
 
     def learn_words(self, replies: list, buckets: int) -> None:
         """Total count and word number of each of the block's words."""
@@ -124,12 +123,12 @@ class Block:
         for r in sorted(replies, key=lambda r: r["bucket"]):
             counts.append(_unpack(r["a"]))
             numbers.append(_unpack(r["b"]) * buckets + r["bucket"])
-        self.count, self.number = np.empty(len(self.vocab), np.int64), np.empty(len(self.vocab), np.int64)
+        self.count, self.number = np.empty(len(self.order), np.int64), np.empty(len(self.order), np.int64)
         self.count[self.order], self.number[self.order] = np.concatenate(counts), np.concatenate(numbers)
 
     def pair_up(self, buckets: int, total: int) -> None:
-        n, end = len(self.vocab), int(np.flatnonzero(self.vocab == np.uint64(xxhash.xxh3_64_intdigest(END)))[0])
-        history = np.append(end, self.tokens[:-1])
+        n = len(self.order)
+        history = np.append(self.end, self.tokens[:-1])
         pairs, self.which = np.unique(history * n + self.tokens, return_inverse=True)
         h, w = pairs // n, pairs % n
         in_train = np.repeat(self.train, self.lengths)
@@ -149,11 +148,11 @@ class Block:
                 yield int(self.bucket[a]), slice(a, b), self.h[a:b][starts], np.diff(np.append(starts, b - a))
 
 
-_BLOCK = "block long, kind int, bucket int, ids array<{id}>, lengths binary, train binary, tokens binary, vocab binary, a binary, b binary"
+_BLOCK = "block long, kind int, bucket int, ids array<{id}>, lengths binary, train binary, tokens binary, order binary, end int, a binary, b binary"
 
 
 def _blocks(docs: DataFrame, text_col: str, id_col: str, held_out: Column, buckets: int) -> DataFrame:
-    """Blocks (kind 0) and, for each block and bucket, its words (kind 1: hashes in a, training counts in b)."""
+    """Blocks (kind 0; order sorts their words by hash) and, for each block and bucket, its words (kind 1: hashes in a, training counts in b)."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = _BLOCK.format(id=kind)
     arrow = _arrow(schema)
@@ -171,10 +170,10 @@ def _blocks(docs: DataFrame, text_col: str, id_col: str, held_out: Column, bucke
         order = np.argsort(vocab)
         bucket = (vocab[order] >> top).astype(np.int64) if buckets > 1 else np.zeros(len(vocab), np.int64)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
-        rows = [(block, 0, -1, ids, lengths.tobytes(), train_.tobytes(), _pack(flat, "<u4"), vocab.tobytes(), None, None)]
+        rows = [(block, 0, -1, ids, lengths.tobytes(), train_.tobytes(), _pack(flat, "<u4"), _pack(order, "<u4"), int(number[0]), None, None)]
         for part in np.split(order, cuts):
             b = int(vocab[part[0]] >> top) if buckets > 1 else 0
-            rows.append((block, 1, b, None, None, None, None, None, vocab[part].tobytes(), _pack(seen[part])))
+            rows.append((block, 1, b, None, None, None, None, None, None, vocab[part].tobytes(), _pack(seen[part])))
         return pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in rows], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,11 +323,12 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
     """
     kind, buckets = docs.schema[id_col].dataType.simpleString(), bucket_count(docs)
     bound_batches(docs.sparkSession)
-    made = materialize(_blocks(docs, text_col, id_col, held_out, buckets), "katz-blocks")
+    made = materialize(_blocks(docs, text_col, id_col, held_out, buckets), "katz-blocks", by="kind")
     word_replies = materialize(made.where("kind = 1").select("block", "bucket", "a", "b").groupBy("bucket").applyInArrow(_word_table, _REPLY), "katz-words")
+    discard(made, "kind=1")
     total, types, _, times = _totals(word_replies)
     unigrams = Unigrams(times, total, types)
-    blocks = made.where("kind = 0").select("block", "ids", "lengths", "train", "tokens", "vocab").join(_gathered(word_replies, "words"), "block")
+    blocks = made.where("kind = 0").select("block", "ids", "lengths", "train", "tokens", "order", "end").join(_gathered(word_replies, "words"), "block")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
