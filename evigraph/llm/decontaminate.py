@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._common import WordHash, bound_batches
+from evigraph.llm._common import WordHash, bound_batches, numbered
 
 SEED_WORDS = 3
 BLOCK_WORDS = 2_000_000
@@ -258,16 +258,16 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     Null and empty texts match nothing and stay; repeated rows stay or go together; an empty table on either side gives docs.
     Seeds are counted over docs for every block; one pass then looks all blocks up.
     """
-    schema = docs.schema
+    schema, names, place = docs.schema, docs.columns, docs.columns.index(text_col)
     for index in [_index(docs, items, text_col) for _, items in _blocks(benchmark, text_col, item_col, block_words)]:
 
         def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             hashes, found = WordHash(), index.value
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col))
-                clean = [not found.matches(words_of(t.as_py() or "", hashes), min_score) for t in texts]
+                clean = [not found.matches(words_of(t.as_py() or "", hashes), min_score) for t in batch.column(place)]
                 hashes.trim()
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                kept = batch.filter(pa.array(clean, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(kept.columns, names=names)
 
-        docs = docs.mapInArrow(keep, schema)
+        docs = numbered(docs).mapInArrow(keep, schema)
     return docs

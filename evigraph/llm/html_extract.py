@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._common import bound_batches
+from evigraph.llm._common import bound_batches, numbered
 
 # ---------------------------------------------------------------- the tree of blocks
 
@@ -548,13 +548,13 @@ def extract_text(pages: DataFrame, html_col: str = "html", at_once: int = 64) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(html_col))
+            column = batch.column(len(rest))
             out: list[str] = []
             for i in range(0, len(column), at_once):
                 out += extract([x.as_py() or "" for x in column[i : i + at_once]], shared.value, known)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in rest), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[*rest, "text", "n_chars"]
+                [*batch.columns[: len(rest)], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[*rest, "text", "n_chars"]
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != html_col)
-    return kept.select(*[F.col(f"`{c}`") for c in rest], F.col(html_col)).mapInArrow(run, f"{schema}, text string, n_chars long".lstrip(", "))
+    return numbered(kept.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{html_col}`"))).mapInArrow(run, f"{schema}, text string, n_chars long".lstrip(", "))

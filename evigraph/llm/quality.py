@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._common import CACHE_ENTRIES, bound_batches, materialize
+from evigraph.llm._common import CACHE_ENTRIES, bound_batches, materialize, numbered
 from evigraph.llm._labelled import MAX_PER_CLASS, labelled_sample
 
 WORD_ROWS, SHAPE_ROWS, DIM, NONZERO, WINDOW = 1 << 14, 64, 32, 2, 2
@@ -225,16 +225,17 @@ def classify(docs: DataFrame, model: dict, threshold: float = 0.7, text_col: str
     """
     bound_batches(docs.sparkSession)
     kept = docs.drop("score", "predicted")
+    names, place = kept.columns, kept.columns.index(text_col)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, index, contexts = Codes(), dense_index(), model["contexts"].value
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
+            at = place
             x = np.array([pooled(*codes.rows((t.as_py() or "").encode("utf-8", "replace")), contexts, index) for t in batch.column(at)], np.float64).reshape(-1, N_POOLED)
             p = 1 / (1 + np.exp(-np.clip(_forward(model, x) / model["temperature"], -30, 30)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())], names=[*batch.schema.names, "score", "predicted"]
+                [*batch.columns, pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())], names=[*names, "score", "predicted"]
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(scores, f"{schema}, score double, predicted int")
+    return numbered(kept).mapInArrow(scores, f"{schema}, score double, predicted int")

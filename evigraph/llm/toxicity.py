@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._common import CACHE_ENTRIES, bound_batches, materialize
+from evigraph.llm._common import CACHE_ENTRIES, bound_batches, materialize, numbered
 from evigraph.llm._labelled import MAX_PER_CLASS, labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -198,18 +198,19 @@ def classify(docs: DataFrame, model: dict, threshold: float = 0.7, text_col: str
     """
     bound_batches(docs.sparkSession)
     kept = docs.drop("score", "predicted")
+    names, place = kept.columns, kept.columns.index(text_col)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(model["at"])
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
+            at = place
             out = [score_text(model, lookup, t.as_py() or "") for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, pa.float64()), pa.array([int(s >= threshold) for s in out], pa.int32())], names=[*batch.schema.names, "score", "predicted"]
+                [*batch.columns, pa.array(out, pa.float64()), pa.array([int(s >= threshold) for s in out], pa.int32())], names=[*names, "score", "predicted"]
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(scores, f"{schema}, score double, predicted int")
+    return numbered(kept).mapInArrow(scores, f"{schema}, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -218,14 +219,15 @@ def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.7, text_col: s
     A null text counts as empty; repeated rows stay or go together; an empty table gives an empty result.
     """
     bound_batches(docs.sparkSession)
+    names, place = docs.columns, docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(model["at"])
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            yield batch.filter(pa.array([score_text(model, lookup, t.as_py() or "") < threshold for t in texts], pa.bool_()))
+            kept = batch.filter(pa.array([score_text(model, lookup, t.as_py() or "") < threshold for t in batch.column(place)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=names)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return numbered(docs).mapInArrow(keep, docs.schema)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable, label: str = "toxic", text_col: str = "text", id_col: str = "doc_id", max_per_class: int = MAX_PER_CLASS) -> dict:
