@@ -193,7 +193,7 @@ def test_row_findings_and_merge(template):
 def test_manifests_and_reports(spark, tmp_path):
     m = manifests.make("treatment", experiment_id="x", treatments=[{"condition": "a"}, {"condition": "a"}], phases=[], notes="", extra=())
     assert "notes" not in m and "extra" not in m and m["phases"] == []
-    assert {f["code"] for f in manifests.findings(m)} == {"missing_manifest_field", "duplicate_treatment_condition"}
+    assert {f["code"] for f in manifests.findings(m)} == {"missing_required_treatment_field", "duplicate_treatment_condition", "missing_treatment_exposed_artifacts", "missing_phases", "invalid_policy_block"}
     manifests.write(m, tmp_path / "m.json")
     assert manifests.read(tmp_path / "m.json", "treatment") == m
     with pytest.raises(ValueError):
