@@ -36,19 +36,18 @@ MIN_HITS = 0.08
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _KEEP = {*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)}
-_NO_WORD = re.compile(r"[\W_]+")
-#: ASCII letters to lower case, other ASCII characters but digits to a space.
+_NO_WORD = re.compile(r"[^\w\x00-\x7f]+")
+#: ASCII letters to lower case, other ASCII characters but digits to a space; bytes of other characters stay.
 _FOLD = bytes((c + 32 if 0x41 <= c <= 0x5A else c) if c in _KEEP or c > 0x7F else 0x20 for c in range(256))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def words_of(text: str, hashes: WordHash) -> np.ndarray:
     """Hash of each word of a text."""
-    if text.isascii():  # the same words by a table
-        found = text.encode().translate(_FOLD).split()
-    else:
+    if not text.isascii():  # of other characters, those that are no letters or digits become spaces here, ASCII ones by the table
         folded = text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
-        found = _NO_WORD.sub(" ", folded.casefold()).encode("utf-8", "replace").split()
+        text = _NO_WORD.sub(" ", folded.casefold())
+    found = text.encode("utf-8", "replace").translate(_FOLD).split()
     return np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
 
 
