@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm import decontaminate, exact_dedup, near_dedup, registry, toxicity
-from evigraph.llm._common import materialize, table
+from evigraph.llm._common import discard, materialize, table
 from evigraph.llm._labelled import id_remainder
 
 
@@ -76,7 +76,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages over the table documents, one after the other; what a stage read is deleted once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
