@@ -33,8 +33,16 @@ def component_labels(graph: Graph, node_types=None, max_rounds: int = 1000) -> D
     raise RuntimeError(f"components still change after {max_rounds} rounds")
 
 
+def component_sizes(graph: Graph, node_types=None) -> DataFrame:
+    """(component, size)."""
+    return component_labels(graph, node_types).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+
+
 def connected_components(graph: Graph, node_types=None) -> DataFrame:
-    """(component, size, ids): ids in order. Order by size descending, ids ascending to list them."""
+    """(component, size, ids): ids in order. Order by size descending, ids ascending to list them.
+
+    A list holds a whole component, so this is for components that fit in a row; component_labels and component_sizes have no such bound.
+    """
     labels = component_labels(graph, node_types)
     return labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("id")).alias("ids"))
 
