@@ -135,3 +135,24 @@ def test_k_hop_and_components_of_a_star(spark):
     assert structure.connected_components(synthetic.blocks(spark, 23)).where(F.col("size") == 5).count() == 4
     assert traversal.cycle_nodes(synthetic.cycle(spark, 6)).count() == 6
     assert structure.component_labels(synthetic.path(spark, 100)).select("component").distinct().count() == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cut_vertices_of_peeled_components(spark, seed):
+    """Trees, cycles with trees on them and denser parts, peeled first or searched whole."""
+    import random
+
+    from evigraph.graph import Graph
+    from evigraph.operators import structure
+
+    r = random.Random(seed)
+    names = [f"n{i:03d}" for i in range(90)]
+    r.shuffle(names)
+    links = {(i, r.randrange(max(0, i - 6), i)) for i in range(1, 30)}  # a tree
+    links |= {(30 + i, 30 + (i + 1) % 8) for i in range(8)} | {(38 + i, 30 + r.randrange(8 + i)) for i in range(22)}  # a cycle with trees
+    links |= {(60 + r.randrange(25), 60 + r.randrange(25)) for _ in range(30)} | {(88, 89)}
+    nodes = spark.createDataFrame([(n, "x", n) for n in names], "id string, type string, pos string")
+    edges = spark.createDataFrame([(names[a], names[b], "e", f"{a}-{b}") for a, b in links], "source string, target string, type string, pos string")
+    graph = Graph(nodes, edges, unique_ids=True)
+    whole, peeled = (sorted(tuple(x) for x in structure.bridge_nodes(graph, peel_above=above).collect()) for above in (10**6, 0))
+    assert peeled == whole and len(whole) > 20
