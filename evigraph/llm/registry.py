@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import decontaminate, exact_dedup, html_extract, katz, mixing, near_dedup, quality, secrets, token_count, toxicity
+from evigraph.llm import decontaminate, exact_dedup, html_extract, katz, mixing, near_dedup, quality, secrets, token_count, toxicity, vector_codes, whitening
 from evigraph.llm._common import WORD_PATTERN, materialize, table
 from evigraph.llm._labelled import id_remainder
 
@@ -129,6 +129,42 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql() -> str:
+    """A chain of tables: b0 the first entries, a_k the nearest of b_k, b_k+1 the entries after a round. Whole numbers stay below 2^53 in doubles."""
+    nearest = "a{k} AS MATERIALIZED (SELECT r, p, min({{'d': list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c), 'e': e}}) AS m FROM parts JOIN b{k} USING (p) GROUP BY r, p)"
+    refined = """b{j} AS MATERIALIZED (
+  SELECT p, e, coalesce(n.c, b{k}.c) AS c FROM b{k} LEFT JOIN (
+    SELECT p, e, list(floor(s / k) ORDER BY pos) AS c FROM (
+      SELECT p, m.e AS e, pos, sum(x[pos]) AS s, count(*) AS k FROM a{k} JOIN parts USING (r, p), (SELECT unnest(range(1, max(len(x)) + 1)) AS pos FROM parts) WHERE pos <= len(x) GROUP BY ALL)
+    GROUP BY ALL) n USING (p, e))"""
+    rounds = range(vector_codes.ROUNDS)
+    steps = [x for k in rounds for x in (nearest.format(k=k), refined.format(k=k, j=k + 1))] + [nearest.format(k=vector_codes.ROUNDS)]
+    last = vector_codes.ROUNDS
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS MATERIALIZED (SELECT r, p, v[len(v) * p // 4 + 1:len(v) * (p + 1) // 4] AS x FROM kept, (SELECT unnest(range(4)) AS p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= 256),
+{", ".join(steps)},
+coded AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{last} GROUP BY r),
+digest AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, pos)) AS h FROM (SELECT p, e, unnest(c) AS y, generate_subscripts(c, 1) AS pos FROM b{last}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM coded JOIN kept USING (r), digest
+"""
+
+
+OP12_SQL = _codes_sql()
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.select("vec_id", "component", "n", whitening.as_long("deviation"), "whitened", "explained", "identity_error")
+
+
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -141,8 +177,10 @@ def queries() -> dict:
         "op8_decontaminate": op8_decontaminate,
         "op9_quality": op9_quality,
         "op10_exact_dedup": op10_exact_dedup,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op10_exact_dedup": OP10_SQL, "op12_vector_codes": OP12_SQL}
