@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import decontaminate, exact_dedup, html_extract, katz, mixing, near_dedup, quality, secrets, token_count, toxicity, vector_codes, whitening
+from evigraph.llm import decontaminate, exact_dedup, html_extract, katz, mixing, near_dedup, personal_data, quality, secrets, token_count, toxicity, vector_codes, whitening
 from evigraph.llm._common import WORD_PATTERN, materialize, table
 from evigraph.llm._labelled import id_remainder
 
@@ -129,6 +129,11 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in personal_data.KINDS], F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_found")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -177,6 +182,7 @@ def queries() -> dict:
         "op8_decontaminate": op8_decontaminate,
         "op9_quality": op9_quality,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_personal_data": op11_personal_data,
         "op12_vector_codes": op12_vector_codes,
         "op13_whitening": op13_whitening,
     }
