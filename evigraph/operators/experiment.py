@@ -51,7 +51,7 @@ def run_sheets(rows: DataFrame, run_prefix: str, subject_prefix: str = "subject"
     rows = rows.where(F.col("condition") != "")
     rows = rows.where(F.col("condition").isin(*conditions)) if conditions else rows
     rows = rows.where(F.col("phase").isin(*phases)) if phases else rows
-    number = F.lpad(F.col("subject").cast("string"), 2, "0")
+    number = F.format_string("%02d", "subject")  # pads, never cuts
     kind = text.slug(F.col("condition"))
     out = rows.withColumn("subject", F.explode(F.sequence(F.lit(1), F.lit(subjects))))
     out = out.withColumns({"run_id": F.concat_ws("-", F.lit(run_prefix), kind, number), "subject_id": F.concat_ws("-", F.lit(subject_prefix), kind, number)})
@@ -60,18 +60,23 @@ def run_sheets(rows: DataFrame, run_prefix: str, subject_prefix: str = "subject"
 
 
 def blind(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(public rows with the blinded columns, private key with all columns); row_key is run_id::nnn unless there is one."""
+    """(public rows with the blinded columns, private key with all columns); row_key is run_id::nnn (more digits where needed) unless there is one."""
     order = [c for c in ("place", *ROW_KEY) if c in rows.columns]
-    number = F.lpad(F.row_number().over(Window.partitionBy("run_id").orderBy(*order)).cast("string"), 3, "0")
+    number = F.format_string("%03d", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)))
     own = F.nullif("row_key", F.lit("")) if "row_key" in rows.columns else F.lit(None).cast("string")
     key = rows.withColumn("row_key", F.coalesce(own, F.concat("run_id", F.lit("::"), number)))
     return key.select(*[F.col(c) if c in key.columns else F.lit("").alias(c) for c in BLINDED]), key
 
 
 def unblind(public: DataFrame, key: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with the answers of the public sheet and a new lag, findings for keys that are not known)."""
+    """(rows with the answers of the public sheet and a new lag, findings for keys that are not known).
+
+    A row_key that the private key holds twice would give one answer to several rows: the job fails and names it.
+    """
     answers = public.select("row_key", *[F.col(c).alias(f"__{c}") for c in ANSWERED])
-    known = answers.join(key.drop(*ANSWERED), "row_key")
+    repeated = F.count(F.lit(1)).over(Window.partitionBy("row_key")) > 1
+    checked = key.drop(*ANSWERED).withColumn("row_key", F.when(repeated, F.raise_error(F.concat(F.lit("repeated row_key "), "row_key")).cast("string")).otherwise(F.col("row_key")))
+    known = answers.join(checked, "row_key")
     rows = known.withColumnsRenamed({f"__{c}": c for c in ANSWERED})
     rows = rows.withColumn("recognition_lag", F.coalesce(point_lag(F.col("contradiction_available_at"), F.col("recognized_at")).cast("string"), F.lit("")))
     lost = answers.join(key.select("row_key"), "row_key", "left_anti")
@@ -117,32 +122,3 @@ def manifest_of_rows(rows: DataFrame) -> dict:
     listed = lambda c: F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c)))).alias(c)
     names = [c for c in ("condition", "phase", "fair_play_rating", "experiment_id", "evaluation_target") if c in rows.columns]
     return rows.agg(F.count(F.lit(1)).alias("row_count"), *[listed(c) for c in names]).first().asDict()
-
-
-def annotation_graph(stories: DataFrame):
-    """Story annotations as a graph: stories, claims and evidence; contains_claim, contains_evidence and contradicts edges.
-
-    stories: (story_id, title, claims array<struct<claim_id, text, introduced_at>>, decisive_evidence array<struct<evidence_id, text,
-    contradicts_claim_id, available_at, access_scope>>).
-    """
-    from evigraph.graph import Graph
-
-    claims = stories.select("story_id", F.posexplode("claims").alias("n", "c"))
-    evidence = stories.select("story_id", F.posexplode("decisive_evidence").alias("n", "e"))
-    meta = lambda **kv: F.to_json(F.struct(*[v.alias(k) for k, v in kv.items()]))
-    node = lambda df, ident, kind, title, m: df.select(ident.alias("id"), F.lit(kind).alias("type"), title.alias("title"), m.alias("metadata"), ident.alias("pos"))
-    nodes = node(stories, F.col("story_id"), "story", F.col("title"), F.lit("{}"))
-    nodes = nodes.unionByName(node(claims, F.col("c.claim_id"), "claim", F.col("c.text"), meta(introduced_at=F.col("c.introduced_at"))))
-    nodes = nodes.unionByName(node(evidence, F.col("e.evidence_id"), "evidence", F.col("e.text"), meta(available_at=F.col("e.available_at"))))
-    edge = lambda df, a, kind, b, m: df.select(a.alias("source"), b.alias("target"), F.lit(kind).alias("type"), text.compound_edge_id(a, F.lit(kind), b).alias("id"), m.alias("metadata"))
-    edges = edge(claims, F.col("story_id"), "contains_claim", F.col("c.claim_id"), F.lit("{}")).unionByName(edge(evidence, F.col("story_id"), "contains_evidence", F.col("e.evidence_id"), F.lit("{}")))
-    aimed = evidence.where(F.coalesce("e.contradicts_claim_id", F.lit("")) != "")
-    edges = edges.unionByName(edge(aimed, F.col("e.evidence_id"), "contradicts", F.col("e.contradicts_claim_id"), meta(available_at=F.col("e.available_at"), access_scope=F.col("e.access_scope"))))
-    return Graph(nodes, edges.withColumn("pos", F.col("id")))
-
-
-def apply_anchor_review(artifacts: DataFrame, reviews: DataFrame) -> DataFrame:
-    """artifacts (artifact_id, narrative_anchor) with the anchor of the last review (pos orders) of each, and reviewed or missing."""
-    last = reviews.groupBy("artifact_id").agg(F.max_by("reviewed_narrative_anchor", "pos").alias("new"), F.max_by("review_status", "pos").alias("review_status"))
-    out = artifacts.join(last, "artifact_id", "left")
-    return out.withColumns({"narrative_anchor": F.coalesce(F.nullif("new", F.lit("")), "narrative_anchor"), "reviewed": F.col("new").isNotNull()}).drop("new")

@@ -1,4 +1,4 @@
-"""Fixpoint loops over DataFrames: each round is written to the shared folder, so plans stay short and survive lost executors."""
+"""Loops over DataFrames: each round is written to the shared folder and deleted when the next has read it, so plans stay short and survive lost executors."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -29,4 +30,60 @@ def settle(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(tidy, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of settled tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stage_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, order: list[str], name: str, base: int = 0) -> DataFrame:
+    """df with name: the place (from base) of a row in the order of the columns, which must tell all rows apart. Settled.
+
+    Range partitions are numbered each on its own and shifted by the sizes of those before, so no task sees all rows.
+    """
+    parts = settle(df.repartitionByRange(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))  # a row per partition
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n") + F.lit(base - 1)).cast("long").alias("__before"))
+    inside = parts.withColumn(name, F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    out = settle(inside.join(F.broadcast(before), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before"))
+    discard(parts)
+    return out
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, root) of a forest (node, parent: itself at a root), by pointer jumping: as many rounds as the depth has binary digits. Settled."""
+    labels = settle(parents.select("node", F.col("parent").alias("root")))
+    while True:
+        far = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        new = settle(labels.join(far, "root").select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
+        discard(labels)
+        labels = new
+        if labels.where("moved").isEmpty():
+            return labels
+
+
+def connected(pairs: DataFrame) -> DataFrame:
+    """(id, label) of every id that pairs (a, b) names: the least id of its component. Settled.
+
+    Labels go to neighbours and jump to their label's label, in one pass a round; they only fall, so the loop ends.
+    """
+    both = settle(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settle(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "id"))
+    while True:
+        far = labels.select(F.col("id").alias("at"), F.col("label").alias("far"))
+        told = both.join(far, F.col("b") == F.col("at")).select(F.col("a").alias("id"), F.col("far").alias("label"))
+        jumped = labels.join(far, F.col("label") == F.col("at")).select("id", F.col("far").alias("label"), F.col("label").alias("old"))
+        heard = told.withColumn("old", F.lit(None).cast(labels.schema["label"].dataType)).unionByName(jumped)
+        new = settle(heard.groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old")).withColumn("moved", F.col("label") != F.col("old")).drop("old"))
+        discard(labels)
+        labels = new
+        if labels.where("moved").isEmpty():
+            discard(both)
+            return labels.drop("moved")

@@ -7,30 +7,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.graph import Graph, of_types
-from evigraph.operators.loops import settle
+from evigraph.operators import biconnected
+from evigraph.operators.loops import connected, settle
 
 
-def component_labels(graph: Graph, node_types=None, max_rounds: int = 1000) -> DataFrame:
-    """(id, component): the least id of each undirected component, isolated nodes included.
-
-    Labels spread by neighbours and then jump to their label's label, so long paths take few rounds.
-    """
+def component_labels(graph: Graph, node_types=None) -> DataFrame:
+    """(id, component): the least id of each undirected component, isolated nodes included. Settled."""
     ids = graph.index().where(of_types(F.col("type"), node_types)).select("id").distinct()
-    edges = settle(graph.undirected(node_types).where("a != b"))
-    labels = settle(ids.select("id", F.col("id").alias("component")))
-    for _ in range(max_rounds):
-        # hook: a component's label is told to the labels of its neighbours, then labels jump
-        told = edges.join(labels.select(F.col("id").alias("b"), F.col("component").alias("heard")), "b").groupBy("a").agg(F.min("heard").alias("heard")).withColumnRenamed("a", "id")
-        near = labels.join(told, "id", "left").select("id", "component", F.least("component", F.coalesce("heard", "component")).alias("low"))
-        near = settle(near)
-        roots = near.groupBy("component").agg(F.min("low").alias("low")).select(F.col("component").alias("id"), "low")
-        hop = roots.select(F.col("id").alias("low"), F.col("low").alias("far"))
-        moved = near.select("id", "component").join(roots.withColumnRenamed("id", "component"), "component")
-        labels_new = settle(moved.join(hop, "low", "left").select("id", "component", F.least("low", F.coalesce("far", "low")).alias("next")))
-        if labels_new.where("next != component").isEmpty():
-            return labels_new.select("id", F.col("next").alias("component"))
-        labels = labels_new.select("id", F.col("next").alias("component"))
-    raise RuntimeError(f"components still change after {max_rounds} rounds")
+    labels = connected(graph.undirected(node_types).where("a != b"))
+    return settle(ids.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component")))
 
 
 def component_sizes(graph: Graph, node_types=None) -> DataFrame:
@@ -47,20 +32,17 @@ def connected_components(graph: Graph, node_types=None) -> DataFrame:
     return labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def _cut_vertices(ids: list[str], pairs: list[tuple[str, str]], weight: dict[str, int] | None = None, low: dict[str, str] | None = None) -> list[tuple[str, int, int]]:
+def _cut_vertices(order: list[str], pairs: list[tuple[str, str]]) -> list[tuple[str, int, int]]:
     """(node, component size, size after removal of the part with the least remaining id) of one component, by depth-first search.
 
-    weight and low: how many nodes a node stands for, and the least id among them.
+    order: its ids in order; pairs: neighbours, both ways.
     """
-    order = sorted(ids, key=lambda v: low[v] if low else v)
     number = {v: i for i, v in enumerate(order)}
     near: list[list[int]] = [[] for _ in order]
     for a, b in pairs:
         near[number[a]].append(number[b])
     n = len(order)
-    own = [weight[v] if weight else 1 for v in order]
-    total = sum(own)
-    seen, reach, size, parent = [-1] * n, [0] * n, list(own), [-1] * n
+    seen, reach, size, parent = [-1] * n, [0] * n, [1] * n, [-1] * n
     cut_size: dict[int, int] = {}  # nodes that a non-root cut vertex separates from the root's part
     holder: dict[int, int] = {}
     clock, branches, stack = 0, 0, [(0, iter(near[0]))]
@@ -89,87 +71,42 @@ def _cut_vertices(ids: list[str], pairs: list[tuple[str, str]], weight: dict[str
             stack.append((w, iter(near[w])))
         elif w != parent[v]:
             reach[v] = min(reach[v], seen[w])
-    out = [(order[v], total, total - own[v] - s) for v, s in cut_size.items()]
+    out = [(order[v], n, n - 1 - s) for v, s in cut_size.items()]
     if branches > 1:
-        out.append((order[0], total, holder[branch_of[1]]))
+        out.append((order[0], n, holder[branch_of[1]]))
     return out
 
 
-#: Components of more nodes than this lose their trees before what is left is searched in a task.
-PEEL_ABOVE, PEELS = 1_000_000, 64
+#: Directed pairs of neighbours of a component that one task searches, at most: some 100 MB. Larger components are taken apart in parallel.
+SEARCH_PAIRS = 400_000
 
 
-def bridge_nodes(graph: Graph, node_types=None, labels: DataFrame | None = None, peel_above: int = PEEL_ABOVE) -> DataFrame:
+def bridge_nodes(graph: Graph, node_types=None, labels: DataFrame | None = None, search_pairs: int = SEARCH_PAIRS) -> DataFrame:
     """(node_id, component_size, reachable_after_removal) of the cut vertices of components of three or more nodes.
 
-    What is left of a component is searched in one task; components are dealt by their label. Those of more than peel_above nodes
-    first lose their leaves, round by round and in parallel, PEELS times at most; what is left, the part with cycles, must fit in one
-    executor's memory. labels: those of component_labels, where they are known already.
+    Components of up to search_pairs pairs are searched in a task each, dealt by their label; for larger ones blocks are found by
+    joins over all of their edges (biconnected.cut_vertices), whatever their size. labels: those of component_labels, where they are known already.
     """
     labels = component_labels(graph, node_types) if labels is None else labels
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size >= 3")
-    big = settle(labels.join(sizes, "component"))
-    edges = graph.undirected(node_types).where("a != b").join(big.withColumnRenamed("id", "a"), "a").select("component", "size", "a", "b")
-    small = edges.where(F.col("size") <= peel_above)
-    out = _searched(small.withColumns({"weight": F.lit(1).cast("long"), "low": F.col("a")}))
-    found = out.select("node_id", "component_size", "reachable_after_removal")
-    if sizes.where(F.col("size") > peel_above).isEmpty():
+    near = settle(graph.undirected(node_types).where("a != b").join(labels.withColumnRenamed("id", "a"), "a").select("component", "a", "b"))
+    sizes = settle(near.groupBy("component").agg(F.count(F.lit(1)).alias("pairs")))
+    large = sizes.where((F.col("pairs") > search_pairs) & (F.col("pairs") > 2)).select("component")
+    found = _searched(near.join(sizes.where(F.col("pairs") <= search_pairs).select("component"), "component", "left_semi"))
+    if large.isEmpty():
         return found
-    return found.unionByName(_peeled(edges.where(F.col("size") > peel_above), big.where(F.col("size") > peel_above)))
+    return found.unionByName(biconnected.cut_vertices(labels.join(large, "component", "left_semi"), near.join(large, "component", "left_semi").where("a < b")))
 
 
-def _searched(rows: DataFrame) -> DataFrame:
-    """rows: (component, a, b, weight, low), an edge in both directions with what a stands for. Cut vertices by search, a component a task."""
+def _searched(near: DataFrame) -> DataFrame:
+    """Cut vertices of components of (component, a, b), pairs both ways, each by search in a task."""
 
     def search(group: pa.Table) -> pa.Table:
         a, b = group.column("a").to_pylist(), group.column("b").to_pylist()
-        weight, low = (dict(zip(a, group.column(c).to_pylist(), strict=True)) for c in ("weight", "low"))
-        found = _cut_vertices(sorted(weight), list(zip(a, b, strict=True)), weight, low)
+        ids = set(a)
+        found = _cut_vertices(sorted(ids), list(zip(a, b, strict=True))) if len(ids) > 2 else []
         return pa.table({"node_id": pa.array([x[0] for x in found], pa.string()), "component_size": pa.array([x[1] for x in found], pa.int64()), "reachable_after_removal": pa.array([x[2] for x in found], pa.int64())})
 
-    rows = rows.select("component", "a", "b", "weight", "low")
-    return rows.groupBy("component").applyInArrow(search, "node_id string, component_size long, reachable_after_removal long")
-
-
-def _peeled(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """bridge_nodes of components whose leaves are taken off first. edges: (component, a, b) both ways; members: (component, size, id).
-
-    A leaf is taken with all that hung on it: how many nodes, and their least id. A node is a cut vertex if its removal leaves two parts or
-    more: what hung on it, part by part, and the rest, which the search splits further where the node lies on no tree.
-    """
-    edges = settle(edges.select("component", "a", "b"))
-    nodes = settle(members.select("component", F.col("id").alias("node"), F.lit(1).cast("long").alias("weight"), F.col("id").alias("low")))
-    gone = None  # (node, parent, weight, low)
-    for _ in range(PEELS):
-        leaves = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("parent")).where("n = 1").select(F.col("a").alias("node"), "parent")
-        other = leaves.select(F.col("node").alias("parent"), F.col("parent").alias("node"), F.lit(True).alias("both"))
-        leaves = leaves.join(other, ["node", "parent"], "left").where("both IS NULL OR node > parent").select("node", "parent")  # of the last two, one stays
-        taken = settle(leaves.join(nodes, "node").select("component", "node", "parent", "weight", "low"))
-        if taken.isEmpty():
-            break
-        gone = taken if gone is None else gone.unionByName(taken)
-        hung = taken.groupBy("parent").agg(F.sum("weight").alias("more"), F.min("low").alias("lower"))
-        nodes = settle(nodes.join(taken.select("node"), "node", "left_anti").join(hung.withColumnRenamed("parent", "node"), "node", "left").select("component", "node", (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight"), F.least("low", F.coalesce("lower", "low")).alias("low")))
-        ends = taken.select(F.col("node").alias("a"))
-        edges = settle(edges.join(ends, "a", "left_anti").join(ends.withColumnRenamed("a", "b"), "b", "left_anti").select("component", "a", "b"))
-    core = edges.join(nodes.select(F.col("node").alias("a"), "weight", "low"), "a")
-    split = settle(_searched(core)).select(F.col("node_id").alias("node"), F.col("reachable_after_removal").alias("core_part"))
-    if gone is None:
-        sizes = members.select("component", "size").distinct()
-        return split.join(nodes.select("node", "component"), "node").join(sizes, "component").select(F.col("node").alias("node_id"), F.col("size").alias("component_size"), F.col("core_part").alias("reachable_after_removal"))
-    gone = settle(gone)
-    # the least id of each component and the second least: what remains when a node goes begins with one of them
-    least = members.groupBy("component", "size").agg(F.min("id").alias("first"))
-    second = members.join(least.select("component", "first"), "component").where("id != first").groupBy("component").agg(F.min("id").alias("second"))
-    alive = nodes.select("component", "node", "weight", F.lit(True).alias("core"))
-    every = alive.unionByName(gone.select("component", "node", "weight", F.lit(False).alias("core"))).join(least.join(second, "component"), "component")
-    every = every.withColumn("begins", F.when(F.col("node") == F.col("first"), F.col("second")).otherwise(F.col("first")))
-    parts = gone.select(F.col("parent").alias("node"), F.col("weight").alias("part"), F.col("low").alias("part_low"))
-    held = every.join(parts, "node", "left").groupBy("node", "component", "size", "weight", "core").agg(F.count("part").alias("children"), F.max(F.when(F.col("part_low") == F.col("begins"), F.col("part"))).alias("held"))
-    rest = F.col("size") - F.col("weight")
-    both = held.join(split, "node", "left").withColumn("rest_parts", F.when(rest == 0, 0).when(F.col("core_part").isNotNull(), 2).otherwise(1))
-    cut = both.where(F.col("children") + F.col("rest_parts") >= 2)
-    return cut.select(F.col("node").alias("node_id"), F.col("size").alias("component_size"), F.coalesce("held", "core_part", rest).cast("long").alias("reachable_after_removal"))
+    return near.groupBy("component").applyInArrow(search, "node_id string, component_size long, reachable_after_removal long")
 
 
 def degrees(graph: Graph, node_types=None) -> DataFrame:

@@ -95,8 +95,8 @@ _CONDITIONS, _PHASES, _SUBJECTS = ["plain", "Guided Reading"], ["before", "after
 
 
 def _sheets(spark, sf_dir):
-    """A template row for every part of size 25 or less, condition and phase; then a sheet per condition and subject."""
-    part = P.table(spark, sf_dir, "part").where("p_size <= 25")
+    """A template row for every part, condition and phase; then a sheet per condition and subject."""
+    part = P.table(spark, sf_dir, "part")
     claims = part.select(F.col("p_brand").alias("item_id"), F.concat(F.lit("part::"), F.col("p_partkey").cast("string")).alias("claim_id"), F.lit("a").alias("source_anchor"), F.lit("3").alias("contradiction_available_at"), F.lit("fair").alias("fair_play_rating"))
     rows = experiment.collection_template(claims, _CONDITIONS, _PHASES, ["fair"], experiment_id="x")
     return experiment.run_sheets(rows, "run", subjects=_SUBJECTS, seed=7)
@@ -106,7 +106,7 @@ _SHEETS = """
 sheets AS (
   SELECT 'run-' || kind || '-0' || s AS run_id, 'subject-' || kind || '-0' || s AS subject_id, condition, phase, p_brand AS item_id, 'part::' || p_partkey AS claim_id,
          row_number() OVER (PARTITION BY kind, s ORDER BY sha256('7:' || condition || ':' || s || ':' || phase || ':' || p_brand || ':part::' || p_partkey), phase, p_brand, 'part::' || p_partkey) AS place
-  FROM part CROSS JOIN (VALUES ('plain', 'plain'), ('Guided Reading', 'guided-reading')) c(condition, kind) CROSS JOIN (VALUES ('before'), ('after')) p(phase) CROSS JOIN (VALUES (1), (2)) u(s) WHERE p_size <= 25)
+  FROM part CROSS JOIN (VALUES ('plain', 'plain'), ('Guided Reading', 'guided-reading')) c(condition, kind) CROSS JOIN (VALUES ('before'), ('after')) p(phase) CROSS JOIN (VALUES (1), (2)) u(s))
 """
 
 

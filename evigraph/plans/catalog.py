@@ -29,10 +29,6 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(F.col(c), 6) if t == "double" else F.col(c).cast("long") if t in ("int", "bigint") else F.col(c)).alias(c) for c, t in df.dtypes])
 
 
-def _ids(spark: SparkSession, *ids: str) -> DataFrame:
-    return spark.createDataFrame([(i,) for i in ids], "id string")
-
-
 # ------------------------------------------------------------------ SQL fragments
 
 _EDGES = """
@@ -320,11 +316,11 @@ def ancestors(spark, sf_dir):
     return traversal.ancestors(graph, graph.nodes.where("type = 'region'").select("id")).select("start", "node")
 
 
-@query(
-    f"WITH RECURSIVE {_SUPPLY}, r AS (SELECT 'nation::3' AS node, 0 AS d UNION SELECT b, d + 1 FROM r JOIN su ON a = node WHERE d < 2), k AS (SELECT DISTINCT node FROM r) SELECT source, target FROM se WHERE source IN (SELECT node FROM k) AND target IN (SELECT node FROM k)"
-)
+@query(f"WITH {_SUPPLY} SELECT source, target FROM se WHERE target LIKE 'region::%'")
 def k_hop(spark, sf_dir):
-    return traversal.k_hop_subgraph(P.supply(spark, sf_dir), _ids(spark, "nation::3"), 2).edges.select("source", "target")
+    """One hop around every region: the nations, and the edges among both."""
+    graph = P.supply(spark, sf_dir)
+    return traversal.k_hop_subgraph(graph, graph.nodes.where("type = 'region'").select("id"), 1).edges.select("source", "target")
 
 
 @query("SELECT 'supplier::' || s_suppkey AS source, 'region::' || r_regionkey AS target, CASE WHEN n_regionkey = r_regionkey THEN 'supplier::' || s_suppkey || '>nation::' || s_nationkey || '>region::' || r_regionkey ELSE '' END AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey CROSS JOIN region")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigraph.graph import Graph
-from evigraph.operators import structure, traversal
+from evigraph.operators import biconnected, structure, traversal
 from evigraph.operators.structure import _cut_vertices
 from evigraph.sources import synthetic
 
@@ -138,21 +138,41 @@ def test_k_hop_and_components_of_a_star(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_cut_vertices_of_peeled_components(spark, seed):
-    """Trees, cycles with trees on them and denser parts, peeled first or searched whole."""
-    import random
-
-    from evigraph.graph import Graph
-    from evigraph.operators import structure
-
+def test_cut_vertices_by_blocks(spark, seed):
+    """Trees, cycles with trees on them, denser parts and a hub, all in parallel, against the search in a task."""
     r = random.Random(seed)
-    names = [f"n{i:03d}" for i in range(90)]
+    names = [f"n{i:03d}" for i in range(110)]
     r.shuffle(names)
     links = {(i, r.randrange(max(0, i - 6), i)) for i in range(1, 30)}  # a tree
     links |= {(30 + i, 30 + (i + 1) % 8) for i in range(8)} | {(38 + i, 30 + r.randrange(8 + i)) for i in range(22)}  # a cycle with trees
     links |= {(60 + r.randrange(25), 60 + r.randrange(25)) for _ in range(30)} | {(88, 89)}
+    links |= {(90, i) for i in range(91, 110)} | {(91, 92), (92, 93), (95, 96)}
     nodes = spark.createDataFrame([(n, "x", n) for n in names], "id string, type string, pos string")
     edges = spark.createDataFrame([(names[a], names[b], "e", f"{a}-{b}") for a, b in links], "source string, target string, type string, pos string")
     graph = Graph(nodes, edges, unique_ids=True)
-    whole, peeled = (sorted(tuple(x) for x in structure.bridge_nodes(graph, peel_above=above).collect()) for above in (10**6, 0))
-    assert peeled == whole and len(whole) > 20
+    searched, taken_apart = (sorted(tuple(x) for x in structure.bridge_nodes(graph, search_pairs=above).collect()) for above in (10**6, 0))
+    assert taken_apart == searched and len(searched) > 20
+
+
+def test_cut_vertices_of_a_long_path_and_a_cycle(spark):
+    path = [tuple(r) for r in structure.bridge_nodes(synthetic.path(spark, 300), search_pairs=0).collect()]
+    assert len(path) == 298 and {(size, left) for _, size, left in path} == {(300, k) for k in range(1, 299)}
+    assert structure.bridge_nodes(synthetic.cycle(spark, 50), search_pairs=0).count() == 0
+    assert [r["reachable_after_removal"] for r in structure.bridge_nodes(synthetic.star(spark, 40), search_pairs=0).collect()] == [1]
+
+
+def test_forests_ranks_and_intervals(spark):
+    r = random.Random(2)
+    pairs = sorted({tuple(sorted(r.sample(range(200), 2))) for _ in range(260)})
+    df = spark.createDataFrame(pairs, "x long, y long")
+    forest = [tuple(x) for x in biconnected.spanning_forest(df).collect()]
+    touched = sorted({v for p in pairs for v in p})
+    assert set(forest) <= set(pairs) and len(forest) == len(touched) - len(parts(touched, pairs)) and len(parts(touched, forest)) == len(parts(touched, pairs))
+    order = list(range(77))
+    r.shuffle(order)
+    links = spark.createDataFrame([(a, b) for a, b in zip(order, [*order[1:], None], strict=True)], "k long, succ long")
+    assert {x["k"]: x["d"] for x in biconnected.ranked(links).collect()} == {k: 76 - i for i, k in enumerate(order)}
+    spans = [(i, 3 * i, r.randrange(3 * i, 600), r.randrange(1000), r.randrange(1000)) for i in range(200)]
+    got = biconnected.interval_extremes(spark.createDataFrame(spans, "v long, first long, last long, lo long, hi long")).collect()
+    inside = lambda a, b, c: [s[c] for s in spans if a <= s[1] <= b]
+    assert {(x["v"], x["low"], x["high"]) for x in got} == {(v, min(inside(a, b, 3)), max(inside(a, b, 4))) for v, a, b, _, _ in spans}

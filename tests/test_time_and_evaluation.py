@@ -201,14 +201,19 @@ def test_manifests_and_reports(spark, tmp_path):
     assert "| n/a | a\\|b |" in report.document("T", {"x": spark.createDataFrame([(None, "a|b")], "u double, v string")})
 
 
-def test_annotations(spark):
-    stories = spark.createDataFrame(
-        [("s", "Title", [("c", "he was home", 1)], [("e", "seen in town", "c", 4, "public")])],
-        "story_id string, title string, claims array<struct<claim_id string, text string, introduced_at int>>, decisive_evidence array<struct<evidence_id string, text string, contradicts_claim_id string, available_at int, access_scope string>>",
-    )
-    graph = experiment.annotation_graph(stories)
-    assert {r["type"] for r in graph.edges.collect()} == {"contains_claim", "contains_evidence", "contradicts"}
-    assert temporal.fair_play(graph, reveal_at=9).first()["rating"] == "fair"
+def test_keys_and_sheets_beyond_their_usual_digits(spark):
+    claims = spark.range(1200).select(F.lit("s").alias("item_id"), F.concat(F.lit("c"), "id").alias("claim_id"), F.lit("p. 3").alias("source_anchor"), F.lit("5").alias("contradiction_available_at"), F.lit("fair").alias("fair_play_rating"))
+    template = experiment.collection_template(claims, ["plain"], ["pre"], ["fair"])
+    public, secret = experiment.blind(experiment.run_sheets(template, "run"))
+    keys = [r["row_key"] for r in public.select("row_key").collect()]
+    assert sorted(keys) == sorted({f"run-plain-01::{n:03d}" for n in range(1, 1201)})
+    rows, lost = experiment.unblind(public, secret)
+    assert rows.count() == 1200 and rows.select("claim_id").distinct().count() == 1200 and lost.count() == 0
+    with pytest.raises(Exception, match="repeated row_key"):
+        experiment.unblind(public, secret.withColumn("row_key", F.lit("run-plain-01::001"))).__getitem__(0).count()
+    many = experiment.run_sheets(template.limit(2), "run", subjects=120)
+    assert {r["run_id"] for r in many.select("run_id").distinct().collect()} == {f"run-plain-{n:02d}" for n in range(1, 121)}
+    assert many.groupBy("run_id").count().where("count != 2").count() == 0
 
 
 def test_command_line_and_rpc(spark, tmp_path):
