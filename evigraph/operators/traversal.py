@@ -1,4 +1,4 @@
-"""Neighbours, reachability, shortest paths, k-hop subgraphs, topological order and cycles.
+"""Neighbours, reachability, shortest paths and k-hop subgraphs; topological order and cycles are those of ordering.
 
 Every search runs for all start nodes at once: a frontier of (start, node) rows is joined with the edges once a level.
 """
@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.graph import Graph, of_types
-from evigraph.operators.loops import settle
+from evigraph.operators.loops import discard, numbered, settle
+from evigraph.operators.ordering import cycle_nodes, topological_order
 
-MAX_ROUNDS = 100_000
+__all__ = ["ancestors", "cycle_nodes", "descendants", "incoming", "k_hop_subgraph", "neighborhood", "outgoing", "reachable", "shortest_paths", "topological_order"]
 
 
 def incoming(graph: Graph, ids: DataFrame, edge_types=None) -> DataFrame:
@@ -53,8 +54,6 @@ def reachable(graph: Graph, starts: DataFrame, direction: str = "down", edge_typ
     parts = [seen]
     while max_depth is None or depth < max_depth:
         depth += 1
-        if depth > MAX_ROUNDS:
-            raise RuntimeError(f"no end after {MAX_ROUNDS} levels")
         found = frontier.join(steps, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
         frontier = settle(found.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -77,30 +76,44 @@ def ancestors(graph: Graph, starts: DataFrame, edge_types=None) -> DataFrame:
 def shortest_paths(graph: Graph, pairs: DataFrame, edge_types=None) -> DataFrame:
     """(source, target, path) for each pair: of the paths with the fewest edges the one that is least as a list of ids.
 
-    An empty path where there is none or an end is missing; [s] from a node to itself.
+    An empty path where there is none or an end is missing; [s] from a node to itself. Rows of the search hold no paths: a node's rank
+    orders the least paths to the nodes of its level, as (rank of the parent, id) does; parents are kept level by level, and paths are put
+    together backwards for the pairs alone.
     """
     steps = _steps(graph, "down", edge_types)
     ids = graph.index().select("id")
     asked = settle(pairs.select("source", "target").distinct())
-    open_ = asked.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    frontier = settle(open_.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path")))
-    seen = frontier.select("source", "node")
-    found = None
-    for _ in range(MAX_ROUNDS):
-        hit = frontier.join(open_, (frontier["node"] == open_["target"]) & (frontier["source"] == open_["source"])).select(open_["source"], "target", "path")
-        found = settle(hit if found is None else found.unionByName(hit))
-        open_ = settle(open_.join(found, ["source", "target"], "left_anti"))
+    open_ = settle(asked.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi"))
+    frontier = settle(open_.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("rank"), F.lit(None).cast("string").alias("parent")))
+    seen, levels, hits = frontier.select("source", "node"), [frontier], []
+    while True:
+        reached = frontier.select("source", F.col("node").alias("target"))
+        hits.append(settle(open_.join(reached, ["source", "target"], "left_semi")))
+        left = settle(open_.join(reached, ["source", "target"], "left_anti"))
+        discard(open_)
+        open_ = left
         if open_.isEmpty():
             break
         live = frontier.join(open_.select("source").distinct(), "source", "left_semi")
-        step = live.join(steps, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
-        frontier = settle(step.join(seen, ["source", "node"], "left_anti").groupBy("source", "node").agg(F.min("path").alias("path")))
+        step = live.join(steps, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), F.struct(F.col("rank"), F.col("node").alias("parent")).alias("by"))
+        step = step.join(seen, ["source", "node"], "left_anti")
+        best = step.groupBy("source", "node").agg(F.min("by").alias("by")).select("source", "node", F.col("by.rank").alias("after"), F.col("by.parent").alias("parent"))
+        frontier = numbered(best, ["source", "after", "node"], "rank").select("source", "node", "rank", "parent")
         if frontier.isEmpty():
             break
-        seen = settle(seen.unionByName(frontier.select("source", "node")))
-    else:
-        raise RuntimeError(f"no end after {MAX_ROUNDS} levels")
-    return asked.join(found, ["source", "target"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
+        levels.append(frontier)
+        seen = seen.unionByName(frontier.select("source", "node"))
+        if len(levels) % 16 == 0:
+            seen = settle(seen)  # one table again, so plans stay short
+    # backwards: a path joins the parents of its level, and those that end at a level come in there
+    paths = None
+    for depth in range(len(hits) - 1, -1, -1):
+        found = hits[depth].select("source", "target", F.col("target").alias("node"), F.array("target").alias("path"))
+        paths = found if paths is None else paths.unionByName(found)
+        if depth:
+            up = levels[depth].select("source", "node", "parent")
+            paths = settle(paths.join(up, ["source", "node"]).select("source", "target", F.col("parent").alias("node"), F.concat(F.array("parent"), "path").alias("path")))
+    return asked.join(paths.select("source", "target", "path"), ["source", "target"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
 
 
 def k_hop_subgraph(graph: Graph, seeds: DataFrame, hops: int = 1, edge_types=None) -> Graph:
@@ -127,49 +140,3 @@ def _subgraph_header(header: DataFrame | None, seeds: DataFrame, hops: int) -> D
         rest = F.regexp_replace(F.coalesce(F.nullif("metadata", F.lit("")), F.lit("{}")), r"\}\s*$", "")
         made["metadata"] = F.concat(rest, F.when(F.trim(rest) == "{", "").otherwise(","), F.lit(more[1:]))
     return header.withColumns(made)
-
-
-def topological_order(graph: Graph, edge_types=None, node_types=None) -> tuple[DataFrame, DataFrame]:
-    """((id, level, place), leftover ids).
-
-    Levels are those of repeated removal of nodes without predecessors; place (from 0) orders by level, then by the place of the
-    last predecessor, then by id. Leftover are the members of cycles and all behind them. Parallel edges count once.
-    """
-    ids = settle(graph.index().where(of_types(F.col("type"), node_types)).select("id"))
-    edges = graph.edges.where(of_types(F.col("type"), edge_types)).select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
-    edges = settle(edges.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi"))
-    needs = settle(edges.groupBy("b").agg(F.count(F.lit(1)).alias("needs")).withColumnRenamed("b", "id"))
-    ready = ids.join(needs, "id", "left_anti").select("id", F.lit(-1).cast("long").alias("after"))
-    placed, level, base = None, 0, 0
-    waiting = settle(needs.withColumns({"met": F.lit(0).cast("long"), "after": F.lit(-1).cast("long")}))
-    while True:
-        # a level is ordered by range, so no single task numbers a whole level
-        numbered = settle(_numbered(ready, base).withColumn("level", F.lit(level)))
-        n = numbered.count()
-        if n == 0:
-            break
-        placed = numbered if placed is None else placed.unionByName(numbered)
-        if level % 16 == 15:
-            placed = settle(placed)
-        told = edges.join(numbered.select(F.col("id").alias("a"), "place"), "a").groupBy("b").agg(F.count(F.lit(1)).alias("more"), F.max("place").alias("last")).withColumnRenamed("b", "id")
-        waiting = waiting.join(told, "id", "left").select("id", "needs", (F.col("met") + F.coalesce("more", F.lit(0))).alias("met"), F.greatest("after", F.coalesce("last", F.lit(-1))).alias("after"))
-        waiting = settle(waiting)
-        ready, waiting = waiting.where("met = needs").select("id", "after"), waiting.where("met < needs")
-        base, level = base + n, level + 1
-    if placed is None:
-        placed = ids.limit(0).select("id", F.lit(0).cast("long").alias("place"), F.lit(0).alias("level"))
-    return placed.select("id", "level", "place"), waiting.select("id")
-
-
-def _numbered(ready: DataFrame, base: int) -> DataFrame:
-    """Places from base on by (after, id): range partitions, counts of each, then positions within."""
-    parts = settle(ready.repartitionByRange(ready.sparkSession.sparkContext.defaultParallelism, "after", "id").sortWithinPartitions("after", "id").withColumn("part", F.spark_partition_id()))
-    inside = parts.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("after", "id")))
-    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row per partition
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
-    return inside.join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("i") - 1 + F.lit(base)).cast("long").alias("place"))
-
-
-def cycle_nodes(graph: Graph, edge_types=None, node_types=None) -> DataFrame:
-    """(id): members of cycles and everything downstream of one."""
-    return topological_order(graph, edge_types, node_types)[1]

@@ -114,6 +114,57 @@ def test_topological_order(spark, seed):
     assert sorted(x["id"] for x in left.collect()) == rest
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_order_of_runs_equals_step_by_step(spark, seed):
+    """Chains of many lengths that begin, meet, wait for each other and end; rings; branches."""
+    r = random.Random(seed)
+    nodes = [f"n{i:03d}" for i in range(90)]
+    r.shuffle(nodes)
+    edges, at = set(), 0
+    stops = [nodes[i] for i in range(12)]
+    at = 12
+    for _ in range(16):
+        a, b = sorted(r.sample(range(12), 2))
+        run = nodes[at : at + r.randrange(0, 6)]
+        at += len(run)
+        whole = [stops[a], *run, stops[b]]
+        edges |= set(zip(whole, whole[1:], strict=False))
+    ring = nodes[at : at + 4]
+    edges |= set(zip(ring, [*ring[1:], ring[0]], strict=True)) if seed % 2 else set()
+    if seed == 3:
+        edges |= {(ring[0], nodes[-1]), (nodes[-1], nodes[-2])}
+    order, left = traversal.topological_order(graph_of(spark, nodes, sorted(edges)))
+    want, rest = kahn(nodes, edges)
+    rows = order.orderBy("place").collect()
+    assert [x["id"] for x in rows] == want and [x["place"] for x in rows] == list(range(len(want)))
+    depth = {}
+    for v in want:
+        depth[v] = max((depth[a] + 1 for a, b in edges if b == v), default=0)
+    assert {x["id"]: x["level"] for x in rows} == depth
+    assert sorted(x["id"] for x in left.collect()) == rest
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    from evigraph.operators import loops, ordering
+
+    rounds = []
+    monkeypatch.setattr(ordering, "settle", lambda df: rounds.append(1) or loops.settle(df))
+    monkeypatch.setattr(ordering, "numbered", lambda *a, **k: rounds.append(1) or loops.numbered(*a, **k))
+    order, left = traversal.topological_order(synthetic.path(spark, 50_000))
+    assert order.where("place != level").isEmpty() and order.count() == 50_000 and left.isEmpty()
+    assert len(rounds) < 40
+
+
+def test_paths_of_equal_length_go_by_ids(spark):
+    """Many shortest paths: the least list of ids, found without carrying lists."""
+    rows = [[f"{c}{k}" for c in "abcd"] for k in range(4)]
+    edges = [("s", v) for v in rows[0]] + [(a, b) for x, y in zip(rows, rows[1:], strict=False) for i, a in enumerate(x) for j, b in enumerate(y) if (i, j) != (0, 0)] + [(v, "t") for v in rows[-1] if v != "a3"]
+    graph = graph_of(spark, ["s", "t", *sum(rows, [])], edges)
+    pairs = spark.createDataFrame([("s", "t"), ("t", "s"), ("s", "d3"), ("s", "s")], "source string, target string")
+    got = {(r["source"], r["target"]): r["path"] for r in traversal.shortest_paths(graph, pairs).collect()}
+    assert got == {("s", "t"): ["s", "a0", "b1", "a2", "b3", "t"], ("t", "s"): [], ("s", "d3"): ["s", "a0", "b1", "a2", "d3"], ("s", "s"): ["s"]}
+
+
 def test_index_edge_cases(spark):
     nodes = spark.createDataFrame([("a", "concept", "old", 0), ("b", "claim", "", 1), ("a", "claim", "new", 2)], "id string, type string, title string, pos long")
     edges = spark.createDataFrame([("a", "a", "related", 0), ("a", "gone", "related", 1), ("b", "a", "related", 2)], "source string, target string, type string, pos long")
