@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,16 +44,23 @@ def discard(*tables: DataFrame) -> None:
 
 
 def numbered(df: DataFrame, order: list[str], name: str, base: int = 0) -> DataFrame:
-    """df with name: the place (from base) of a row in the order of the columns, which must tell all rows apart. Settled.
+    """df with name: the place (from base) of a row in the order of the columns, which must tell all rows apart. Settled; its attribute rows is their number.
 
-    Range partitions are numbered each on its own and shifted by the sizes of those before, so no task sees all rows.
+    Range partitions are sorted and numbered each on its own as they are written, and shifted by the sizes of those before (a number for each
+    partition, on the driver), so no task sees all rows.
     """
-    parts = settle(df.repartitionByRange(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order).withColumn("__part", F.spark_partition_id()))
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))  # a row per partition
-    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n") + F.lit(base - 1)).cast("long").alias("__before"))
-    inside = parts.withColumn(name, F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    out = settle(inside.join(F.broadcast(before), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before"))
-    discard(parts)
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = settle(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    inside, part = F.expr("__at & 8589934591"), F.shiftright("__at", 33)  # fixed layout of these ids: 33 bits count within a partition
+    sizes = {r["p"]: r["n"] for r in parts.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    shifts, total = [], 0
+    for p in sorted(sizes):
+        shifts.append((p, base + total))
+        total += sizes[p]
+    before = spark.createDataFrame(shifts, "__p long, __before long")
+    out = parts.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn(name, inside + F.col("__before")).drop("__p", "__at", "__before")
+    out.stage_path, out.rows = parts.stage_path, total
     return out
 
 

@@ -97,7 +97,7 @@ def topological_order(graph: Graph, edge_types=None, node_types=None) -> tuple[D
 
 
 def _placed(pieces: list[tuple[int, DataFrame]], members: DataFrame | None) -> DataFrame:
-    """(id, level, place) of the stops and of the nodes of runs. Settled. pieces: a level, and who was there with its rank."""
+    """(id, level, place) of the stops and of the nodes of runs. pieces: a level, and who was there with its rank."""
     nexts = [level for level, _ in pieces[1:]] + [None]
     stops, spans = None, None
     for (level, rows), following in zip(pieces, nexts, strict=True):
@@ -107,10 +107,15 @@ def _placed(pieces: list[tuple[int, DataFrame]], members: DataFrame | None) -> D
             upto = F.col("until") if following is None else F.least("until", F.lit(following - 1).cast("long"))
             span = rows.where("is_run").select(F.col("id").alias("run"), "start", "rank", F.lit(level).cast("long").alias("level"), upto.alias("upto"))
             spans = span if spans is None else spans.unionByName(span)
-    if members is not None:
-        shown = spans.select("run", "start", "rank", F.explode(F.sequence("level", "upto")).alias("level"))
-        inner = members.join(shown.withColumn("i", F.col("level") - F.col("start")), ["run", "i"]).select("id", "level", "rank")
-        stops = stops.unionByName(inner)
+    if members is None:  # every level is there: the rows before it are those of the levels before
+        placed, base = None, 0
+        for level, rows in pieces:
+            own = rows.select("id", F.lit(level).cast("long").alias("level"), (F.col("rank") + base).alias("place"))
+            placed, base = own if placed is None else placed.unionByName(own), base + rows.rows
+        return placed
+    shown = spans.select("run", "start", "rank", F.explode(F.sequence("level", "upto")).alias("level"))
+    inner = members.join(shown.withColumn("i", F.col("level") - F.col("start")), ["run", "i"]).select("id", "level", "rank")
+    stops = stops.unionByName(inner)
     out = numbered(stops, ["level", "rank"], "place").select("id", "level", "place")
     discard(*[rows for _, rows in pieces])
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.graph import Graph, of_types
-from evigraph.operators.loops import discard, numbered, settle
+from evigraph.operators.loops import numbered, settle
 from evigraph.operators.ordering import cycle_nodes, topological_order
 
 __all__ = ["ancestors", "cycle_nodes", "descendants", "incoming", "k_hop_subgraph", "neighborhood", "outgoing", "reachable", "shortest_paths", "topological_order"]
@@ -87,20 +87,20 @@ def shortest_paths(graph: Graph, pairs: DataFrame, edge_types=None) -> DataFrame
     frontier = settle(open_.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("rank"), F.lit(None).cast("string").alias("parent")))
     seen, levels, hits = frontier.select("source", "node"), [frontier], []
     while True:
-        reached = frontier.select("source", F.col("node").alias("target"))
-        hits.append(settle(open_.join(reached, ["source", "target"], "left_semi")))
-        left = settle(open_.join(reached, ["source", "target"], "left_anti"))
-        discard(open_)
-        open_ = left
+        reached = frontier.select("source", F.col("node").alias("target"), F.lit(True).alias("hit"))
+        sorted_out = settle(open_.select("source", "target").join(reached, ["source", "target"], "left"))
+        hits.append(sorted_out.where("hit"))
+        open_ = sorted_out.where("hit IS NULL")
         if open_.isEmpty():
             break
         live = frontier.join(open_.select("source").distinct(), "source", "left_semi")
         step = live.join(steps, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), F.struct(F.col("rank"), F.col("node").alias("parent")).alias("by"))
         step = step.join(seen, ["source", "node"], "left_anti")
         best = step.groupBy("source", "node").agg(F.min("by").alias("by")).select("source", "node", F.col("by.rank").alias("after"), F.col("by.parent").alias("parent"))
-        frontier = numbered(best, ["source", "after", "node"], "rank").select("source", "node", "rank", "parent")
-        if frontier.isEmpty():
+        ranked = numbered(best, ["source", "after", "node"], "rank")
+        if not ranked.rows:
             break
+        frontier = ranked.select("source", "node", "rank", "parent")
         levels.append(frontier)
         seen = seen.unionByName(frontier.select("source", "node"))
         if len(levels) % 16 == 0:
@@ -112,7 +112,8 @@ def shortest_paths(graph: Graph, pairs: DataFrame, edge_types=None) -> DataFrame
         paths = found if paths is None else paths.unionByName(found)
         if depth:
             up = levels[depth].select("source", "node", "parent")
-            paths = settle(paths.join(up, ["source", "node"]).select("source", "target", F.col("parent").alias("node"), F.concat(F.array("parent"), "path").alias("path")))
+            paths = paths.join(up, ["source", "node"]).select("source", "target", F.col("parent").alias("node"), F.concat(F.array("parent"), "path").alias("path"))
+            paths = settle(paths) if depth % 8 == 0 else paths
     return asked.join(paths.select("source", "target", "path"), ["source", "target"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
 
 
