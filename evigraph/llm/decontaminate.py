@@ -1,20 +1,24 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits of any script, in NFKC form and case-folded. Every three words of a test item are a seed. A first
-pass over the documents counts in how many documents each seed occurs. A seed is rare if few documents
-hold it, or if it is about as rare as the rarest seed of its item that occurs. A second pass looks all seeds
+Words are runs of letters and digits of any script, in NFKC form and case-folded. Every three words of a test item are a seed. The
+seeds of an item that join it to passages are those that at most SHARED different items have, or about as few as have its least
+shared seed: what many items open with makes no candidate. A first pass over the documents counts in how many of them each seed occurs. A seed is
+rare if few documents hold it, or if it is about as rare as the rarest seed of its item that occurs. A second pass looks the joining seeds
 up in every document; hits of an item on nearby diagonals make a candidate passage if they are MIN_HITS of
-the item's rare seeds or MIN_HITS of all its seeds (so a passage that many documents share, whole, in part or
-edited, is a candidate however common it is). Its local alignment with the item (match 2, mismatch and gap -1)
-gives the score: best alignment over twice the item's words, 1 for an unbroken copy.
-
-The benchmark is taken in blocks of at most `block_words` words. Only a block is held by the driver and
-broadcast; each block is a pass over all documents to count and one to look up, documents are never shuffled, and what a block finds
-doesn't depend on other blocks.
+the item's rare seeds or MIN_HITS of all its joining seeds (so a passage that many documents share, whole, in part or
+edited, is a candidate however common it is). A candidate in which too few of the item's words occur for the score is passed over; the local alignment of others
+with the item (match 2, mismatch and gap -1) gives the score: best alignment over twice the item's words, 1 for an unbroken copy.
+
+Items of equal words are matched once and joined back by a digest. How many items share a seed is counted over the whole benchmark, in Spark.
+The benchmark is then taken in blocks of at most `block_words` words: a block is what the driver holds and broadcasts, its broadcasts go when it is done, and its
+matches are written. Each block is a pass over all documents to count and one to look up; documents are never shuffled, and what a
+block finds doesn't depend on other blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -24,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._common import WordHash, bound_batches, numbered
+from evigraph.llm._common import WordHash, bound_batches, discard, materialize, numbered
 
 SEED_WORDS = 3
 BLOCK_WORDS = 2_000_000
 MIN_SCORE = 0.4
 #: A seed is rare in at most this share of the documents, or at this many times its item's rarest seed that occurs.
 RARE_SHARE, RARE_TIMES = 0.005, 4
+#: Different items that may have a seed that joins, or as many times the items that have the item's least shared seed (RARE_TIMES).
+SHARED = 8
 #: Share of an item's rare seeds, or else of all its seeds, that a candidate passage must hit.
 MIN_HITS = 0.08
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -81,14 +87,15 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 class SeedIndex:
-    """Seeds of a block of items, with where they stand in which item."""
+    """Joining seeds of a block of items, with where they stand in which item. spread: for each item, how many items have each of its seeds."""
 
-    def __init__(self, items: list[np.ndarray]):
+    def __init__(self, items: list[np.ndarray], spread: list[np.ndarray]):
         self.items = items
         keys = [seeds_of(w) for w in items]
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        self.item = np.concatenate([np.full(len(k), i) for i, k in enumerate(keys)]) if keys else np.zeros(0, np.int64)
-        self.pos = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
+        joining = [np.flatnonzero(n <= max(SHARED, RARE_TIMES * n.min())) for n in spread]
+        flat = np.concatenate([k[j] for k, j in zip(keys, joining, strict=True)]) if keys else np.zeros(0, np.uint64)
+        self.item = np.concatenate([np.full(len(j), i) for i, j in enumerate(joining)]) if keys else np.zeros(0, np.int64)
+        self.pos = np.concatenate(joining) if keys else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
         self.item, self.pos = self.item[order], self.pos[order]
         self.keys, self.first, self.times = np.unique(flat[order], return_index=True, return_counts=True)
@@ -149,45 +156,85 @@ class SeedIndex:
             few = len(np.unique(pos[a:b])) < self.needed[i] and len(np.unique(pos[a:b][rare[a:b]])) < self.needed_rare[i]
             if few or best.get(i, (0.0,))[0] == 1.0:
                 continue
-            got = self._score(self.items[i], words, diagonal[a:b])
+            got = self._score(self.items[i], words, diagonal[a:b], min_score)
             if got[0] >= min_score and got > best.get(i, (0.0, 0, 0)):
                 best[i] = got
         return [(i, *x) for i, x in sorted(best.items())]
 
     @staticmethod
-    def _score(item: np.ndarray, words: np.ndarray, diagonals: np.ndarray) -> tuple[float, int, int]:
+    def _score(item: np.ndarray, words: np.ndarray, diagonals: np.ndarray, min_score: float) -> tuple[float, int, int]:
         n = len(item)
         for d in np.unique(diagonals):
             if d >= 0 and np.array_equal(words[d : d + n], item):
                 return 1.0, int(d), int(d) + n
         slack = n // 2
         low, high = max(0, int(diagonals.min()) - slack), min(len(words), int(diagonals.max()) + n + slack)
+        if np.isin(item, words[low:high]).sum() < min_score * n:  # every word that occurs matches at best: no higher score can be reached
+            return 0.0, low, low
         score, end = align(item, words[low:high])
         _, back = align(item[::-1], words[low : low + end][::-1])
         return score / (MATCH * n), low + end - back, low + end
 
 
-def _blocks(benchmark: DataFrame, text_col: str, id_col: str, block_words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(ids, words) of the items in blocks; items without words are left out."""
-    ids, items, n, hashes = [], [], 0, WordHash()
-    for r in benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).toLocalIterator():
-        words = words_of(r["text"] or "", hashes)
-        hashes.trim()
-        if len(words):
-            ids.append(r["id"])
-            items.append(words)
-            n += len(words)
+def _items(benchmark: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """A written row (id, digest, words) for each item with words: their hashes, and a digest of these."""
+    bound_batches(benchmark.sparkSession)
+    kind = benchmark.schema[id_col].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in batches:
+            found = [words_of(t.as_py() or "", hashes) for t in batch.column(1)]
+            hashes.trim()
+            some = [i for i, w in enumerate(found) if len(w)]
+            digests = pa.array([hashlib.sha256(found[i].tobytes()).digest() for i in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some, pa.int64())), digests, pa.array([found[i].view(np.int64) for i in some], pa.list_(pa.int64()))], names=["id", "digest", "words"])
+
+    return materialize(benchmark.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(split, f"id {kind}, digest binary, words array<long>"), "benchmark-items")
+
+
+def _with_spread(items: DataFrame) -> DataFrame:
+    """(digest, words, spread) of each different item; spread tells of each seed how many different items have it."""
+    texts = items.groupBy("digest").agg(F.first("words").alias("words"))
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [seeds_of(np.array(w.as_py(), np.int64).view(np.uint64)) for w in batch.column(1)]
+            sizes = [len(k) for k in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), sizes))), pa.array([p for n in sizes for p in range(n)], pa.int32()), pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())],
+                names=["digest", "pos", "seed"],
+            )
+
+    each = materialize(texts.mapInArrow(seeds, "digest binary, pos int, seed long"), "benchmark-seeds")
+    spread = each.select("digest", "seed").distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    counted = each.join(spread, "seed").groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("at"))  # a list as long as the item
+    out = materialize(texts.join(counted, "digest").select("digest", "words", F.transform("at", lambda x: x["n"]).alias("spread")), "benchmark-spread")
+    discard(each)
+    return out
+
+
+def _blocks(items: DataFrame, block_words: int) -> Iterator[tuple[list[bytes], list[np.ndarray], list[np.ndarray]]]:
+    """(digests, words, spreads) of the different items in blocks."""
+    table = _with_spread(items)
+    digests, words, spreads, n = [], [], [], 0
+    for r in table.toLocalIterator():
+        digests.append(bytes(r["digest"]))
+        words.append(np.array(r["words"], np.int64).view(np.uint64))
+        spreads.append(np.array(r["spread"], np.int64))
+        n += len(words[-1])
         if n >= block_words:
-            yield ids, items
-            ids, items, n = [], [], 0
-    if items:
-        yield ids, items
+            yield digests, words, spreads
+            digests, words, spreads, n = [], [], [], 0
+    if words:
+        yield digests, words, spreads
+    discard(table)
 
 
-def _index(docs: DataFrame, items: list[np.ndarray], text_col: str):
+def _index(docs: DataFrame, words: list[np.ndarray], spreads: list[np.ndarray], text_col: str):
     """The broadcast index of a block's seeds, with the rare ones marked."""
     bound_batches(docs.sparkSession)
-    full = SeedIndex(items)
+    full = SeedIndex(words, spreads)
     shared = docs.sparkSession.sparkContext.broadcast(full)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,10 +249,11 @@ def _index(docs: DataFrame, items: list[np.ndarray], text_col: str):
         seen = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(held[seen])], names=["seed", "n"])
 
-    counts = docs.select(F.col(text_col).alias("t")).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(f"`{text_col}`").alias("t")).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
     df = np.zeros(len(full.keys) + 1, np.int64)
     held = counts.toArrow()  # a row of two integers per seed of the block at most
     df[held["seed"].to_numpy()] = held["n"].to_numpy()
+    shared.unpersist()
     full.mark_rare(df[:-1], int(df[-1]))
     return docs.sparkSession.sparkContext.broadcast(full)
 
@@ -216,57 +264,69 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id
     Columns: the document's id, the item's id, score, item_words, first_word and end_word (of the passage in
     the document, end exclusive). Null and empty texts on either side match nothing. Repeated documents
     and repeated items are each matched on their own; an empty table on either side gives an empty result; other
-    columns are not read.
+    columns are not read. Documents that only hold what more than SHARED items open with match none of them.
     """
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
-    schema = f"`{id_col}` {kind}, `{item_col}` {item_kind.simpleString()}, score double, item_words long, first_word long, end_word long"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for n, (ids, items) in enumerate(_blocks(benchmark, text_col, item_col, block_words)):
-        index = _index(docs, items, text_col)
-
-        def scan(batches: Iterator[pa.RecordBatch], index=index, ids=ids) -> Iterator[pa.RecordBatch]:
-            hashes, found = WordHash(), index.value
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc {kind}, digest binary, score double, item_words long, first_word long, end_word long"
+    items, found = _items(benchmark, text_col, item_col), docs.sparkSession.createDataFrame([], schema)
+    for digests, words, spreads in _blocks(items, block_words):
+        index = _index(docs, words, spreads, text_col)
+
+        def scan(batches: Iterator[pa.RecordBatch], index=index, digests=digests) -> Iterator[pa.RecordBatch]:
+            hashes, block = WordHash(), index.value
             for batch in batches:
                 at, rows = [], []
                 for i, text in enumerate(batch.column(1)):
-                    for item, score, first, end in found.matches(words_of(text.as_py() or "", hashes), min_score):
+                    for item, score, first, end in block.matches(words_of(text.as_py() or "", hashes), min_score):
                         at.append(i)
-                        rows.append((ids[item], score, len(found.items[item]), first, end))
+                        rows.append((digests[item], score, len(block.items[item]), first, end))
                     hashes.trim()
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                kinds = (pa.float64(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(columns[0]).cast(_arrow(item_kind)), *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))],
-                    names=[id_col, item_col, "score", "item_words", "first_word", "end_word"],
-                )
-
-        part = docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(scan, schema)
-        out = part if n == 0 else out.unionByName(part)
-    return out
-
+                kinds = (pa.binary(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc", "digest", "score", "item_words", "first_word", "end_word"])
 
-def _arrow(kind) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
+        part = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")).mapInArrow(scan, schema)
+        found = found.unionByName(materialize(part, "leaks"))
+        index.unpersist()
+    return found.join(items.select(F.col("id").alias("item"), "digest"), "digest").select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "score", "item_words", "first_word", "end_word")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs that find_leaks has no match for, with all their columns, whatever their names.
 
     Null and empty texts match nothing and stay; repeated rows stay or go together; an empty table on either side gives docs.
-    Seeds are counted over docs for every block; one pass then looks all blocks up.
+    Of several blocks each writes the digests of the texts that it matches, and the rows of these are then left out by a join; a single block filters the rows as they pass.
     """
-    schema, names, place = docs.schema, docs.columns, docs.columns.index(text_col)
-    for index in [_index(docs, items, text_col) for _, items in _blocks(benchmark, text_col, item_col, block_words)]:
-
-        def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            hashes, found = WordHash(), index.value
+    items = _items(benchmark, text_col, item_col)
+    todo = _blocks(items, block_words)
+    first, second = next(todo, None), next(todo, None)
+    if first is None:
+        return docs
+    if second is None:
+        schema, names, place, index = docs.schema, docs.columns, docs.columns.index(text_col), _index(docs, *first[1:], text_col)
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, block = WordHash(), index.value
             for batch in batches:
-                clean = [not found.matches(words_of(t.as_py() or "", hashes), min_score) for t in batch.column(place)]
+                clean = [not block.matches(words_of(t.as_py() or "", hashes), min_score) for t in batch.column(place)]
                 hashes.trim()
                 kept = batch.filter(pa.array(clean, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(kept.columns, names=names)
 
-        docs = numbered(docs).mapInArrow(keep, schema)
-    return docs
+        return numbered(docs).mapInArrow(keep, schema)
+    sha = F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256))
+    leaks = None
+    for block in itertools.chain([first, second], todo):
+        index = _index(docs, *block[1:], text_col)
+
+        def hit(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            hashes, found = WordHash(), index.value
+            for batch in batches:
+                held = [bool(found.matches(words_of(t.as_py() or "", hashes), min_score)) for t in batch.column(1)]
+                hashes.trim()
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(held, pa.bool_()))], names=["leak"])
+
+        part = materialize(docs.select(sha.alias("leak"), F.col(f"`{text_col}`").alias("text")).mapInArrow(hit, "leak binary").distinct(), "leaks")
+        leaks = part if leaks is None else leaks.unionByName(part)
+        index.unpersist()
+    return docs.join(leaks, sha == F.col("leak"), "left_anti")

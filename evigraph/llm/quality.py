@@ -172,7 +172,7 @@ def _fit_network(x: np.ndarray, y: np.ndarray, seed: int = 7) -> dict:
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
     m2 = {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
-    for _ in range(max(30, min(EPOCHS, 4_000_000 // max(1, len(t))))):
+    for _ in range(EPOCHS):
         order = rng.permutation(len(t))
         for i in range(0, len(t), 256):
             b = order[i : i + 256]

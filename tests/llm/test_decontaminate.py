@@ -1,9 +1,11 @@
 import random
+import time
 
 import numpy as np
 import pytest
 
 from evigraph.llm import decontaminate as D
+from evigraph.llm import registry
 
 
 def smith_waterman(a, b):
@@ -105,3 +107,42 @@ def test_blocks_do_not_depend_on_each_other(spark, planted):
     kept = [sorted(r["doc_id"] for r in D.drop_leaks(docs, twice, block_words=n).collect()) for n in (200, 400_000)]
     assert rows[0] == rows[1] and len(rows[0]) == 120
     assert kept[0] == kept[1]
+
+
+def test_items_that_open_alike(spark):
+    """20,000 items share their opening; documents that hold the opening match none, documents that hold an item match that one."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(5))
+    opening = "which of the following statements is true about".split()
+    items = [[*opening, *(word() for _ in range(6))] for _ in range(20_000)]
+    docs = [[word() for _ in range(40)] + [*opening, "zzz"] + [word() for _ in range(2000)] + [*opening, "zzz"] * 3 for _ in range(60)]
+    for i in (3, 17, 40):
+        docs[i][1000:1000] = items[100 * i]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    began = time.perf_counter()
+    assert sorted((x["doc_id"], x["item_id"], x["score"]) for x in D.find_leaks(table, bench).collect()) == [(i, 100 * i, 1.0) for i in (3, 17, 40)]
+    assert time.perf_counter() - began < 60
+    assert D.drop_leaks(table, bench, block_words=60_000).count() == 57
+
+
+def aligned_pairs(docs, bench):
+    """Every item against every whole document, without seeds: (document, item) to score."""
+    hashes, want = D.WordHash(), {}
+    items = [(i, D.words_of(t, hashes)) for i, t in bench]
+    for doc, text in docs:
+        words = D.words_of(text or "", hashes)
+        for item, w in items:
+            if np.isin(w, words).mean() >= D.MIN_SCORE and (score := D.align(w, words)[0] / (2 * len(w))) >= D.MIN_SCORE:
+                want[doc, item] = score
+    return want
+
+
+def test_query_equals_brute_force_alignment(spark, sf_dir, planted):
+    read = lambda name, key: [(r[key], r["text"]) for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").collect()]
+    want = aligned_pairs(read("documents", "doc_id"), read("benchmark", "item_id"))
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in registry.op8_decontaminate(spark, sf_dir).collect()} == want and len(want) >= 3
+    docs, bench, leaked = planted  # edited copies among them
+    want = aligned_pairs(docs.collect(), bench.collect())
+    assert set(want) == leaked
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in D.find_leaks(docs, bench).collect()} == want
