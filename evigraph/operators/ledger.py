@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions import bayes, confidence, text
-from evigraph.functions.canonical import hash_of_json, pair_hash
+from evigraph.functions.canonical import ends_hash, hash_of_json, pair_hash
 from evigraph.functions.meta import Meta
 from evigraph.graph import Graph, stance
 from evigraph.schema import QUALITY_KEYS, STANCE_KEYS
@@ -60,7 +60,7 @@ def weighted_edges(graph: Graph, missing_default: float = 1.0) -> DataFrame:
     Adds edge_key, stance, raw_weight with weight_rule (first grounding_strength assessment, the edge's
     confidence, its source's, the policy's default), bayes_weight (clamped confidence or 0.75, times multipliers for source quality,
     stance and grounding), dedup_artifact, dedup_fragment, dedup_key (canonical hash of artifact and fragment, else the
-    edge's id, else its ends and type), families and revises. The weights do not depend on any prior, so they are made once.
+    edge's id, else the canonical hash of its ends and type), families and revises. The weights do not depend on any prior, so they are made once.
     """
     edges, meta = graph.edges.where(stance(F.col("type")).isNotNull()), Meta.of(graph.edges)
     own_id = F.col("id") if _has(edges, "id") else F.lit("")
@@ -91,7 +91,7 @@ def weighted_edges(graph: Graph, missing_default: float = 1.0) -> DataFrame:
     return both.select(
         "source", "target", "type", "pos", "edge_key", "stance", raw.alias("raw_weight"), rule.alias("weight_rule"), weight.alias("bayes_weight"),
         F.when(cited, F.struct("dedup_artifact", "dedup_fragment", F.lit("").alias("edge"))).otherwise(F.struct(F.lit("").alias("dedup_artifact"), F.lit("").alias("dedup_fragment"), F.col("edge_key").alias("edge"))).alias("dedup"),
-        F.when(cited, pair_hash(F.col("dedup_artifact"), F.col("dedup_fragment"))).otherwise(F.col("edge_key")).alias("dedup_key"),
+        F.when(cited, pair_hash(F.col("dedup_artifact"), F.col("dedup_fragment"))).when(F.coalesce("own_id", F.lit("")) != "", F.col("own_id")).otherwise(ends_hash(F.col("source"), F.col("target"), F.col("type"))).alias("dedup_key"),
         F.array_sort(F.array_distinct(F.filter(either("e_families", "s_families"), lambda x: x != ""))).alias("families"),
         F.when(F.col("stance") == "revision", F.when(F.col("revises") != "", F.col("revises")).otherwise(F.concat(F.lit("evidence:graph-edge:"), "edge_key"))).alias("revises"),
     )

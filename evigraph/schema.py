@@ -55,3 +55,9 @@ TEMPORAL_KEYS = ("available_at", "introduced_at", "timestep", "valid_at", "valid
 BAYESIAN_POLICY_KEYS = ("bayesian_prior_profile", "evidence_weighting_policy", "graph_extraction_policy")
 BAYESIAN_RESULT_KEYS = ("bayesian_reliability", "bayesian_assessment", "bayesian_assessment_report", "assessment_summary")
 LEGACY_MAPPING_KEY = "legacy_confidence_mapping_policy"
+
+# The weighting policy of graphs.
+POLICY = {
+    "schema_version": "1.0", "policy_id": "graph_edge_evidence_weighting_v1", "method_name": "graph_edge_evidence_weighting", "method_version": "1.0", "missing_weight_default": 1.0, "source_family_dependence": "record_only",
+    "rules": ("typed edge grounding_strength assessment", "legacy edge confidence", "source node confidence", "versioned missing-weight default"),
+}
