@@ -6,6 +6,7 @@ a list, a boolean or a number follows the JSON type, never a coercion: "true" is
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,13 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def with_field(text: Column, key: str, value: str | float) -> Column:
+    """A JSON object (text) with key set to value, all else as it is; a text that holds no object becomes one. Whole numbers lose a fraction of .0."""
+    fields = F.coalesce(F.from_json(text, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    own = F.create_map(F.lit(key), F.parse_json(F.lit(json.dumps(value))))
+    return F.to_json(F.map_concat(F.map_filter(fields, lambda k, _: k != key), own))
+
+
 class Meta:
     """Columns over one metadata field, which may be nested (such as an element of provenance)."""
 

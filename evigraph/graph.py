@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.functions.meta import with_field
 from evigraph.schema import CHALLENGE, REVISION, SUPPORT
 
 
@@ -63,7 +62,6 @@ class Graph:
 def with_component_reliability(graph: Graph, component_ids: DataFrame, level: str | float, key: str = "counterfactual_reliability") -> Graph:
     """graph with metadata[key] = level (JSON metadata) on the nodes and edges that component_ids (id) names, edges by id or by source->type->target."""
     ids = component_ids.select(F.col("id").alias("named")).distinct().withColumn("hit", F.lit(True))
-    more = json.dumps({key: level}, separators=(",", ":"))
 
     def marked(df: DataFrame, names: list[Column]) -> DataFrame:
         out = df
@@ -71,10 +69,7 @@ def with_component_reliability(graph: Graph, component_ids: DataFrame, level: st
             out = out.join(ids.select(F.col("named").alias(f"_n{i}"), F.col("hit").alias(f"_h{i}")), name == F.col(f"_n{i}"), "left")
         hit = F.greatest(*[F.coalesce(f"_h{i}", F.lit(False)) for i in range(len(names))]) if len(names) > 1 else F.coalesce("_h0", F.lit(False))
         old = F.coalesce(F.nullif("metadata", F.lit("")), F.lit("{}")) if "metadata" in df.columns else F.lit("{}")
-        rest = F.regexp_replace(F.regexp_replace(old, rf',?"{re.escape(key)}":("[^"]*"|[^,}}]*)', ""), r"^\{,", "{")
-        body = F.regexp_replace(rest, r"\}\s*$", "")
-        new = F.concat(body, F.when(F.trim(body) == "{", "").otherwise(","), F.lit(more[1:]))
-        return out.withColumn("metadata", F.when(hit, new).otherwise(old)).drop(*[f"_{x}{i}" for i in range(len(names)) for x in "nh"])
+        return out.withColumn("metadata", F.when(hit, with_field(old, key, level)).otherwise(old)).drop(*[f"_{x}{i}" for i in range(len(names)) for x in "nh"])
 
     compound = F.concat("source", F.lit("->"), "type", F.lit("->"), "target")
     names = [F.col("id"), compound] if "id" in graph.edges.columns else [compound]

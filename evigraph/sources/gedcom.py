@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import text
 from evigraph.graph import Graph
+from evigraph.operators.loops import numbered, settle
 
 # Kinds of nodes, and event tags with their names.
 PERSON, EVENT, RELATIONSHIP, SOURCE = "person_candidate", "event_claim", "relationship_claim", "source_record"
@@ -17,28 +19,71 @@ EVENT_TAGS = {
 STATUS = "imported_unreviewed"
 
 
+#: Lines of a file that are looked at together; what they leave open is settled over all blocks of the file.
+BLOCK_LINES = 50_000
+_NEAR = "file string, line_no long, level int, parent long, root long, last boolean"
+
+
+def _nearest(group: pa.Table) -> pa.Table:
+    """Lines of one file with the nearest line before that has a smaller level, and the last line of level 0 up to each; last: no later line hides it."""
+    group = group.select(["file", "line_no", "level"]).sort_by("line_no")
+    numbers, levels = group.column("line_no").to_pylist(), group.column("level").to_pylist()
+    stack: list[int] = []
+    parent, root, zero = [], [], None
+    for i, level in enumerate(levels):
+        while stack and levels[stack[-1]] >= level:
+            stack.pop()
+        parent.append(numbers[stack[-1]] if stack else None)
+        zero = numbers[i] if level == 0 else zero
+        root.append(zero)
+        stack.append(i)
+    open_to_view = set(stack)
+    for name, values, kind in (("parent", parent, pa.int64()), ("root", root, pa.int64()), ("last", [i in open_to_view for i in range(len(levels))], pa.bool_())):
+        group = group.append_column(name, pa.array(values, kind))
+    return group
+
+
+def with_parents(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """lines (file, line_no, level, ...) with parent and root: all nearest smaller levels, in blocks.
+
+    A block settles most of its lines by itself. The rest look for a line of an earlier block, and only those lines of a block can be it that no later line of the
+    block hides: so the same pass over these and the open lines alone, a small part of a file, settles the rest.
+    """
+    block = F.floor(F.col("line_no") / block_lines)
+    near = settle(lines.select("file", F.col("line_no").cast("long").alias("line_no"), "level", block.alias("block")).groupBy("file", "block").applyInArrow(_nearest, _NEAR))
+    several = near.groupBy("file").agg(F.min("line_no").alias("a"), F.max("line_no").alias("b")).where(F.floor(F.col("a") / block_lines) < F.floor(F.col("b") / block_lines)).select("file")
+    open_ = (F.col("parent").isNull() & (F.col("level") > 0)) | F.col("root").isNull()
+    rest = near.where(open_ | F.col("last")).join(several, "file", "left_semi").select("file", "line_no", "level")
+    found = rest.groupBy("file").applyInArrow(_nearest, _NEAR).select("file", "line_no", F.col("parent").alias("far"), F.col("root").alias("far_root"))
+    known = near.join(found, ["file", "line_no"], "left").select("file", "line_no", F.when(F.col("level") > 0, F.coalesce("parent", "far")).alias("parent"), F.coalesce("root", "far_root").alias("root"))
+    return lines.join(known, ["file", "line_no"])
+
+
 def parsed_lines(texts: DataFrame) -> DataFrame:
-    """texts: (file, value). Returns (file, line_no, level, xref, tag, value, parent, root): parent and root are line numbers.
+    """texts: (file, value), a file a row. Returns (file, line_no, level, xref, tag, value, parent, root): parent and root are line numbers."""
+    return _parsed(texts.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "raw")))
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """lines (file, line_no, raw) with their parts, parent and root.
 
     The parent is the nearest line before with a smaller level, levels being of any depth. Blank lines are skipped; a line without a level raises.
     """
-    lines = texts.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "raw")).where(F.trim("raw") != "")
-    lines = lines.withColumn("raw", F.trim("raw"))
+    lines = lines.where(F.trim("raw") != "").withColumn("raw", F.trim("raw"))
     bad = F.raise_error(F.concat(F.lit("invalid GEDCOM line: "), F.col("raw")))
     level = F.when(F.col("raw").rlike(r"^\d+( |$)"), F.regexp_extract("raw", r"^(\d+)", 1).cast("int")).otherwise(bad.cast("int"))
     rest = F.regexp_replace("raw", r"^\d+ ?", "")
     xref = F.regexp_extract(rest, r"^(@[^ ]*@)( |$)", 1)
     body = F.when(xref != "", F.regexp_replace(rest, r"^@[^ ]*@ ?", "")).otherwise(rest)
-    out = lines.select("file", "line_no", level.alias("level"), xref.alias("xref"), F.regexp_extract(body, r"^([^ ]*)", 1).alias("tag"), F.regexp_replace(body, r"^[^ ]* ?", "").alias("value"))
-    before = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    deepest = out.agg(F.max("level")).first()[0] or 0
-    last = [F.lit(None).cast("int")] * 2 + [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("line_no")), True).over(before)) for k in range(deepest)]
-    return out.withColumns({"parent": F.greatest(*last), "root": F.last(F.when(F.col("level") == 0, F.col("line_no")), True).over(upto)})
+    return with_parents(lines.select("file", "line_no", level.alias("level"), xref.alias("xref"), F.regexp_extract(body, r"^([^ ]*)", 1).alias("tag"), F.regexp_replace(body, r"^[^ ]* ?", "").alias("value")))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return parsed_lines(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
+    """parsed_lines of files of any size: a file is read in splits by many tasks, and its lines are numbered by where their split begins and their place in it."""
+    read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"))
+    every = numbered(read, ["file", "split", "place"], "n")
+    first = every.groupBy("file").agg(F.min("n").alias("first"))
+    return _parsed(every.join(first, "file").select("file", (F.col("n") - F.col("first")).alias("line_no"), F.regexp_replace("raw", "\r$", "").alias("raw")))
 
 
 def _clean(xref: Column) -> Column:

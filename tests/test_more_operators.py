@@ -1,11 +1,12 @@
 import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from evigraph import cli, rpc
-from evigraph.functions import timekey
+from evigraph.functions import meta, timekey
 from evigraph.graph import Graph, edge_ref, node_ref, with_component_reliability
 from evigraph.operators import bayesian, calibration, epistemic, gmetric, ledger, temporal, traversal
 from evigraph.plans import manifests, report
@@ -82,6 +83,49 @@ def test_gedcom_of_any_depth(spark):
     assert rows[0] is None and all(rows[i] == i - 1 for i in range(1, 20)) and rows[20] == 2
 
 
+def test_gedcom_in_blocks_and_splits(spark, tmp_path):
+    """Parents over block borders, levels of any size, and files that many tasks read: as a plain stack finds them."""
+    r = random.Random(6)
+    wanted = {}
+    for name in "ab":
+        levels, level = [0], 0
+        for _ in range(400):
+            level = r.choice((0, max(0, level - r.randint(0, 4)), level + 1, level + r.choice((1, 5, 1_000_000))))
+            levels.append(level)
+        levels[150:150] = [9] * 60  # a run that no block ends
+        text = "\r\n".join(f"{x} @{name}{i}@ T{i} v" if i % 9 else f"{x} T{i}" for i, x in enumerate(levels))
+        (tmp_path / f"{name}.ged").write_bytes(text.encode())
+        for i, x in enumerate(levels):
+            parent = next((j for j in range(i - 1, -1, -1) if levels[j] < x), None)
+            wanted[name, i] = (x, parent, max(j for j in range(i + 1) if levels[j] == 0))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = gedcom.read_lines(spark, str(tmp_path / "*.ged"))
+        assert spark.read.text(str(tmp_path / "*.ged")).rdd.getNumPartitions() > 4
+        rows = lines.collect()
+        small = gedcom.with_parents(lines.drop("parent", "root"), block_lines=16).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for got in (rows, small):
+        assert {(x["file"][-5], x["line_no"]): (x["level"], x["parent"], x["root"]) for x in got} == wanted
+    assert {x["tag"] for x in rows} == {f"T{i}" for i in range(461)} and all(x["xref"] == "" for x in rows if x["line_no"] % 9 == 0)
+
+
+def test_metadata_edits_keep_what_is_nested(spark):
+    texts = ['{"a": {"k": "x}, \\"k\\": 1"}, "k": {"deep": [1, {"k": 2}]}, "z": "\u00e9"}', "{}", None, "no object", '{"k": "say \\"k\\": {"}']
+    df = spark.createDataFrame([(t,) for t in texts], "m string").select(meta.with_field(F.col("m"), "k", "low").alias("x"), meta.with_field(F.col("m"), "k", 0.5).alias("y"))
+    for t, row in zip(texts, df.collect(), strict=True):
+        old = json.loads(t) if t and t.startswith("{") else {}
+        assert json.loads(row["x"]) == old | {"k": "low"} and json.loads(row["y"]) == old | {"k": 0.5}
+
+
+def test_tools_say_what_they_take():
+    tools = {t["name"]: t["inputSchema"] for t in rpc.list_tools()}
+    assert len(tools) == 5 and tools["graph_neighborhood"]["required"] == ["graph_bundle", "node_id"]
+    assert set(tools["graph_neighborhood"]["properties"]) == {"graph_bundle", "node_id", "hops"} and tools["epistemic_report"]["properties"]["node_types"]["type"] == "array"
+
+
 def test_times_are_trimmed(spark):
     r = spark.sql("SELECT ' 1953-04-25 ' AS a, ' 7' AS b, 'soon' AS c").select(*[timekey.of_text(F.col(x)).alias(x) for x in "abc"]).first()
     assert r["a"]["kind"] == "datetime" and r["b"]["val"] == 7 and r["c"] is None
