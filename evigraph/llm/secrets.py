@@ -5,12 +5,14 @@ sensitive, whatever letters and digits it has; only runs of nothing but words of
 is measured by its marginal compressed size: bytes of zstandard output for its surroundings with it,
 less those without it, where the compressor is primed with a dictionary of code, identifier words and
 common phrases. Words, paths and repeated text compress away; random keys don't. A candidate that costs
-at least MIN_BYTES_PER_CHAR bytes a character is reported as a span of kind `novel`.
+at least MIN_BYTES_PER_CHAR bytes a character is reported as a span of kind `novel`. A long key of few different characters costs less than that, however
+random it is (digits: 3.3 bits): letters and digits of LONG characters and more need ENTROPY_SHARE of the entropy of the alphabet that they show, where that is less.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -33,6 +35,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
 SENSITIVE = re.compile(r"key|secret|token|passw|passphrase|credential|auth|bearer|private|signature|session|cookie|login", re.IGNORECASE)
 CONTEXT_BEFORE, CONTEXT_AFTER = 64, 32
 MIN_BYTES_PER_CHAR = 0.75
+#: Of a run of nothing but letters and digits; random ones cost 1.12 times their entropy and more at any length, by what the compressor adds.
+LONG, ENTROPY_SHARE = 32, 1.05
 
 #: The dictionary that the compressor is primed with.
 DICTIONARY = """
@@ -60,6 +64,22 @@ def only_words(found: str) -> bool:
     return all(w.lower() in _WORDS for w in _PART.findall(found))
 
 
+def alphabet(found: str) -> int:
+    """How many characters the alphabet has that a run of letters and digits seems to be drawn from: digits, and letters (of hex digits, or all) of each case."""
+    size = 10 * any(c.isdigit() for c in found)
+    for first, last in (("a", "z"), ("A", "Z")):
+        own = [c for c in found if first <= c <= last]
+        size += 0 if not own else 6 if max(own).lower() <= "f" and size else 26
+    return max(size, 2)
+
+
+def least_bytes(found: str, per_char: float) -> float:
+    """What a candidate must cost to be reported."""
+    if len(found) >= LONG and found.isalnum():
+        per_char = min(per_char, ENTROPY_SHARE * math.log2(alphabet(found)) / 8)
+    return per_char * len(found)
+
+
 class Novelty:
     """Marginal compressed bytes of a string within its surroundings."""
 
@@ -94,7 +114,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, p
         before, after = text[max(0, start - CONTEXT_BEFORE) : start], text[end : end + CONTEXT_AFTER]
         if not (SENSITIVE.search(before) or SENSITIVE.search(after)) or only_words(found):
             continue
-        if novelty.marginal(before, found, after) >= per_char * len(found):
+        if novelty.marginal(before, found, after) >= least_bytes(found, per_char):
             out.append((start, end))
     return out
 

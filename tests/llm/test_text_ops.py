@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -40,6 +42,30 @@ def test_novelty_reports_random_keys_only():
     assert found("password=9fKx82Lq0ZrT7vBn3WmYa41") == []
 
 
+ALPHABETS = {
+    "digits": "0123456789", "hex": "0123456789abcdef", "upper hex": "0123456789ABCDEF", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower and digits": "abcdefghijklmnopqrstuvwxyz0123456789", "base62": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "base64": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/",
+}
+
+
+@pytest.mark.parametrize("name", sorted(ALPHABETS))
+def test_random_keys_of_every_alphabet_and_length(name):
+    draw, novelty = random.Random(9), secrets.Novelty()
+    for size in (16, 20, 24, 32, 40, 48, 64, 96, 128, 256):
+        found = 0
+        for _ in range(40):
+            text = f"the auth key for this service is {''.join(draw.choice(ALPHABETS[name]) for _ in range(size))} and no other"
+            found += secrets.novel_spans(text, [], novelty) == [(33, 33 + size)]
+        assert found >= 38, (size, found)
+
+
+def test_long_runs_that_are_no_keys():
+    novelty = secrets.Novelty()
+    for run in ("0" * 64, "1234567890" * 6, "abcdefghijklmnopqrstuvwxyz" * 2, "deadbeef" * 8, "application/x-www-form-urlencoded", "secretsecretsecretsecretsecretsecret"):
+        assert secrets.novel_spans(f"the auth key is {run} here", [], novelty) == [], run
+
+
 def test_secrets_of_odd_rows(odd, none):
     rows = secrets.find_secrets(odd).collect()
     assert len(rows) == odd.count()
