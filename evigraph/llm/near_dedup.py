@@ -4,8 +4,10 @@ A text is the set of its five-word shingles (lower case, words between white spa
 text is one shingle). ProbMinHash: each shingle is a Poisson process of its weight as rate, whose points
 fall on REGISTERS registers; a register keeps its earliest shingle, and a shingle stops once its next point
 is later than every register's earliest. Two texts share a register with the probability Jaccard similarity
-of their weighted sets. Every shingle weighs 1 however often its text repeats it, so this is the Jaccard
-similarity of the sets, by which links are verified.
+of their weighted sets. A shingle weighs 1 to 1 + SPREAD, by how long its words are: short words are common ones, and what two texts have in common by
+them tells less. The weight is the shingle's own, however often its text repeats it, and the spread is small: a link, that is a Jaccard
+similarity of the sets of 0.8, by which candidates are verified, is a probability Jaccard similarity of 0.76 at least, which banding misses
+with a probability of 6e-4 at most (5e-5 where weights are even).
 
 BANDS bands of ROWS registers deal the distinct texts into buckets. Links are verified by the exact
 Jaccard similarity of the shingle sets. All pairs of a bucket are never formed:
@@ -44,6 +46,8 @@ SHINGLE_WORDS = 5
 BANDS, ROWS, REGISTERS = 25, 5, 128
 BLOCK = 128
 THRESHOLD = 0.8
+#: Weight of a shingle beyond 1: none up to words of SHORT bytes on average, SPREAD from LONG bytes on.
+SPREAD, SHORT, LONG = 0.25, 3, 9
 #: While more pairs than this for each text are left, texts are first compared with one more pivot, at most so many times. Either way all pairs are judged.
 PAIRS_A_TEXT, PIVOTS = 4, 4
 
@@ -59,7 +63,7 @@ def _mix(z: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: bytes, hashes: WordHash) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(digest of the word sequence, distinct shingle keys in order, weights of 1) of a text in lower case."""
+    """(digest of the word sequence, distinct shingle keys in order, their weights) of a text in lower case."""
     words = text.split()
     digest = xxhash.xxh3_128_digest(b" ".join(words))
     if not words:
@@ -70,8 +74,10 @@ def shingles(text: bytes, hashes: WordHash) -> tuple[bytes, np.ndarray, np.ndarr
     for i in range(n):
         keys = (keys ^ ids[i : len(ids) - n + 1 + i]) * _ODD[i]
         keys ^= keys >> _U(31)
-    keys = np.unique(keys)
-    return digest, keys, np.ones(len(keys))
+    keys, first = np.unique(keys, return_index=True)
+    upto = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
+    mean = (upto[first + n] - upto[first]) / n
+    return digest, keys, 1 + SPREAD * np.clip((mean - SHORT) / (LONG - SHORT), 0, 1)
 
 
 def prob_min_hash(keys: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_docs: int, m: int = REGISTERS) -> np.ndarray:
