@@ -6,7 +6,7 @@ for all targets at once; edges join it twice, once for each end and the rarer en
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import bayes, text
@@ -78,22 +78,25 @@ def summaries(graph: Graph, node_types=ASSESSED_TYPES, low_confidence: float = 0
     aimed = claims.select("target", F.col("claim").alias("dst")).unionByName(targets.select(F.col("id").alias("target"), F.col("id").alias("dst"))).distinct().withColumn("aimed", F.lit(True))
     induced = settle(induced.join(aimed, ["target", "dst"], "left").withColumn("direct", F.col("supports") & F.coalesce("aimed", F.lit(False))))
 
-    words = lambda df, c: df.select("target", F.explode(c).alias("word"))
+    # one pass over the members and one over the edges: words are counted within their rows; only distinct roles need their rows apart
+    groups = {"grounding": {"grounded": GROUNDING[:1], "partly": GROUNDING[1:2], "ungrounded": GROUNDING[2:]}, "quality": {"high": HIGH_TRUST, "mixed": MIXED_TRUST, "low": LOW_TRUST}, "hostile": {"adversarial": ADVERSARIAL}}
 
-    def tally(column: str, groups: dict[str, tuple[str, ...]], edges: bool = True) -> DataFrame:
-        every = words(of_nodes, column).unionByName(words(induced, column)) if edges else words(of_nodes, column)
-        return every.groupBy("target").agg(F.count(F.lit(1)).alias(f"{column}_n"), F.count_distinct("word").alias(f"{column}_kinds"), *[F.count_if(F.col("word").isin(*v)).alias(k) for k, v in groups.items()])
+    def among(column: str, words: tuple[str, ...]) -> Column:
+        return F.size(F.filter(column, lambda x: x.isin(*words)))
 
-    edge_counts = induced.groupBy("target").agg(F.count_if("direct").alias("support_count"), F.count_if(F.col("kind") == "challenge").alias("challenge_count"), F.count_if(F.col("kind") == "revision").alias("revision_count"))
-    node_counts = of_nodes.groupBy("target").agg(F.count_if(F.col("confidence") < low_confidence).alias("low_confidence_node_count"), F.avg("confidence").alias("mean_confidence"))
+    def tallies(side: str) -> list[Column]:
+        return [x for c, g in groups.items() for x in (F.sum(F.size(c)).alias(f"{side}_{c}_n"), *[F.sum(among(c, words)).alias(f"{side}_{k}") for k, words in g.items()])]
+
+    edge_counts = induced.groupBy("target").agg(F.count_if("direct").alias("support_count"), F.count_if(F.col("kind") == "challenge").alias("challenge_count"), F.count_if(F.col("kind") == "revision").alias("revision_count"), *tallies("e"))
+    node_counts = of_nodes.groupBy("target").agg(F.count_if(F.col("confidence") < low_confidence).alias("low_confidence_node_count"), F.avg("confidence").alias("mean_confidence"), *tallies("n"))
+    role_counts = of_nodes.select("target", F.explode("roles").alias("word")).groupBy("target").agg(F.count(F.lit(1)).alias("roles_n"), F.count_distinct("word").alias("roles_kinds"))
     used = induced.where("direct OR kind = 'challenge'").select(F.col("target").alias("ledger"), "pos")
     totals = bayesian.evidence_totals(used.join(weights, "pos"))
     out = targets.withColumnRenamed("id", "target")
-    for part in (
-        edge_counts, node_counts, tally("grounding", {"grounded": GROUNDING[:1], "partly": GROUNDING[1:2], "ungrounded": GROUNDING[2:]}), tally("roles", {}, False),
-        tally("quality", {"high": HIGH_TRUST, "mixed": MIXED_TRUST, "low": LOW_TRUST}), tally("hostile", {"adversarial": ADVERSARIAL}), totals.withColumnRenamed("ledger", "target"),
-    ):
+    for part in (edge_counts, node_counts, role_counts, totals.withColumnRenamed("ledger", "target")):
         out = out.join(part, "target", "left")
+    both = {c: F.coalesce(f"n_{c}", F.lit(0)) + F.coalesce(f"e_{c}", F.lit(0)) for k, g in groups.items() for c in (f"{k}_n", *g)}
+    out = out.withColumns(both).drop(*[f"{side}_{c}" for side in "ne" for c in both])
     filled = [c for c in out.columns if c not in ("target", "type", "title", "mean_confidence")]
     out = bayesian.classified(out.fillna(0, filled), profile=prior, credibility=credibility)
     return _scored(out)

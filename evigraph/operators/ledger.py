@@ -156,14 +156,13 @@ def ledger_units(graph: Graph, subjects: DataFrame, weights: DataFrame | None =
 
     ledger is the subject, unit_subject the edge's target where that is one of the claims, else its source.
     """
-    claims = claims_of(graph, subjects)
+    claims = claims_of(graph, subjects).select(F.col("claim").alias("id"), F.col("subject").alias("ledger"))
     weights = weighted_edges(graph) if weights is None else weights
-    at_target = weights.join(claims.select(F.col("claim").alias("target"), F.col("subject").alias("ledger")), "target").withColumn("unit_subject", F.struct(F.lit(0).alias("k"), F.col("target").alias("id")))
-    at_source = weights.join(claims.select(F.col("claim").alias("source"), F.col("subject").alias("ledger")), "source").withColumn("unit_subject", F.struct(F.lit(1).alias("k"), F.col("source").alias("id")))
-    rows = at_target.unionByName(at_source)
-    keep = [c for c in rows.columns if c not in ("ledger", "pos", "unit_subject")]
-    one = rows.groupBy("ledger", "pos").agg(F.min("unit_subject").alias("u"), *[F.any_value(c).alias(c) for c in keep])
-    return one.withColumn("unit_subject", F.col("u.id")).drop("u")
+    # which edges a ledger holds is decided on their ends; their weights, which are wide, are joined once
+    edges = graph.edges.where(stance(F.col("type")).isNotNull())
+    ends = edges.select("pos", F.lit(0).alias("k"), F.col("target").alias("id")).unionByName(edges.where("source != target").select("pos", F.lit(1).alias("k"), F.col("source").alias("id")))
+    held = ends.join(claims, "id").groupBy("ledger", "pos").agg(F.min(F.struct("k", "id")).alias("u")).select("ledger", "pos", F.col("u.id").alias("unit_subject"))
+    return held.join(weights, "pos").drop("pos")
 
 
 def deduplicate(units: DataFrame, order: Column, weight: str = "raw_weight") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import text, timekey
@@ -70,6 +70,51 @@ def claim_status_at(graph: Graph, claims: DataFrame, when) -> DataFrame:
     return out.select("claim", status.alias("status"))
 
 
+def claim_status_over(graph: Graph, claims: DataFrame, whens: list) -> DataFrame:
+    """(claim, cutoff, status) for every claim and each of a list of cutoffs: what claim_status_at says of each, in one pass over the edges.
+
+    An edge counts from the latest time of its own and its ends' on; the cutoff at which it comes in is looked up, edges are added up by claim and
+    that cutoff where they are, and running sums over a claim's cutoffs (no more rows than cutoffs) give its counts at each. Times of the other kind than a
+    cutoff's, and missing ones, count as in a slice: always.
+    """
+    found = graph.nodes.sparkSession.range(1).select(*[timekey.literal(w).alias(f"c{i}") for i, w in enumerate(whens)]).first()
+    if any(c is None for c in found):
+        raise ValueError(f"not a time: {[w for w, c in zip(whens, found, strict=True) if c is None]}")
+    out = None
+    for kind in sorted({c["kind"] for c in found}):
+        cuts = sorted({(c["val"], str(w)) for w, c in zip(whens, found, strict=True) if c["kind"] == kind})
+        rows = _status_over(graph, claims, kind, [v for v, _ in cuts], [w for _, w in cuts])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _status_over(graph: Graph, claims: DataFrame, kind: str, cuts: list[float], names: list[str]) -> DataFrame:
+    def since(t: Column) -> Column:
+        return F.when(t["kind"] == kind, t["val"]).otherwise(F.lit(float("-inf")))
+
+    def slot(value: Column) -> Column:
+        """Place of the first cutoff that is no earlier."""
+        return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value))
+
+    ends = graph.nodes.select("id", since(item_time(graph.nodes)).alias("t")).groupBy("id").agg(F.min("t").alias("t"))
+    edges = graph.edges.select("source", "target", "type", since(item_time(graph.edges)).alias("t"))
+    for side in ("source", "target"):
+        edges = edges.join(ends.select(F.col("id").alias(side), F.col("t").alias(f"t_{side}")), side)
+    placed = touching(edges.select("source", "target", "type", slot(F.greatest("t", "t_source", "t_target")).alias("slot")).where(F.col("slot") < len(cuts)), claims)
+    named, own = ("revision", "challenge", "support"), F.col("type")
+    counts = placed.groupBy("claim", "slot").agg(F.count_if(own.isin(*REVISION)).alias("revision"), F.count_if(own.isin(*CHALLENGE)).alias("challenge"), F.count_if(own.isin(*SUPPORT) & (F.col("target") == F.col("claim"))).alias("support"))
+    nodes = graph.index()
+    begun = nodes.select(F.col("id").alias("claim"), since(item_time(nodes)).alias("begun"))
+    grid = claims.select("claim").distinct().join(begun, "claim", "left").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(len(cuts) - 1))))
+    upto = Window.partitionBy("claim").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    running = grid.join(counts, ["claim", "slot"], "left").select("claim", "slot", "begun", *[F.sum(F.coalesce(n, F.lit(0))).over(upto).alias(n) for n in named])
+    status = (
+        F.when(F.col("begun").isNull(), "missing").when(slot(F.col("begun")) > F.col("slot"), "not_yet_available").when(F.col("revision") > 0, "revised_or_superseded")
+        .when(F.col("challenge") > 0, "contradicted").when(F.col("support") > 0, "supported").otherwise("unresolved")
+    )
+    return running.select("claim", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("slot") + 1).alias("cutoff"), status.alias("status"))
+
+
 def _dated(graph: Graph, claims: DataFrame, types) -> DataFrame:
     edges = graph.edges.where(of_types(F.col("type"), types))
     own = F.col("id") if "id" in edges.columns else F.lit("")

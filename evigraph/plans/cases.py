@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evigraph.functions import confidence
 from evigraph.functions.meta import Meta
 from evigraph.graph import Graph
-from evigraph.operators import bayesian, experiment, gmetric, ledger, stories, temporal, traversal
+from evigraph.operators import bayesian, experiment, gmetric, ledger, stories, strong, temporal, traversal
 from evigraph.plans import projections as P
 from evigraph.plans.catalog import _EDGES, _SUPPLY, query, rounded
 from evigraph.sources import export, gedcom
@@ -270,11 +270,10 @@ def dot_order(spark, sf_dir):
     return export.in_order(export.dot_lines(P.chain(spark, sf_dir))).select("place", "line")
 
 
-@query(
-    """WITH b AS (SELECT p_partkey // 5 AS block, arg_min(p_size, p_partkey) < 25 AS cyclic, arg_min(p_brand, p_partkey) AS brand, min(p_partkey) AS first FROM part GROUP BY 1)
-    SELECT 'part::' || p_partkey AS id FROM part JOIN b ON block = p_partkey // 5 WHERE cyclic UNION SELECT 'brand::' || brand FROM b WHERE cyclic"""
-)
-def cycle_nodes(spark, sf_dir):
+_RINGS = "b AS (SELECT p_partkey // 5 AS block, arg_min(p_size, p_partkey) < 25 AS cyclic, arg_min(p_brand, p_partkey) AS brand, min(p_partkey) AS first FROM part GROUP BY 1)"
+
+
+def _rings(spark, sf_dir):
     """Parts in blocks of five, each pointing to the next, the last back to the first where that is small; the first also points to its brand."""
     part = P.table(spark, sf_dir, "part")
     block = F.floor(F.col("p_partkey") / 5)
@@ -286,7 +285,25 @@ def cycle_nodes(spark, sf_dir):
     out = ends.select(ident("first").alias("source"), brand.alias("target"))
     edges = following.unionByName(back).unionByName(out).withColumns({"type": F.lit("next"), "pos": F.concat("source", "target")})
     nodes = part.select(ident("p_partkey").alias("id")).unionByName(ends.select(brand.alias("id")).distinct()).withColumns({"type": F.lit("part"), "pos": F.col("id")})
-    return traversal.cycle_nodes(Graph(nodes, edges, unique_ids=True))
+    return Graph(nodes, edges, unique_ids=True)
+
+
+@query(
+    f"""WITH {_RINGS}
+    SELECT 'part::' || p_partkey AS id FROM part JOIN b ON block = p_partkey // 5 WHERE cyclic UNION SELECT 'brand::' || brand FROM b WHERE cyclic"""
+)
+def cycle_nodes(spark, sf_dir):
+    """Members of rings, and the brands behind them."""
+    return traversal.cycle_nodes(_rings(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_RINGS}
+    SELECT 'part::' || p_partkey AS id, CASE WHEN cyclic THEN min('part::' || p_partkey) OVER (PARTITION BY p_partkey // 5) ELSE 'part::' || p_partkey END AS component FROM part JOIN b ON block = p_partkey // 5
+    UNION SELECT 'brand::' || brand, 'brand::' || brand FROM b"""
+)
+def strong_components(spark, sf_dir):
+    return strong.strong_components(_rings(spark, sf_dir))
 
 
 @query(f"WITH {_SUPPLY} SELECT target AS node_id, 'in' AS direction, source AS neighbor, 'located_in' AS edge_type FROM se UNION ALL SELECT source, 'out', target, 'located_in' FROM se")

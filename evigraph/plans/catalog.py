@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.functions import confidence, text, timekey
-from evigraph.operators import bayesian, calibration, epistemic, gmetric, ledger, structure, temporal, traversal, validation
+from evigraph.operators import bayesian, calibration, epistemic, gmetric, ledger, strong, structure, temporal, traversal, validation
 from evigraph.plans import projections as P
 from evigraph.schema import CHALLENGE, PRIORS
 from evigraph.sources import export
@@ -330,6 +330,13 @@ def shortest_path(spark, sf_dir):
     return traversal.shortest_paths(graph, pairs).select("source", "target", F.array_join("path", ">").alias("path"))
 
 
+@query("SELECT 'supplier::' || s_suppkey AS source, 'region::' || r_regionkey AS target, n_regionkey = r_regionkey AS reaches FROM supplier JOIN nation ON s_nationkey = n_nationkey CROSS JOIN region")
+def reaches(spark, sf_dir):
+    graph = P.supply(spark, sf_dir)
+    pairs = graph.nodes.where("type = 'supplier'").select(F.col("id").alias("source")).crossJoin(F.broadcast(graph.nodes.where("type = 'region'").select(F.col("id").alias("target"))))  # the five regions
+    return strong.reaches(graph, pairs)
+
+
 _COMPONENTS = f"""{_SUPPLY}, home AS (
   SELECT 'nation::' || n_nationkey AS id, n_regionkey AS r FROM nation UNION ALL SELECT 'region::' || r_regionkey, r_regionkey FROM region
   UNION ALL SELECT 'supplier::' || s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'customer::' || c_custkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
@@ -448,6 +455,19 @@ def claim_status_at(spark, sf_dir):
     return temporal.claim_status_at(graph, _claims(graph), _CUT)
 
 
+_MONTHS = tuple(f"{y}-{m:02d}-15" for y in range(1992, 1999) for m in (1, 4, 7, 10))
+
+
+@query(
+    f"""WITH {_EDGES}, cut AS (SELECT unnest([{", ".join(f"'{m}'" for m in _MONTHS)}]) AS cutoff), c AS (SELECT target, cutoff, count(*) FILTER (stance = 'support') AS s, count(*) FILTER (stance = 'challenge') AS x, count(*) FILTER (stance = 'revision') AS r FROM ev JOIN cut ON day <= CAST(cutoff AS DATE) GROUP BY 1, 2)
+    SELECT 'part::' || p_partkey AS claim, cut.cutoff, CASE WHEN r > 0 THEN 'revised_or_superseded' WHEN x > 0 THEN 'contradicted' WHEN s > 0 THEN 'supported' ELSE 'unresolved' END AS status FROM part CROSS JOIN cut LEFT JOIN c ON target = 'part::' || p_partkey AND c.cutoff = cut.cutoff"""
+)
+def claim_status_by_month(spark, sf_dir):
+    """Every claim at each of 28 dates, in one pass."""
+    graph = P.evidence(spark, sf_dir, concepts=False)
+    return temporal.claim_status_over(graph, _claims(graph), list(_MONTHS))
+
+
 @query(f"WITH {_EDGES} SELECT target AS claim, min(day)::VARCHAR AS day FROM ev WHERE stance = 'challenge' GROUP BY 1")
 def first_contradiction(spark, sf_dir):
     graph = P.evidence(spark, sf_dir, concepts=False)

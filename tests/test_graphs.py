@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigraph.graph import Graph
-from evigraph.operators import biconnected, structure, traversal
+from evigraph.operators import biconnected, strong, structure, traversal
 from evigraph.operators.structure import _cut_vertices
 from evigraph.sources import synthetic
 
@@ -165,6 +165,31 @@ def test_paths_of_equal_length_go_by_ids(spark):
     assert got == {("s", "t"): ["s", "a0", "b1", "a2", "b3", "t"], ("t", "s"): [], ("s", "d3"): ["s", "a0", "b1", "a2", "d3"], ("s", "s"): ["s"]}
 
 
+def test_strong_components_and_reach(spark):
+    r = random.Random(7)
+    nodes = [f"n{i:02d}" for i in range(26)]
+    r.shuffle(nodes)
+    edges = {(r.choice(nodes), r.choice(nodes)) for _ in range(24)} | set(zip(nodes[20:], nodes[21:], strict=False)) | {(nodes[12 + i], nodes[12 + (i + 1) % 5]) for i in range(5)} | {("n00", "gone")}
+    out = {v: {b for a, b in edges if a == v and b in nodes} for v in nodes}
+
+    def reach(v):
+        seen, todo = {v}, [v]
+        while todo:
+            new = out[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return seen
+
+    whole = {v: reach(v) for v in nodes}
+    graph = graph_of(spark, nodes, sorted(edges))
+    got = {x["id"]: x["component"] for x in strong.strong_components(graph).collect()}
+    assert got == {v: min(w for w in whole[v] if v in whole[w]) for v in nodes}
+    assert len(set(got.values())) < 23
+    pairs = [(a, b) for a in nodes[::2] for b in nodes] + [("gone", "n00"), ("n00", "gone")]
+    asked = spark.createDataFrame(pairs, "source string, target string")
+    assert {(x["source"], x["target"]): x["reaches"] for x in strong.reaches(graph, asked).collect()} == {(a, b): a in whole and b in whole[a] for a, b in pairs}
+
+
 def test_index_edge_cases(spark):
     nodes = spark.createDataFrame([("a", "concept", "old", 0), ("b", "claim", "", 1), ("a", "claim", "new", 2)], "id string, type string, title string, pos long")
     edges = spark.createDataFrame([("a", "a", "related", 0), ("a", "gone", "related", 1), ("b", "a", "related", 2)], "source string, target string, type string, pos long")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evigraph import cli, rpc
 from evigraph.functions import timekey
+from evigraph.graph import Graph
 from evigraph.operators import calibration, experiment, gmetric, temporal
 from evigraph.plans import manifests, report
 from evigraph.sources import bundle, gedcom
@@ -154,6 +155,22 @@ def test_gedcom(spark, tmp_path):
         gedcom.read_lines(spark, str(tmp_path / "bad.ged")).collect()
 
 
+def test_status_over_cutoffs_is_that_at_each(spark):
+    r = random.Random(2)
+    when = lambda: r.choice(('{"available_at": "19%02d-0%d-10"}' % (r.randint(50, 59), r.randint(1, 9)), '{"timestep": %d}' % r.randint(0, 9), "{}", None))
+    names = [f"c{i}" for i in range(25)]
+    nodes = spark.createDataFrame([(n, "claim", when(), i) for i, n in enumerate([*names, "c3", "c4"])], "id string, type string, metadata string, pos long")
+    kinds = ("supports", "contradicts", "supersedes", "related")
+    edges = spark.createDataFrame([(r.choice([*names, "gone"]), r.choice(names), r.choice(kinds), when(), i) for i in range(40)], "source string, target string, type string, metadata string, pos long")
+    graph, claims = Graph(nodes, edges), spark.createDataFrame([(n,) for n in [*names, "none"]], "claim string")
+    whens = ["1951", "1954-06-01", "1959-12-31", 3, 8]
+    got = {(x["claim"], x["cutoff"]): x["status"] for x in temporal.claim_status_over(graph, claims, whens).collect()}
+    assert got == {(x["claim"], str(w)): x["status"] for w in whens for x in temporal.claim_status_at(graph, claims, w).collect()}
+    assert len(set(got.values())) == 6
+    with pytest.raises(ValueError):
+        temporal.claim_status_over(graph, claims, ["soon"])
+
+
 @pytest.fixture(scope="module")
 def template(spark):
     claims = spark.createDataFrame([("s1", "c1", "p. 3", "5", "fair"), ("s2", "c2", "p. 4", "6", "unfair"), ("s3", "c3", "p. 9", "2", "other")], "item_id string, claim_id string, source_anchor string, contradiction_available_at string, fair_play_rating string")
