@@ -162,7 +162,7 @@ def ledger_units(graph: Graph, subjects: DataFrame, weights: DataFrame | None =
     edges = graph.edges.where(stance(F.col("type")).isNotNull())
     ends = edges.select("pos", F.lit(0).alias("k"), F.col("target").alias("id")).unionByName(edges.where("source != target").select("pos", F.lit(1).alias("k"), F.col("source").alias("id")))
     held = ends.join(claims, "id").groupBy("ledger", "pos").agg(F.min(F.struct("k", "id")).alias("u")).select("ledger", "pos", F.col("u.id").alias("unit_subject"))
-    return held.join(weights, "pos").drop("pos")
+    return held.join(weights, "pos")
 
 
 def deduplicate(units: DataFrame, order: Column, weight: str = "raw_weight") -> DataFrame:
