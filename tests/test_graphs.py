@@ -167,9 +167,9 @@ def test_paths_of_equal_length_go_by_ids(spark):
 
 def test_strong_components_and_reach(spark):
     r = random.Random(7)
-    nodes = [f"n{i:02d}" for i in range(26)]
+    nodes = [f"n{i:02d}" for i in range(15)]
     r.shuffle(nodes)
-    edges = {(r.choice(nodes), r.choice(nodes)) for _ in range(24)} | set(zip(nodes[20:], nodes[21:], strict=False)) | {(nodes[12 + i], nodes[12 + (i + 1) % 5]) for i in range(5)} | {("n00", "gone")}
+    edges = {(r.choice(nodes), r.choice(nodes)) for _ in range(12)} | {(nodes[10 + i], nodes[10 + (i + 1) % 5]) for i in range(5)} | {(nodes[3], nodes[4]), (nodes[4], nodes[3]), ("n00", "gone")}
     out = {v: {b for a, b in edges if a == v and b in nodes} for v in nodes}
 
     def reach(v):
@@ -184,7 +184,7 @@ def test_strong_components_and_reach(spark):
     graph = graph_of(spark, nodes, sorted(edges))
     got = {x["id"]: x["component"] for x in strong.strong_components(graph).collect()}
     assert got == {v: min(w for w in whole[v] if v in whole[w]) for v in nodes}
-    assert len(set(got.values())) < 23
+    assert len(set(got.values())) < 11
     pairs = [(a, b) for a in nodes[::2] for b in nodes] + [("gone", "n00"), ("n00", "gone")]
     asked = spark.createDataFrame(pairs, "source string, target string")
     assert {(x["source"], x["target"]): x["reaches"] for x in strong.reaches(graph, asked).collect()} == {(a, b): a in whole and b in whole[a] for a, b in pairs}
