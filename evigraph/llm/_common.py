@@ -16,7 +16,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Entries that a task's word cache holds before it is emptied; bounds worker memory on any input.
 CACHE_ENTRIES = 300_000
 #: Of an Arrow batch that goes to a Python worker; a single row may be larger.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
