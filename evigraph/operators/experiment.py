@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import text
 from evigraph.operators.gmetric import COLUMNS
+from evigraph.operators.loops import numbered
 
 # Columns of templates beyond those of an evaluation row, and of blinded sheets.
 TEMPLATE_EXTRA = ("experiment_id", "evaluation_target", "story_title", "fair_play_status", "graph_file", "fair_play_diagnostic_file", "template_role")
@@ -42,6 +43,24 @@ def collection_template(claims: DataFrame, conditions: list[str], phases: list[s
     return rows.select(*[fixed[c].alias(c) if c in fixed else F.col(c) if c in rows.columns else F.lit("").alias(c) for c in (*COLUMNS, *TEMPLATE_EXTRA)])
 
 
+#: Parts of a sheet that are put in order by themselves, and rows of a sheet with places that are.
+SHEET_PARTS, SHEET_ROWS = 4096, 4096
+
+
+def _placed(rows: DataFrame, name: str, part: Column, order: list) -> DataFrame:
+    """rows with name: the place of a row in the order within its run_id.
+
+    part, a number that the order sorts by first, cuts a sheet into pieces: each is put in order by itself and comes after all rows of the pieces before it, so no
+    task holds a sheet. What is added up over a sheet is a number a piece.
+    """
+    rows = rows.withColumns({"__run": F.coalesce("run_id", F.lit("\0")), "__part": F.coalesce(part.cast("long"), F.lit(-(2**62)))})
+    sizes = rows.groupBy("__run", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__run").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__run", "__part", before.alias("__before"))
+    inside = rows.withColumn("__at", F.row_number().over(Window.partitionBy("__run", "__part").orderBy(*order)))
+    return inside.join(starts.hint("merge"), ["__run", "__part"]).withColumn(name, (F.col("__before") + F.col("__at")).cast("int")).drop("__run", "__part", "__before", "__at")
+
+
 def run_sheets(rows: DataFrame, run_prefix: str, subject_prefix: str = "subject", subjects: int = 1, conditions: list[str] | None = None, phases: list[str] | None = None, seed: int = 0) -> DataFrame:
     """Rows for every subject of every condition, with run_id, subject_id and place: a seeded order within the sheet, by hash."""
     if not run_prefix.strip():
@@ -56,30 +75,37 @@ def run_sheets(rows: DataFrame, run_prefix: str, subject_prefix: str = "subject"
     out = rows.withColumn("subject", F.explode(F.sequence(F.lit(1), F.lit(subjects))))
     out = out.withColumns({"run_id": F.concat_ws("-", F.lit(run_prefix), kind, number), "subject_id": F.concat_ws("-", F.lit(subject_prefix), kind, number)})
     order = F.sha2(F.concat_ws(":", F.lit(str(seed)), "condition", F.col("subject").cast("string"), "phase", "item_id", "claim_id"), 256)
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(order, "phase", "item_id", "claim_id"))).drop("subject")
+    return _placed(out.withColumn("__hash", order), "place", F.floor(F.conv(F.substring("__hash", 1, 8), 16, 10).cast("long") / (2**32 // SHEET_PARTS)), ["__hash", "phase", "item_id", "claim_id"]).drop("__hash", "subject")
 
 
 def blind(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(public rows with the blinded columns, private key with all columns); row_key is run_id::nnn (more digits where needed) unless there is one."""
     order = [c for c in ("place", *ROW_KEY) if c in rows.columns]
-    number = F.format_string("%03d", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)))
+    if dict(rows.dtypes).get("place") in ("int", "bigint"):
+        rows = _placed(rows, "__number", F.floor(F.col("place") / SHEET_ROWS), order)
+    else:
+        first = numbered(rows, ["run_id", *[c for c in order if c != "run_id"]], "__every")
+        starts = first.groupBy("run_id").agg(F.min("__every").alias("__first")).withColumnRenamed("run_id", "__run")  # a row for each sheet
+        rows = first.join(F.broadcast(starts), F.col("run_id").eqNullSafe(F.col("__run"))).withColumn("__number", (F.col("__every") - F.col("__first") + 1).cast("int")).drop("__run", "__every", "__first")
+    number = F.format_string("%03d", "__number")
     own = F.nullif("row_key", F.lit("")) if "row_key" in rows.columns else F.lit(None).cast("string")
-    key = rows.withColumn("row_key", F.coalesce(own, F.concat("run_id", F.lit("::"), number)))
+    key = rows.withColumn("row_key", F.coalesce(own, F.concat("run_id", F.lit("::"), number))).drop("__number")
     return key.select(*[F.col(c) if c in key.columns else F.lit("").alias(c) for c in BLINDED]), key
 
 
 def unblind(public: DataFrame, key: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with the answers of the public sheet and a new lag, findings for keys that are not known).
 
-    A row_key that the private key holds twice would give one answer to several rows: the job fails and names it.
+    A row_key that the private key holds twice would give one answer to several rows: the job fails and names it. Rows that were exploded from a small table
+    look as small as that to the planner, so the joins say that they are not to be broadcast.
     """
     answers = public.select("row_key", *[F.col(c).alias(f"__{c}") for c in ANSWERED])
     repeated = F.count(F.lit(1)).over(Window.partitionBy("row_key")) > 1
     checked = key.drop(*ANSWERED).withColumn("row_key", F.when(repeated, F.raise_error(F.concat(F.lit("repeated row_key "), "row_key")).cast("string")).otherwise(F.col("row_key")))
-    known = answers.join(checked, "row_key")
+    known = answers.join(checked.hint("merge"), "row_key")
     rows = known.withColumnsRenamed({f"__{c}": c for c in ANSWERED})
     rows = rows.withColumn("recognition_lag", F.coalesce(point_lag(F.col("contradiction_available_at"), F.col("recognized_at")).cast("string"), F.lit("")))
-    lost = answers.join(key.select("row_key"), "row_key", "left_anti")
+    lost = answers.join(key.select("row_key").hint("merge"), "row_key", "left_anti")
     return rows, lost.select(F.lit("error").alias("severity"), F.lit("unknown_blinded_row_key").alias("code"), F.col("row_key").alias("row"), F.lit(None).cast("string").alias("field"))
 
 
