@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 
 from evigraph.graph import Graph, of_types
 from evigraph.operators import biconnected
-from evigraph.operators.loops import connected, settle
+from evigraph.operators.loops import connected, discard, numbered, settle
 
 
 def component_labels(graph: Graph, node_types=None) -> DataFrame:
     """(id, component): the least id of each undirected component, isolated nodes included. Settled."""
-    ids = graph.index().where(of_types(F.col("type"), node_types)).select("id").distinct()
-    labels = connected(graph.undirected(node_types).where("a != b"))
-    return settle(ids.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component")))
+    ids = numbered(graph.index().where(of_types(F.col("type"), node_types)).select("id").distinct(), ["id"], "n")
+    edges = graph.edges.where("source != target").select("source", "target")
+    for end in ("source", "target"):  # only edges whose ends both exist find their numbers
+        edges = edges.join(ids.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}")), end)
+    labels = connected(edges.select(F.col("n_source").alias("a"), F.col("n_target").alias("b")))
+    found = ids.join(labels.select(F.col("id").alias("n"), "label"), "n", "left").select("id", F.coalesce("label", "n").alias("label"))
+    out = settle(found.join(ids.select(F.col("n").alias("label"), F.col("id").alias("component")), "label").select("id", "component"))
+    discard(labels, ids)
+    return out
 
 
 def component_sizes(graph: Graph, node_types=None) -> DataFrame:
