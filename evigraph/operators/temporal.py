@@ -73,8 +73,8 @@ def claim_status_at(graph: Graph, claims: DataFrame, when) -> DataFrame:
 def claim_status_over(graph: Graph, claims: DataFrame, whens: list) -> DataFrame:
     """(claim, cutoff, status) for every claim and each of a list of cutoffs: what claim_status_at says of each, in one pass over the edges.
 
-    An edge counts from the latest time of its own and its ends' on; the cutoff at which it comes in is looked up, edges are added up by claim and
-    that cutoff where they are, and running sums over a claim's cutoffs (no more rows than cutoffs) give its counts at each. Times of the other kind than a
+    An edge counts from the latest time of its own and its ends' on; the cutoff at which it comes in is looked up, and of each claim the first cutoff of
+    every kind of edge is kept (combined where the edges are), which says what there is at any other. Times of the other kind than a
     cutoff's, and missing ones, count as in a slice: always.
     """
     found = graph.nodes.sparkSession.range(1).select(*[timekey.literal(w).alias(f"c{i}") for i, w in enumerate(whens)]).first()
@@ -96,23 +96,25 @@ def _status_over(graph: Graph, claims: DataFrame, kind: str, cuts: list[float],
         """Place of the first cutoff that is no earlier."""
         return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value))
 
+    asked = claims.select("claim").distinct()
     ends = graph.nodes.select("id", since(item_time(graph.nodes)).alias("t")).groupBy("id").agg(F.min("t").alias("t"))
-    edges = graph.edges.select("source", "target", "type", since(item_time(graph.edges)).alias("t"))
+    ends = ends.join(asked.select(F.col("claim").alias("id"), F.lit(True).alias("is")), "id", "left").select("id", "t", F.coalesce("is", F.lit(False)).alias("is"))
+    kinds = {"revision": REVISION, "challenge": CHALLENGE, "support": SUPPORT}
+    edges = graph.edges.where(of_types(F.col("type"), [t for types in kinds.values() for t in types])).select("source", "target", "type", since(item_time(graph.edges)).alias("t"))
     for side in ("source", "target"):
-        edges = edges.join(ends.select(F.col("id").alias(side), F.col("t").alias(f"t_{side}")), side)
-    placed = touching(edges.select("source", "target", "type", slot(F.greatest("t", "t_source", "t_target")).alias("slot")).where(F.col("slot") < len(cuts)), claims)
-    named, own = ("revision", "challenge", "support"), F.col("type")
-    counts = placed.groupBy("claim", "slot").agg(F.count_if(own.isin(*REVISION)).alias("revision"), F.count_if(own.isin(*CHALLENGE)).alias("challenge"), F.count_if(own.isin(*SUPPORT) & (F.col("target") == F.col("claim"))).alias("support"))
+        edges = edges.join(ends.select(F.col("id").alias(side), F.col("t").alias(f"t_{side}"), F.col("is").alias(f"is_{side}")), side)
+    at = F.array_compact(F.array(F.when(F.col("is_target"), F.struct(F.col("target").alias("claim"), F.lit(True).alias("end"))), F.when(F.col("is_source") & (F.col("source") != F.col("target")), F.struct(F.col("source").alias("claim"), F.lit(False).alias("end")))))
+    placed = edges.select("type", slot(F.greatest("t", "t_source", "t_target")).alias("slot"), F.explode(at).alias("c")).where(F.col("slot") < len(cuts))
+    since_slot = {n: F.min(F.when(F.col("type").isin(*types) & (F.col("c.end") if n == "support" else F.lit(True)), F.col("slot"))).alias(n) for n, types in kinds.items()}
+    first = placed.groupBy(F.col("c.claim").alias("claim")).agg(*since_slot.values())
     nodes = graph.index()
     begun = nodes.select(F.col("id").alias("claim"), since(item_time(nodes)).alias("begun"))
-    grid = claims.select("claim").distinct().join(begun, "claim", "left").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(len(cuts) - 1))))
-    upto = Window.partitionBy("claim").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    running = grid.join(counts, ["claim", "slot"], "left").select("claim", "slot", "begun", *[F.sum(F.coalesce(n, F.lit(0))).over(upto).alias(n) for n in named])
+    grid = asked.join(begun, "claim", "left").join(first, "claim", "left").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(len(cuts) - 1))))
     status = (
-        F.when(F.col("begun").isNull(), "missing").when(slot(F.col("begun")) > F.col("slot"), "not_yet_available").when(F.col("revision") > 0, "revised_or_superseded")
-        .when(F.col("challenge") > 0, "contradicted").when(F.col("support") > 0, "supported").otherwise("unresolved")
+        F.when(F.col("begun").isNull(), "missing").when(slot(F.col("begun")) > F.col("slot"), "not_yet_available").when(F.col("revision") <= F.col("slot"), "revised_or_superseded")
+        .when(F.col("challenge") <= F.col("slot"), "contradicted").when(F.col("support") <= F.col("slot"), "supported").otherwise("unresolved")
     )
-    return running.select("claim", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("slot") + 1).alias("cutoff"), status.alias("status"))
+    return grid.select("claim", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("slot") + 1).alias("cutoff"), status.alias("status"))
 
 
 def _dated(graph: Graph, claims: DataFrame, types) -> DataFrame:
