@@ -224,9 +224,23 @@ def fair_play(graph: Graph, claims: DataFrame | None = None, reveal_at=None, dec
     edges = graph.edges.where(of_types(F.col("type"), decisive_types or (*CHALLENGE, *REVISION)))
     own = F.col("id") if "id" in edges.columns else F.lit("")
     edges = edges.select("source", "target", "pos", text.edge_key(F.col("source"), F.col("type"), F.col("target"), own).alias("edge_key"), item_time(edges).alias("t"), hidden.alias("hidden"))
-    per = touching(edges, claims.select("claim").distinct()).groupBy("claim").agg(
-        F.count(F.lit(1)).alias("n"), F.max("hidden").alias("hidden"), F.min_by(F.struct("t.kind", "t.val", "t.shown", "edge_key"), F.when(F.col("t").isNotNull(), F.struct("t.kind", "t.val", "pos"))).alias("f")
-    )
+    return judged(edges, claims, reveal_at)
+
+
+def judged(edges: DataFrame, claims: DataFrame, reveal_at=None) -> DataFrame:
+    """fair_play of decisive edges (source, target, pos, edge_key, t, hidden) as they are; further columns of claims stay.
+
+    An edge goes to both of its ends at once. The earliest time takes numbers only; the edge that it belongs to is an aggregate of its own, so whoever asks for the rating alone doesn't move it.
+    """
+    at = F.explode(F.array_compact(F.array("target", F.when(F.col("source") != F.col("target"), F.col("source")))))
+    when = lambda kind: F.min(F.when(F.col("t.kind") == kind, F.col("t.val")))
+    per = edges.select(at.alias("claim"), "pos", "edge_key", "t", "hidden").groupBy("claim").agg(
+        F.count(F.lit(1)).alias("n"), F.max("hidden").alias("hidden"), when("datetime").alias("day"), when("numeric").alias("step"),
+        F.min_by(F.struct("t.shown", "edge_key"), F.when(F.col("t").isNotNull(), F.struct("t.kind", "t.val", "pos"))).alias("e"),
+    )
+    kind = F.when(F.col("day").isNotNull(), "datetime").when(F.col("step").isNotNull(), "numeric")
+    per = per.select("claim", "n", "hidden", F.struct(kind.alias("kind"), F.coalesce("day", "step").alias("val")).alias("f"), "e")
+    kept = [c for c in claims.columns if c not in ("claim", "reveal")]
     out = claims.join(per, "claim", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "dated": F.col("f.kind").isNotNull()})
     failures = [F.when(F.col("n") == 0, "no_decisive_evidence"), F.when((F.col("n") > 0) & ~F.coalesce("dated", F.lit(False)), "undated_decisive_evidence")]
     if reveal_at is not None:
@@ -238,7 +252,7 @@ def fair_play(graph: Graph, claims: DataFrame | None = None, reveal_at=None, dec
     out = out.withColumn("failures", F.array_compact(F.array(*failures)))
     only = F.array_join("failures", ",")
     rating = F.when(only == "", "fair").when(only.isin("decisive_evidence_at_reveal", "uncomparable_reveal_time"), "partial").otherwise("unfair")
-    return out.select("claim", rating.alias("rating"), "failures", F.col("n").alias("decisive_evidence_count"), F.coalesce("f.shown", F.lit("")).alias("first_time"), F.col("f.edge_key").alias("first_edge"))
+    return out.select(*kept, "claim", rating.alias("rating"), "failures", F.col("n").alias("decisive_evidence_count"), F.coalesce("e.shown", F.lit("")).alias("first_time"), F.col("e.edge_key").alias("first_edge"))
 
 
 def fair_play_rating(checks: DataFrame) -> DataFrame:
