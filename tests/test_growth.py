@@ -4,7 +4,7 @@ from hashlib import sha256
 
 from pyspark.sql import functions as F
 
-from evigraph.operators import experiment, loops, structure, temporal
+from evigraph.operators import epistemic, experiment, ledger, loops, stories, structure, temporal
 from evigraph.plans import catalog
 from evigraph.plans import projections as P
 from evigraph.sources import synthetic
@@ -70,3 +70,42 @@ def test_k_hop_goes_two_hops(spark, sf_dir):
     around = {("nation::" + str(r["n_nationkey"]), f"region::{region}") for r in nation.where(F.col("n_regionkey") == region).collect()}
     held = {(f"supplier::{r[0]}", "nation::3") for r in P.table(spark, sf_dir, "supplier").where("s_nationkey = 3").select("s_suppkey").collect()} | {(f"customer::{r[0]}", "nation::3") for r in P.table(spark, sf_dir, "customer").where("c_nationkey = 3").select("c_custkey").collect()}
     assert found == around | held
+
+
+def test_edges_at_a_claim_need_no_neighbourhood(spark, sf_dir, monkeypatch):
+    """No two neighbours of a claim have an edge here, so nothing is looked up in the neighbourhoods."""
+    monkeypatch.setattr(epistemic, "induced_edges", lambda *a: 1 / 0)
+    assert epistemic.summaries(P.evidence(spark, sf_dir), node_types=("claim",), posterior=False).count() == P.table(spark, sf_dir, "part").count()
+
+
+def test_edges_between_neighbours_of_a_claim_count(spark):
+    nodes = spark.createDataFrame([(i, "claim" if i == "c" else "source", n) for n, i in enumerate("cxyz")], "id string, type string, pos long")
+    edges = spark.createDataFrame([("x", "c", "supports", 0), ("y", "c", "contradicts", 1), ("x", "y", "contradicts", 2), ("x", "z", "contradicts", 3), ("c", "c", "qualifies", 4)], "source string, target string, type string, pos long")
+    row = epistemic.summaries(structure.Graph(nodes, edges, unique_ids=True), node_types=("claim",)).first()
+    assert (row["support_count"], row["challenge_count"], row["revision_count"]) == (1, 2, 1)
+
+
+def test_stories_are_put_together_once(spark, sf_dir):
+    for df in (stories.fair_play_by_story(P.stories(spark, sf_dir)), temporal.fair_play_rating(stories.fair_play(P.stories(spark, sf_dir)))):
+        assert "collect_list" not in plan(df)
+
+
+def test_a_claim_in_two_stories_has_the_reveal_of_each(spark):
+    claims, proof = [("c", "t", "", "false", "", "1", "", "{}")], [("e", "t", "c", "3", "", "", "", "{}")]
+    rows = [{"story_id": s, "title": s, "reveal_point": at, "fair_play_status": "fair_play", "claims": claims, "decisive_evidence": proof} for s, at in (("a", "2"), ("b", "9"))]
+    got = [(r["story_id"], r["rating"]) for r in stories.fair_play(spark.createDataFrame(rows, stories.STORY)).orderBy("story_id").collect()]
+    assert got == [("a", "unfair"), ("b", "fair")]
+
+
+def test_ledgers_read_the_edges_once(spark, sf_dir):
+    graph = P.evidence(spark, sf_dir, concepts=False)
+    units = ledger.ledger_units(graph, graph.nodes.where("type = 'claim'").select("id"))
+    assert plan(ledger.deduplicate(units, F.col("pos"))).count("ReadSchema: struct<l_") == 1
+
+
+def test_few_sources_are_broadcast_by_their_count(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "hashpartitioning(source" not in plan(ledger.weighted_edges(P.evidence(spark, sf_dir, concepts=False)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
