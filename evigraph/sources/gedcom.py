@@ -25,19 +25,23 @@ _NEAR = "file string, line_no long, level int, parent long, root long, last bool
 
 
 def _nearest(group: pa.Table) -> pa.Table:
-    """Lines of one file with the nearest line before that has a smaller level, and the last line of level 0 up to each; last: no later line hides it."""
-    group = group.select(["file", "line_no", "level"]).sort_by("line_no")
-    numbers, levels = group.column("line_no").to_pylist(), group.column("level").to_pylist()
+    """Lines of one file or more with the nearest line before that has a smaller level, and the last line of level 0 up to each; last: no later line hides it."""
+    group = group.select(["file", "line_no", "level"]).sort_by([("file", "ascending"), ("line_no", "ascending")])
+    files, numbers, levels = (group.column(c).to_pylist() for c in ("file", "line_no", "level"))
     stack: list[int] = []
     parent, root, zero = [], [], None
+    open_to_view: set[int] = set()
     for i, level in enumerate(levels):
+        if i and files[i] != files[i - 1]:
+            open_to_view.update(stack)
+            stack, zero = [], None
         while stack and levels[stack[-1]] >= level:
             stack.pop()
         parent.append(numbers[stack[-1]] if stack else None)
         zero = numbers[i] if level == 0 else zero
         root.append(zero)
         stack.append(i)
-    open_to_view = set(stack)
+    open_to_view.update(stack)
     for name, values, kind in (("parent", parent, pa.int64()), ("root", root, pa.int64()), ("last", [i in open_to_view for i in range(len(levels))], pa.bool_())):
         group = group.append_column(name, pa.array(values, kind))
     return group
@@ -46,11 +50,12 @@ def _nearest(group: pa.Table) -> pa.Table:
 def with_parents(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """lines (file, line_no, level, ...) with parent and root: all nearest smaller levels, in blocks.
 
-    A block settles most of its lines by itself. The rest look for a line of an earlier block, and only those lines of a block can be it that no later line of the
+    Files are packed together, so that a task's call sees about as many lines as a block has, however small they are. A block settles most of its lines by itself. The rest look for a line of an earlier block, and only those lines of a block can be it that no later line of the
     block hides: so the same pass over these and the open lines alone, a small part of a file, settles the rest.
     """
     block = F.floor(F.col("line_no") / block_lines)
-    near = settle(lines.select("file", F.col("line_no").cast("long").alias("line_no"), "level", block.alias("block")).groupBy("file", "block").applyInArrow(_nearest, _NEAR))
+    pack = F.pmod(F.xxhash64("file"), F.lit(lines.count() // block_lines + 1))
+    near = settle(lines.select("file", F.col("line_no").cast("long").alias("line_no"), "level", block.alias("block"), pack.alias("pack")).groupBy("pack", "block").applyInArrow(_nearest, _NEAR))
     several = near.groupBy("file").agg(F.min("line_no").alias("a"), F.max("line_no").alias("b")).where(F.floor(F.col("a") / block_lines) < F.floor(F.col("b") / block_lines)).select("file")
     open_ = (F.col("parent").isNull() & (F.col("level") > 0)) | F.col("root").isNull()
     rest = near.where(open_ | F.col("last")).join(several, "file", "left_semi").select("file", "line_no", "level")
@@ -99,7 +104,7 @@ def graph_of(lines: DataFrame, graph_id: str) -> Graph:
     child = lines.select("file", F.col("parent").alias("line_no"), F.col("tag").alias("c_tag"), F.col("value").alias("c_value"), F.col("line_no").alias("c_no"))
     first = lambda tag: F.min_by(F.when(F.col("c_tag") == tag, F.col("c_value")), F.when(F.col("c_tag") == tag, F.col("c_no")))
     details = child.groupBy("file", "line_no").agg(*[F.coalesce(first(t), F.lit("")).alias(t.lower()) for t in ("NAME", "SEX", "TITL", "AUTH", "DATE", "PLAC")])
-    rows = lines.join(details, ["file", "line_no"], "left").fillna("", ["name", "sex", "titl", "auth", "date", "plac"])
+    rows = settle(lines.join(details, ["file", "line_no"], "left").fillna("", ["name", "sex", "titl", "auth", "date", "plac"]))  # read by every kind of node and edge
     roots = rows.where("level = 0")
     json = lambda **kv: F.to_json(F.struct(*[v.alias(k) for k, v in kv.items()]))
     node = lambda df, ident, kind, title, meta, aliases=F.array().cast("array<string>"): df.select(ident.alias("id"), F.lit(kind).alias("type"), title.alias("title"), aliases.alias("aliases"), F.lit(STATUS).alias("status"), meta.alias("metadata"))
