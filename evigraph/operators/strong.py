@@ -1,7 +1,7 @@
 """Strongly connected components, and tests of reachability that build no closure.
 
-Components: what lies on no cycle is taken off first, from both ends of the order (ordering contracts chains, so depth doesn't matter there). Of
-the rest every node takes the least id that reaches it; a node takes the id of its id too, so labels travel in jumps. Among the nodes of one
+Components: what lies on no cycle is taken off first, from both ends: a few times all nodes without predecessors or successors, then, if there are still
+some, by the order (ordering contracts chains, so depth doesn't matter there). Of the rest every node takes the least id that reaches it; a node takes the id of its id too, so labels travel in jumps. Among the nodes of one
 label the least id that a node reaches is found the same way against the edges; where both are the same, the node is in the component of
 that id. Components so found go, as do edges between labels, and the rest is labelled again.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.graph import Graph, of_types
-from evigraph.operators.loops import discard, settle
+from evigraph.operators.loops import discard, joined_by_size, settle
 from evigraph.operators.ordering import topological_order
 
 
@@ -31,19 +31,46 @@ def _least_along(edges: DataFrame, start: str, end: str) -> DataFrame:
             return labels
 
 
+#: Rounds in which nodes without predecessors or successors are taken off before the order is looked for.
+TRIMS = 8
+
+
+def _trimmed(edges: DataFrame) -> DataFrame | None:
+    """edges (a, b) between nodes that are on a cycle or between cycles, or None if TRIMS rounds have not come to an end. Settled."""
+    n, left = edges.count(), edges
+    for _ in range(TRIMS):
+        new = settle(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi"))
+        if left is not edges:
+            discard(left)
+        left, before, n = new, n, new.count()
+        if n in (0, before):
+            return left
+    discard(left)
+    return None
+
+
 def strong_components(graph: Graph, edge_types=None, node_types=None) -> DataFrame:
     """(id, component) of every node: the least id of its strongly connected component. Settled.
 
     Edges whose ends don't both exist and self-loops change nothing; a node on no cycle is its own component.
     """
+    with joined_by_size(graph.nodes.sparkSession):
+        return _components(graph, edge_types, node_types)
+
+
+def _components(graph: Graph, edge_types, node_types) -> DataFrame:
     ids = settle(graph.index().where(of_types(F.col("type"), node_types)).select("id").distinct())
     edges = graph.edges.where(of_types(F.col("type"), edge_types) & (F.col("source") != F.col("target"))).select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
     edges = settle(edges.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi"))
-    nodes = ids.select("id", F.lit("").alias("type"), F.col("id").alias("pos"))
-    there, back = (topological_order(Graph(nodes, edges.select(F.col(a).alias("source"), F.col(b).alias("target"), F.lit("").alias("type"), F.lit(0).alias("pos")), unique_ids=True))[1] for a, b in (("a", "b"), ("b", "a")))
-    cyclic = settle(there.join(back, "id", "left_semi"))  # between cycles or on one
-    live = settle(edges.join(cyclic.withColumnRenamed("id", "a"), "a", "left_semi").join(cyclic.withColumnRenamed("id", "b"), "b", "left_semi"))
-    found, spent = None, [ids, edges, cyclic]
+    live, cyclic, spent = _trimmed(edges), None, [ids]
+    if live is None:
+        nodes = ids.select("id", F.lit("").alias("type"), F.col("id").alias("pos"))
+        there, back = (topological_order(Graph(nodes, edges.select(F.col(a).alias("source"), F.col(b).alias("target"), F.lit("").alias("type"), F.lit(0).alias("pos")), unique_ids=True))[1] for a, b in (("a", "b"), ("b", "a")))
+        cyclic = settle(there.join(back, "id", "left_semi"))  # between cycles or on one
+        live = settle(edges.join(cyclic.withColumnRenamed("id", "a"), "a", "left_semi").join(cyclic.withColumnRenamed("id", "b"), "b", "left_semi"))
+        spent.append(cyclic)
+    found = None
+    spent.append(edges)
     while not live.isEmpty():
         down = _least_along(live, "a", "b")
         for end in ("a", "b"):
@@ -68,6 +95,11 @@ def reaches(graph: Graph, pairs: DataFrame, edge_types=None) -> DataFrame:
     Components are contracted, and what is left has an order from both sides: a node can only reach what is on a later level
     than itself in both. Pairs that this doesn't decide are searched level by level, through nodes alone that it still allows for their target.
     """
+    with joined_by_size(graph.nodes.sparkSession):
+        return _reaches(graph, pairs, edge_types)
+
+
+def _reaches(graph: Graph, pairs: DataFrame, edge_types) -> DataFrame:
     components = strong_components(graph, edge_types)
     named = lambda name: components.select(F.col("id").alias(name), F.col("component").alias(f"c_{name}"))
     asked = settle(pairs.select("source", "target").distinct())

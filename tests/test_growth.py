@@ -2,12 +2,13 @@
 
 from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from evigraph.operators import epistemic, experiment, ledger, loops, stories, structure, temporal
+from evigraph.operators import epistemic, experiment, ledger, loops, stories, strong, structure, temporal
 from evigraph.plans import catalog
 from evigraph.plans import projections as P
-from evigraph.sources import synthetic
+from evigraph.sources import gedcom, synthetic
 
 
 def plan(df):
@@ -109,3 +110,41 @@ def test_few_sources_are_broadcast_by_their_count(spark, sf_dir):
         assert "hashpartitioning(source" not in plan(ledger.weighted_edges(P.evidence(spark, sf_dir, concepts=False)))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_shallow_graphs_have_components_without_an_order(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("e", "f"), ("f", "g")], "source string, target string").withColumns({"type": F.lit("t"), "pos": F.lit(0)})
+    graph = structure.Graph(spark.createDataFrame([(x, "t", x) for x in "abcdefg"], "id string, type string, pos string"), edges, unique_ids=True)
+    want = {x: "b" if x == "c" else x for x in "abcdefg"}
+    with monkeypatch.context() as m:
+        m.setattr(strong, "topological_order", lambda *a: 1 / 0)
+        assert {r["id"]: r["component"] for r in strong.strong_components(graph).collect()} == want
+    monkeypatch.setattr(strong, "TRIMS", 1)
+    assert {r["id"]: r["component"] for r in strong.strong_components(graph).collect()} == want
+
+
+def test_reaching_broadcasts_nothing_unseen(spark, monkeypatch):
+    seen, real = [], strong.settle
+    monkeypatch.setattr(strong, "settle", lambda df: seen.append(plan(df)) or real(df))
+    graph = synthetic.path(spark, 4)
+    ids = [r["id"] for r in graph.nodes.orderBy("id").collect()]
+    got = strong.reaches(graph, spark.createDataFrame([(ids[0], ids[-1]), (ids[-1], ids[0])], "source string, target string")).collect()
+    assert sorted(r["reaches"] for r in got) == [False, True]
+    joins = [line for p in seen for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert seen and all("__p" in line for line in joins)  # a number for each partition is all that is sent
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+
+
+def test_small_files_share_a_call(spark, monkeypatch):
+    lines = spark.range(600).select(F.col("id").cast("string").alias("file"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("line_no")).withColumn("level", F.col("line_no").cast("int"))
+    calls = spark.sparkContext.accumulator(0)
+    real = gedcom._nearest
+
+    def counted(group: pa.Table) -> pa.Table:
+        calls.add(1)
+        return real(group)
+
+    monkeypatch.setattr(gedcom, "_nearest", counted)
+    near = gedcom.with_parents(lines)
+    assert calls.value == 1
+    assert near.where("parent <=> (CASE WHEN level > 0 THEN line_no - 1 END) AND root = 0").count() == 1800
